@@ -13,7 +13,10 @@ from docledger.operators.validate import validate_and_score
 from docledger.session import configure
 
 AS_OF = "2026-01-01"
-K = F.col("k")
+
+
+def order_key() -> Column:
+    return F.col("k")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def every(n: int, rest: int = 0) -> Column:
-    return K % n == rest
+    return order_key() % n == rest
 
 
 def choose(n: int, *values: Column | str) -> Column:
@@ -33,15 +36,16 @@ def choose(n: int, *values: Column | str) -> Column:
     return result
 
 
-def numbered(prefix: str, value: Column = K, suffix: str = "") -> Column:
+def numbered(prefix: str, value: Column | None = None, suffix: str = "") -> Column:
+    value = order_key() if value is None else value
     return F.concat(F.lit(prefix), value.cast("string"), F.lit(suffix))
 
 
-def file_id(value: Column = K) -> Column:
+def file_id(value: Column) -> Column:
     return numbered("inbox/", value, ".pdf")
 
 
-def file_hash(value: Column = K) -> Column:
+def file_hash(value: Column) -> Column:
     twin = F.when(value % 13 == 0, 1).otherwise(0)
     return F.sha2((value - twin).cast("string"), 256)
 
@@ -138,8 +142,8 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
             euros(F.col("cents") + tax + extra).alias("total_amount"),
             choose(4, "card", "cash", "bank", "unknown").alias("payment_method"),
             "line_items",
-            ((K % 70 + 30).cast("double") / 100).alias("model_confidence"),
-            ((K % 70 + 30).cast("double") / 100).alias("validation_score"),
+            ((order_key() % 70 + 30).cast("double") / 100).alias("model_confidence"),
+            ((order_key() % 70 + 30).cast("double") / 100).alias("validation_score"),
             choose(4, "mistral", "openrouter", "groq", "openrouter").alias("provider"),
         )
     )
@@ -283,7 +287,7 @@ def ocr_pages_of(items: Column, day: Column) -> Column:
     shown = F.transform(items, show)
     starts = F.sequence(F.lit(1), F.size(items), F.lit(3))
     body = F.transform(starts, lambda start: F.array_join(F.slice(shown, start, F.lit(3)), "\n"))
-    header = F.concat(F.lit("Invoice "), K.cast("string"), F.lit("\nDate "), F.date_format(day, "dd/MM/yyyy"))
+    header = F.concat(F.lit("Invoice "), order_key().cast("string"), F.lit("\nDate "), F.date_format(day, "dd/MM/yyyy"))
     blank = F.when(every(9), F.array(F.lit("  \n"))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.array(header), blank, body)
 
@@ -304,10 +308,18 @@ def ocr_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def attempts(spark: SparkSession, folder: str) -> DataFrame:
+def short_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A small payload and one OCR page per order."""
+    return order_keys(spark, folder).select(
+        "k", "document_id",
+        F.concat(F.lit('{"total": '), order_key().cast("string"), F.lit("}")).alias("raw_text"),
+        F.array(numbered("Invoice ")).alias("pages"),
+    )
+
+
+def attempts(source: DataFrame) -> DataFrame:
     """Provider calls per document: failures before the provider that answers, bad JSON in some
     first answers and in some corrective ones."""
-    source = payload_texts(spark, folder)
     bad = F.when(every(29), F.lit("not json")).when(every(37), F.lit("[1, 2]"))
     still_bad = F.when(every(58), F.lit("still not json")).when(every(74), F.lit("[3]"))
     ocr = F.array_join(F.filter("pages", lambda page: F.btrim(page, F.lit(" \n")) != ""), "\n\n")
@@ -323,7 +335,7 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
             F.lit(kind).alias("prompt_kind"),
             F.when(~fails, text).alias("raw_text"),
             (F.when(~fails, ocr) if name == "mistral" else F.lit(None).cast("string")).alias("ocr_text"),
-            F.when(fails, F.concat(F.lit("status "), (K % 3 + 500).cast("string"))).alias("error"),
+            F.when(fails, F.concat(F.lit("status "), (order_key() % 3 + 500).cast("string"))).alias("error"),
         ))
 
     order = list(enumerate(["mistral", "openrouter", "groq"]))
@@ -343,7 +355,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     return order_keys(spark, folder).where(~every(10, 7)).select(
         "drive_file_id", "file_hash",
         choose(5, "STORED", "ARCHIVED", "FAILED", "REVIEW_REQUIRED", "CLAIMED").alias("status"),
-        numbered("worker-", K % 3).alias("owner_id"),
+        numbered("worker-", order_key() % 3).alias("owner_id"),
         F.col("ordered_at").cast("string").alias("claimed_at_utc"),
         F.col("ordered_at").cast("string").alias("updated_at_utc"),
     )
@@ -356,8 +368,8 @@ def claim_attempts(spark: SparkSession, folder: str) -> DataFrame:
         "k", "drive_file_id", "file_hash", F.explode(places).alias("_place")
     ).select(
         "drive_file_id", "file_hash",
-        numbered("poll-", (K + F.col("_place")) % 4).alias("owner_id"),
-        (K * 2 + F.col("_place")).alias("arrival"),
+        numbered("poll-", (order_key() + F.col("_place")) % 4).alias("owner_id"),
+        (order_key() * 2 + F.col("_place")).alias("arrival"),
     )
 
 
@@ -467,7 +479,7 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Review decisions for every second order key, some for items that do not exist."""
     action = (
         F.when(every(10, 8), "postpone")
-        .when(F.floor(K / 12) % 3 == 0, " Approve").when(F.floor(K / 12) % 3 == 1, "reject").otherwise("duplicate")
+        .when(F.floor(order_key() / 12) % 3 == 0, " Approve").when(F.floor(order_key() / 12) % 3 == 1, "reject").otherwise("duplicate")
     )
     override = F.when(
         every(5) & ~every(60),
@@ -548,10 +560,10 @@ def evaluated_documents(spark: SparkSession, folder: str) -> DataFrame:
 def inbox(spark: SparkSession, folder: str) -> DataFrame:
     """Object listing with the file names of an inbox."""
     ending = choose(6, ".pdf", ".JPG", ".jpeg", ".png", ".txt", "/")
-    name = F.when(every(60), F.lit("inbox/.pdf")).when(every(48), numbered("inbox/", K, ".pdf.gz")).when(
-        every(49), F.lit("")).otherwise(F.concat(numbered("inbox/sub", K % 7, "/"), (K % 1000).cast("string"), ending))
+    name = F.when(every(60), F.lit("inbox/.pdf")).when(every(48), numbered("inbox/", order_key(), ".pdf.gz")).when(
+        every(49), F.lit("")).otherwise(F.concat(numbered("inbox/sub", order_key() % 7, "/"), (order_key() % 1000).cast("string"), ending))
     return order_keys(spark, folder).select(
-        name.alias("id"), (K * 3).alias("size"), F.col("ordered_at").alias("last_modified"), "k"
+        name.alias("id"), (order_key() * 3).alias("size"), F.col("ordered_at").alias("last_modified"), "k"
     )
 
 

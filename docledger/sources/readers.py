@@ -106,8 +106,8 @@ def read_golden(spark: SparkSession, path: str, one_per_file: bool = True) -> Da
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger table, partitioned by processing date."""
-    schema = T.StructType([*LEDGER.fields, T.StructField("processing_date", T.DateType())])
+    """The ledger table, partitioned by month of processing."""
+    schema = T.StructType([*LEDGER.fields, T.StructField("processing_month", T.StringType())])
     return _read_or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema)
 
 

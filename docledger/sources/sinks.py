@@ -14,7 +14,7 @@ from docledger.sources.readers import base_name
 def _first_per_key(rows: DataFrame, keys: list[str], stored: DataFrame) -> DataFrame:
     """Key and ``seq`` of the first row of each key that is not stored yet."""
     first = rows.groupBy(*keys).agg(F.min("seq").alias("seq"))
-    return first.join(stored.select(*keys).distinct(), keys, "left_anti").withColumn("_first", F.lit(True))
+    return first.join(stored.select(*keys), keys, "left_anti").withColumn("_first", F.lit(True))
 
 
 def append_if_absent(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -51,9 +51,13 @@ def append_by_hash(rows: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def write_ledger(rows: DataFrame, path: str) -> None:
-    """Append ledger rows, one folder per processing date."""
-    dated = rows.withColumn("processing_date", F.to_date("processed_at_utc"))
-    dated.write.mode("append").partitionBy("processing_date").parquet(path)
+    """Append ledger rows, one folder per month of processing.
+
+    Rebalancing gathers a month's rows in few files and splits a month that is too large.
+    """
+    dated = rows.withColumn("processing_month", F.date_format("processed_at_utc", "yyyy-MM"))
+    balanced = dated.hint("rebalance", "processing_month")
+    balanced.write.mode("append").partitionBy("processing_month").parquet(path)
 
 
 FLAT_RECORD = [
