@@ -19,9 +19,10 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _number(value: Column) -> Column:
-    return F.when(_kind(value).isin(NUMBERS), F.try_variant_get(value, "$", "double")).when(
-        _kind(value) == "STRING", number_text(as_text(value))
+def _number(side: str) -> Column:
+    kind = F.col(f"_{side}_kind")
+    return F.when(kind.isin(NUMBERS), F.try_variant_get(side, "$", "double")).when(
+        kind == "STRING", number_text(F.col(f"_{side}_text"))
     )
 
 
@@ -60,111 +61,132 @@ def gate_cases(cases: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def matches(field: Column, expected: Column, actual: Column, tolerance: float = AMOUNT_TOLERANCE) -> Column:
-    """Whether a field's actual value counts as the expected one."""
-    gap = F.abs(_number(expected) - _number(actual))
-    empty = F.when(_kind(actual).isin(NUMBERS) & (_number(actual) == 0), F.lit("")).when(
-        F.schema_of_variant(actual).isin("OBJECT<>", "ARRAY<VOID>"), F.lit("")
-    ).otherwise(as_text(actual))
-    same = F.when(
-        _kind(expected).isin(NUMBERS) & _kind(actual).isin(NUMBERS), _number(expected) == _number(actual)
-    ).when(
-        _kind(actual) == "STRING", F.lit(False)
-    ).otherwise(as_text(expected).eqNullSafe(as_text(actual)))
-    return F.coalesce(
-        F.when(field.isin(NUMERIC_FIELDS), F.coalesce(gap <= tolerance, F.lit(False)))
-        .when(_kind(expected) == "STRING", plain_text(as_text(expected)) == plain_text(empty))
-        .otherwise(same),
-        F.lit(False),
-    )
-
+def compare(pairs: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
+    """Add ``matched`` and ``reason`` to pairs of an expected and an actual variant.
 
-def _result(field: Column, expected: Column, actual: Column, matched: Column, reason: Column) -> Column:
-    return F.struct(
-        field.alias("field"),
-        expected.alias("expected_value"),
-        actual.alias("actual_value"),
-        matched.alias("matched"),
-        F.when(~matched, reason).alias("reason"),
+    ``pairs``: name (the field that decides how to compare), expected, actual. The five numeric
+    fields compare within the tolerance, expected texts without regard to case and spacing, and
+    everything else by value.
+    """
+    typed = pairs.withColumns({
+        "_expected_kind": _kind(F.col("expected")),
+        "_actual_kind": _kind(F.col("actual")),
+        "_expected_text": as_text(F.col("expected")),
+        "_actual_text": as_text(F.col("actual")),
+    })
+    numbered = typed.withColumns({
+        "_expected_number": _number("expected"),
+        "_actual_number": _number("actual"),
+    })
+    numeric = F.col("name").isin(NUMERIC_FIELDS)
+    texts = F.col("_expected_kind") == "STRING"
+    gap = F.abs(F.col("_expected_number") - F.col("_actual_number"))
+    empty = (F.col("_actual_kind").isin(NUMBERS) & (F.col("_actual_number") == 0)) | F.col(
+        "_actual_text"
+    ).isin("{}", "[]")
+    shown = F.when(empty & (F.col("_actual_kind") != "STRING"), F.lit("")).otherwise(F.col("_actual_text"))
+    same = (
+        F.when(
+            F.col("_expected_kind").isin(NUMBERS) & F.col("_actual_kind").isin(NUMBERS),
+            F.col("_expected_number") == F.col("_actual_number"),
+        )
+        .when(F.col("_actual_kind") == "STRING", F.lit(False))
+        .otherwise(F.col("_expected_text").eqNullSafe(F.col("_actual_text")))
     )
-
-
-def compare(field: Column, name: Column, expected: Column, actual: Column, tolerance: float) -> Column:
-    """Result struct of one field; ``name`` is the plain field name that decides the comparison."""
+    matched = F.when(numeric, gap <= tolerance).when(
+        texts, plain_text(F.col("_expected_text")) == plain_text(shown)
+    ).otherwise(same)
     reason = (
-        F.when(name.isin(NUMERIC_FIELDS), F.lit(f"numeric mismatch (tol={tolerance})"))
-        .when(_kind(expected) == "STRING", F.lit("text mismatch"))
+        F.when(numeric, F.lit(f"numeric mismatch (tol={tolerance})"))
+        .when(texts, F.lit("text mismatch"))
         .otherwise(F.lit("value mismatch"))
     )
-    return _result(
-        field, as_text(expected), as_text(actual), matches(name, expected, actual, tolerance), reason
+    known = F.col("fixed_reason").isNotNull() | F.col("fixed_match")
+    return numbered.withColumn(
+        "matched", F.when(known, F.col("fixed_match")).otherwise(F.coalesce(matched, F.lit(False)))
+    ).select(
+        "id",
+        "field",
+        F.col("_expected_text").alias("expected_value"),
+        F.col("_actual_text").alias("actual_value"),
+        "matched",
+        F.when(~F.col("matched"), F.coalesce("fixed_reason", reason)).alias("reason"),
+    )
+
+
+def _pair(field, name, expected, actual, match: Column | None = None, reason: str | None = None) -> Column:
+    """One comparison; with ``match`` the outcome is already known."""
+    return F.struct(
+        field.alias("field"),
+        name.alias("name"),
+        expected.alias("expected"),
+        actual.alias("actual"),
+        (F.lit(False) if match is None else match).alias("fixed_match"),
+        F.lit(reason).cast("string").alias("fixed_reason"),
     )
 
 
-def score_line_items(expected: Column, actual: Column, tolerance: float = AMOUNT_TOLERANCE) -> Column:
-    """Results for a list of expected items: one for the count, then one per expected field.
+def line_item_pairs(expected: Column, actual: Column) -> Column:
+    """Comparisons for a list of expected items: one for the count, then one per expected field.
 
     Items pair by position. An expected item without a partner gives one failed result; extra
     actual items only cost the count.
     """
+    none = F.lit(None).cast("variant")
     n_expected = F.size(expected)
     n_actual = F.size(actual)
-    count = _result(
-        F.lit("line_items.count"), n_expected.cast("string"), n_actual.cast("string"),
-        n_expected == n_actual, F.lit("count mismatch"),
+    count = _pair(
+        F.lit("line_items.count"), F.lit("line_items.count"), n_expected.cast("variant"),
+        n_actual.cast("variant"), n_expected == n_actual, "count mismatch",
     )
 
     def of_item(item: Column, place: Column) -> Column:
         prefix = F.concat(F.lit("line_items["), place.cast("string"), F.lit("]"))
-        partner = F.get(actual, place)
         members = F.map_entries(F.try_variant_get(item, "$", "map<string,variant>"))
-        partner_members = F.try_variant_get(partner, "$", "map<string,variant>")
-        compared = F.transform(
+        partner = F.try_variant_get(F.get(actual, place), "$", "map<string,variant>")
+        paired = F.transform(
             members,
-            lambda member: compare(
+            lambda member: _pair(
                 F.concat(prefix, F.lit("."), member["key"]),
                 F.concat(F.lit("line_items."), member["key"]),
                 member["value"],
-                F.try_element_at(partner_members, member["key"]),
-                tolerance,
+                F.try_element_at(partner, member["key"]),
             ),
         )
-        missing = F.array(_result(
-            prefix, as_text(item), F.lit(None).cast("string"), F.lit(False), F.lit("missing line item")
-        ))
-        return F.when(place >= n_actual, missing).otherwise(compared)
+        missing = F.array(_pair(prefix, prefix, item, none, F.lit(False), "missing line item"))
+        return F.when(place >= n_actual, missing).otherwise(paired)
 
     return F.concat(F.array(count), F.flatten(F.transform(expected, of_item)))
 
 
-def field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
-    """One row per compared field of each usable case."""
+def explode_fields(gated: DataFrame) -> DataFrame:
+    """One comparison per expected field of each usable case."""
     members = gated.where(F.col("status") == "ok").select(
         "id",
-        "record",
+        F.try_variant_get("record", "$", "map<string,variant>").alias("_record"),
         F.explode(F.try_variant_get("expected", "$", "map<string,variant>")).alias("_name", "_expected"),
     ).withColumns({
-        "_actual": F.try_element_at(F.try_variant_get("record", "$", "map<string,variant>"), F.col("_name")),
+        "_actual": F.try_element_at(F.col("_record"), F.col("_name")),
         "_items": F.when(
             F.col("_name") == "line_items", F.try_variant_get("_expected", "$", "array<variant>")
         ),
     })
+    name, expected, actual = F.col("_name"), F.col("_expected"), F.col("_actual")
     actual_items = F.coalesce(
-        F.try_variant_get("_actual", "$", "array<variant>"), F.array().cast("array<variant>")
+        F.try_variant_get(actual, "$", "array<variant>"), F.array().cast("array<variant>")
     )
-    no_list = F.array(_result(
-        F.lit("line_items"), as_text(F.col("_expected")), as_text(F.col("_actual")), F.lit(False),
-        F.lit("'line_items' must be a list"),
-    ))
-    scalar = F.array(compare(
-        F.col("_name"), F.col("_name"), F.col("_expected"), F.col("_actual"), tolerance
-    ))
-    results = (
-        F.when(F.col("_name") != "line_items", scalar)
-        .when(F.col("_items").isNull(), no_list)
-        .otherwise(score_line_items(F.col("_items"), actual_items, tolerance))
+    no_list = _pair(name, name, expected, actual, F.lit(False), "'line_items' must be a list")
+    pairs = (
+        F.when(name != "line_items", F.array(_pair(name, name, expected, actual)))
+        .when(F.col("_items").isNull(), F.array(no_list))
+        .otherwise(line_item_pairs(F.col("_items"), actual_items))
     )
-    return members.select("id", F.inline(results))
+    return members.select("id", F.inline(pairs))
+
+
+def field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
+    """One row per compared field of each usable case: field, values, matched and reason."""
+    return compare(explode_fields(gated), tolerance)
 
 
 def score_cases(fields: DataFrame) -> DataFrame:

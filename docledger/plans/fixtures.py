@@ -448,7 +448,7 @@ def review_queue(spark: SparkSession, folder: str) -> DataFrame:
     )
     reasons = (
         F.when(every(15), F.array().cast("array<string>"))
-        .when(every(2), F.array(F.lit("validation_failed")))
+        .when(every(8), F.array(F.lit("validation_failed")))
         .otherwise(F.array(F.lit("validation_failed"), F.lit("low_confidence")))
     )
     hashed = F.when(every(33), F.lit("")).otherwise(F.col("file_hash"))
@@ -479,7 +479,7 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Review decisions for every second order key, some for items that do not exist."""
     action = (
         F.when(every(10, 8), "postpone")
-        .when(F.floor(order_key() / 12) % 3 == 0, " Approve").when(F.floor(order_key() / 12) % 3 == 1, "reject").otherwise("duplicate")
+        .when(F.floor(order_key() / 60) % 3 == 0, " Approve").when(F.floor(order_key() / 60) % 3 == 1, "reject").otherwise("duplicate")
     )
     override = F.when(
         every(5) & ~every(60),

@@ -136,7 +136,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
         SELECT k, document_id,
                CASE k % 4 WHEN 0 THEN 'REVIEW_REQUIRED' WHEN 1 THEN 'RESOLVED_STORED'
                  WHEN 2 THEN 'RESOLVED_DUPLICATE' ELSE 'REJECTED' END AS status,
-               CASE WHEN k % 15 = 0 THEN '' WHEN k % 2 = 0 THEN 'validation_failed'
+               CASE WHEN k % 15 = 0 THEN '' WHEN k % 8 = 0 THEN 'validation_failed'
                  ELSE 'validation_failed,low_confidence' END AS reasons,
                strftime(ordered_at, '%Y-%m-%d %H:%M:%S') AS created_at_utc,
                CASE WHEN k % 4 <> 0 AND k % 7 <> 0 THEN
@@ -176,8 +176,8 @@ TABLES: dict[str, tuple[list[str], str]] = {
               FROM fx_truth)"""),
     "fx_decisions": (["fx_orders"], """
         SELECT k, document_id,
-               CASE WHEN k % 10 = 8 THEN 'postpone' WHEN (k // 12) % 3 = 0 THEN ' Approve'
-                    WHEN (k // 12) % 3 = 1 THEN 'reject' ELSE 'duplicate' END AS action,
+               CASE WHEN k % 10 = 8 THEN 'postpone' WHEN (k // 60) % 3 = 0 THEN ' Approve'
+                    WHEN (k // 60) % 3 = 1 THEN 'reject' ELSE 'duplicate' END AS action,
                (k % 5 = 0 AND k % 60 <> 0) AS has_override,
                CASE WHEN k % 14 <> 0 THEN 'note ' || k END AS note, totalprice
         FROM fx_orders WHERE k % 2 = 0"""),
