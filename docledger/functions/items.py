@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docledger.functions.money import at_least_zero, cents, money, money_text
-from docledger.functions.payload import as_text, is_object, is_text, pick
+from docledger.functions.payload import as_text, fields_type, is_text, pick_sql
 from docledger.functions.subset import closest_lines_udf
 from docledger.functions.text import has_any, split_lines, strip
 from docledger.rules import RULES, Rules
@@ -30,17 +30,21 @@ def _item(description, quantity, unit_price, line_total, category, text_category
     )
 
 
-def normalize_items(raw: Column, rules: Rules = RULES) -> Column:
-    """Typed items of a variant list; members that are no objects are dropped.
+ITEM_FIELDS = ["description", "quantity", "unit_price", "line_total", "category"]
+
+
+def item_type(rules: Rules = RULES) -> str:
+    return fields_type([rules.item(name) for name in ITEM_FIELDS])
+
+
+def normalize_items(raw: str, rules: Rules = RULES) -> Column:
+    """Typed items of a column of item structs (see ``item_type``); null members are dropped.
 
     ``text_category`` is false where the category is present but no text, which the record
     schema rejects later.
     """
-    names = ["description", "quantity", "unit_price", "line_total", "category"]
-    picked = F.transform(
-        F.filter(raw, is_object),
-        lambda member: F.struct(*[pick(member, rules.item(name)).alias(name) for name in names]),
-    )
+    picks = ", ".join(f"'{name}', {pick_sql('x', rules.item(name))}" for name in ITEM_FIELDS)
+    picked = F.expr(f"transform(filter({raw}, x -> x IS NOT NULL), x -> named_struct({picks}))")
 
     def numbers(item: Column) -> Column:
         return F.struct(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from docledger.functions.text import strip
 
 
-def path_of(alias: str) -> str:
-    return "$" + "".join(f"['{step}']" for step in alias.split("."))
+def quoted_path(steps: list[str]) -> str:
+    return "$" + "".join(f'["{step}"]' for step in steps)
 
 
 def as_text(value: Column) -> Column:
@@ -25,26 +25,37 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT<")
 
 
-def pick(payload: Column, aliases: list[str]) -> Column:
-    """The first alias whose value is neither missing, null nor the empty text, as a variant."""
-    return F.coalesce(*[
-        F.when(
-            F.try_variant_get(payload, path_of(alias), "string") != "",
-            F.try_variant_get(payload, path_of(alias), "variant"),
-        )
-        for alias in aliases
-    ])
+def fields_type(aliases: list[list[str]]) -> str:
+    """Struct type that takes the aliased members of an object as variants, in one pass over it."""
+    names = list(dict.fromkeys(alias.split(".")[0] for group in aliases for alias in group))
+    return "struct<" + ",".join(f"`{name}`:variant" for name in names) + ">"
 
 
-def pick_list(payload: Column, aliases: list[str]) -> Column:
-    """As ``pick`` for a list: a present value that is no list gives an empty list."""
-    nothing = F.array().cast("array<variant>")
+def _member(fields: str, alias: str) -> str:
+    first, *rest = alias.split(".")
+    member = f"{fields}.`{first}`"
+    return f"try_variant_get({member}, '{quoted_path(rest)}', 'variant')" if rest else member
+
+
+def pick_sql(fields: str, aliases: list[str]) -> str:
+    """The first aliased member of a struct of variants that is neither null nor the empty text."""
+    members = [_member(fields, alias) for alias in aliases]
+    present = [f"CASE WHEN try_variant_get({m}, '$', 'string') <> '' THEN {m} END" for m in members]
+    return f"coalesce({', '.join(present)})"
+
+
+def pick_list_sql(fields: str, aliases: list[str], item_type: str) -> str:
+    """As ``pick_sql`` for a list of objects; a present value that is no list gives an empty list.
+
+    Members that are no objects come out as null.
+    """
+    kind = f"array<{item_type}>"
     found = []
     for alias in aliases:
-        listed = F.try_variant_get(payload, path_of(alias), "array<variant>")
-        found.append(listed)
-        found.append(F.when(F.try_variant_get(payload, path_of(alias), "string") != "", nothing))
-    return F.coalesce(*found, nothing)
+        member = _member(fields, alias)
+        found.append(f"try_variant_get({member}, '$', '{kind}')")
+        found.append(f"CASE WHEN try_variant_get({member}, '$', 'string') <> '' THEN cast(array() AS {kind}) END")
+    return f"coalesce({', '.join(found)}, cast(array() AS {kind}))"
 
 
 def vendor_name(value: Column, objects: bool = True) -> Column:

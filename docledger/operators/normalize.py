@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions import codes, dates, items, money
-from docledger.functions.payload import as_text, is_text, pick, pick_list, vendor_name
+from docledger.functions.payload import (
+    as_text, fields_type, is_text, pick_list_sql, pick_sql, vendor_name,
+)
 from docledger.rules import RULES, Rules
 from docledger.schemas import RECORD_FIELDS
 
@@ -18,12 +20,18 @@ PICKED = [
 
 
 def pick_fields(df: DataFrame, rules: Rules = RULES, payload: str = "payload") -> DataFrame:
-    """Resolve each field's aliases once, as ``p_<field>`` variants and the raw item list."""
-    raw = F.col(payload)
-    return df.select(
+    """Resolve each field's aliases once, as ``p_<field>`` variants and a list of item structs.
+
+    The payload object is read in one pass into a struct of all aliased members.
+    """
+    groups = [rules.aliases(name) for name in [*PICKED, "line_items"]]
+    read = F.try_variant_get(payload, "$", fields_type(groups))
+    staged = df.withColumn("_fields", read)
+    listed = pick_list_sql("_fields", rules.aliases("line_items"), items.item_type(rules))
+    return staged.select(
         *df.columns,
-        *[pick(raw, rules.aliases(name)).alias(f"p_{name}") for name in PICKED],
-        pick_list(raw, rules.aliases("line_items")).alias("p_line_items"),
+        *[F.expr(pick_sql("_fields", rules.aliases(name))).alias(f"p_{name}") for name in PICKED],
+        F.expr(listed).alias("p_line_items"),
     )
 
 
@@ -57,7 +65,7 @@ def confidence(rules: Rules = RULES) -> Column:
 
 def line_items(df: DataFrame, rules: Rules = RULES) -> DataFrame:
     """``n_items``: extracted items, or those recovered from OCR when none has an amount."""
-    staged = df.withColumn("_extracted", items.normalize_items(F.col("p_line_items"), rules))
+    staged = df.withColumn("_extracted", items.normalize_items("p_line_items", rules))
     recovered = staged.withColumn(
         "_recovered",
         F.when(

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docledger.functions import checks, codes, dates, items, money
-from docledger.functions.payload import as_text, pick, vendor_name
+from docledger.functions.payload import as_text, vendor_name
 from docledger.operators import enrich, extraction, normalize
 from docledger.operators.route import (
     dead_letter_rows, decide, ledger_rows, review_rows, route, run_counters,
@@ -107,6 +107,12 @@ def pay_content_hash(spark, folder):
 
 # ---- normalisation ------------------------------------------------------------------------------
 
+def picked(spark, folder, payload: Column):
+    """Orders with the fields picked from a JSON text."""
+    rows = fx.order_keys(spark, folder).withColumn("payload", F.parse_json(payload))
+    return normalize.pick_fields(rows)
+
+
 @query("nrm_pick", """
     SELECT document_id,
            CASE WHEN k % 3 = 2 THEN 'A-' || k WHEN k % 2 = 1 THEN cast(k AS VARCHAR) ELSE 'R-' || k END AS invoice_number,
@@ -121,10 +127,8 @@ def nrm_pick(spark, folder):
         F.when(every(5), text('{"tax_id": "B-', order_key(), '"}')).otherwise(F.lit('"x"')),
         ', "due_date": ', choose(4, "0", "false", "[]", "{}"), "}",
     )
-    rows = fx.order_keys(spark, folder).select("document_id", F.parse_json(payload).alias("p"))
-    return rows.select("document_id", *[
-        as_text(pick(F.col("p"), RULES.aliases(name))).alias(name)
-        for name in ("invoice_number", "vendor_tax_id", "due_date")
+    return picked(spark, folder, payload).select("document_id", *[
+        as_text(F.col(f"p_{name}")).alias(name) for name in ("invoice_number", "vendor_tax_id", "due_date")
     ])
 
 
@@ -137,10 +141,8 @@ def nrm_vendor(spark, folder):
     vendor = choose(
         6, text('{"name": " O-', order_key(), ' "}'), '{"name": " "}', text('"  V-', order_key(), '\\t"'), text(order_key()), "[]", "null"
     )
-    rows = fx.order_keys(spark, folder).select(
-        "document_id", pick(F.parse_json(text('{"vendor": ', vendor, "}")), RULES.aliases("vendor_name")).alias("p")
-    )
-    return rows.select("document_id", vendor_name(F.col("p")).alias("vendor_name"))
+    rows = picked(spark, folder, text('{"vendor": ', vendor, "}"))
+    return rows.select("document_id", vendor_name(F.col("p_vendor_name")).alias("vendor_name"))
 
 
 @query("nrm_money", """
@@ -155,10 +157,8 @@ def nrm_money(spark, folder):
         text('"(', order_key(), ')"'), "true", text('"1.', F.lpad(order_key().cast("string"), 5, "0"), '"'),
         '"12-"', "1e20", '"- 2.5 kg"', '"1.2.3"', '"n/a"',
     )
-    rows = fx.order_keys(spark, folder).select(
-        "document_id", order_key(), F.parse_json(text('{"total": ', value, "}")).alias("p")
-    )
-    shown = money.money(pick(F.col("p"), RULES.aliases("total_amount")), F.lit(7.5))
+    rows = picked(spark, folder, text('{"total": ', value, "}"))
+    shown = money.money(F.col("p_total_amount"), F.lit(7.5))
     exact = F.when(every(10, 4), order_key() / 100000 + 1).otherwise(shown)
     return rows.select("document_id", F.when(F.abs(exact - shown) < 1e-9, exact).otherwise(shown).alias("amount"))
 
@@ -298,10 +298,7 @@ def nrm_amounts(spark, folder):
 def nrm_confidence(spark, folder):
     value = choose(5, '"25% of 0.25"', "95", "-0.5", '"high"', "null")
     value = F.when(every(5), F.lit("0.25")).otherwise(value)
-    rows = fx.order_keys(spark, folder).select(
-        "document_id",
-        pick(F.parse_json(text('{"confidence_score": ', value, "}")), RULES.aliases("model_confidence")).alias("p_model_confidence"),
-    )
+    rows = picked(spark, folder, text('{"confidence_score": ', value, "}"))
     return rows.select("document_id", normalize.confidence().alias("model_confidence"))
 
 
@@ -389,8 +386,8 @@ PAYLOAD_ITEMS_SQL = """
 
 @query("lin_normalize", PAYLOAD_ITEMS_SQL, ("fx_truth",))
 def lin_normalize(spark, folder):
-    picked = normalize.pick_fields(fx.documents(spark, folder))
-    return _exploded(picked, items.normalize_items(F.col("p_line_items")), "document_id")
+    fields = normalize.pick_fields(fx.documents(spark, folder))
+    return _exploded(fields, items.normalize_items("p_line_items"), "document_id")
 
 
 IGNORED_SQL = " OR ".join(f"contains(lower(d), '{word}')" for word in IGNORED_LINE_KEYWORDS)
@@ -469,9 +466,9 @@ def lin_reconcile(spark, folder):
 @query("lin_have_amounts", """
     SELECT document_id, NOT (k % 23 = 0) AS have_amounts FROM fx_truth""", ("fx_truth",))
 def lin_have_amounts(spark, folder):
-    picked = normalize.pick_fields(fx.documents(spark, folder))
-    normal = items.normalize_items(F.col("p_line_items"))
-    return picked.select("document_id", items.have_amounts(normal).alias("have_amounts"))
+    fields = normalize.pick_fields(fx.documents(spark, folder))
+    normal = items.normalize_items("p_line_items")
+    return fields.select("document_id", items.have_amounts(normal).alias("have_amounts"))
 
 
 # ---- enrichment ---------------------------------------------------------------------------------

@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated key in a JSON object keeps its last value instead of failing the parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Generated methods above this size are never compiled by the JVM; a stage with one runs faster
+    # as separate smaller projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
