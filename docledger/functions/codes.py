@@ -40,7 +40,12 @@ def infer_currency(explicit: Column, vendor: Column, number: Column, ocr_text: C
     """The explicit currency, else the first marker found in the document's texts, else BDT."""
     parts = [F.when(part != "", part) for part in (explicit, vendor, number, ocr_text)]
     corpus = F.upper(F.concat_ws(" ", *parts))
-    marked = F.when(F.lit(False), F.lit(""))
-    for code, patterns in CURRENCY_MARKERS:
-        marked = marked.when(corpus.rlike("(?U)" + "|".join(patterns)), F.lit(code))
-    return F.coalesce(named_currency(explicit), marked.otherwise(F.lit("BDT")))
+
+    def marked(seen: Column) -> Column:
+        result = F.when(F.lit(False), F.lit(""))
+        for code, patterns in CURRENCY_MARKERS:
+            result = result.when(seen.rlike("(?U)" + "|".join(patterns)), F.lit(code))
+        return result.otherwise(F.lit("BDT"))
+
+    # A one-element list, so that the long text is put together and upper-cased only once.
+    return F.coalesce(named_currency(explicit), F.get(F.transform(F.array(corpus), marked), F.lit(0)))

@@ -94,31 +94,35 @@ def recover_from_ocr(text: Column, strict: bool = True, words: list[str] = RULES
     )
     no_category = F.lit(None).cast("string")
 
-    def priced(line: Column, pattern: str) -> Column:
-        quantity = money_text(F.regexp_extract(line, pattern, 2))
-        unit = money_text(F.regexp_extract(line, pattern, 3))
-        total = money_text(F.regexp_extract(line, pattern, 4))
-        description = strip(F.regexp_extract(line, pattern, 1))
-        return _item(description, quantity, unit, total, no_category, F.lit(True))
+    def parts(line: Column, pattern: str, groups: int) -> Column:
+        """The pattern's groups, in one pass; a line holds no line end, so that can divide them."""
+        divided = F.regexp_replace(line, pattern, "\n".join(f"${n}" for n in range(1, groups + 1)))
+        return F.split(divided, "\n")
+
+    def priced(part: Column) -> Column:
+        quantity, unit, total = (money_text(part[place]) for place in (1, 2, 3))
+        return _item(strip(part[0]), quantity, unit, total, no_category, F.lit(True))
 
     if strict:
-        matched = F.filter(lines, lambda line: line.rlike(PRICED_LINE))
-        items = F.transform(matched, lambda line: priced(line, PRICED_LINE))
+        split = F.transform(lines, lambda line: parts(line, PRICED_LINE, 4))
+        matched = F.filter(split, lambda part: F.size(part) == 4)
+        items = F.transform(matched, priced)
         return F.filter(
             items, lambda item: (item["line_total"] > 0) & ~is_ignored(item["description"], words)
         )
 
-    def total_only(line: Column) -> Column:
-        total = money_text(F.regexp_extract(line, TOTAL_LINE, 2))
-        description = strip(F.regexp_extract(line, TOTAL_LINE, 1))
-        return _item(description, F.lit(1.0), total, total, no_category, F.lit(True))
+    def total_only(part: Column) -> Column:
+        total = money_text(part[1])
+        return _item(strip(part[0]), F.lit(1.0), total, total, no_category, F.lit(True))
+
+    def loose_parts(line: Column) -> Column:
+        four = parts(line, PRICED_LINE_PLAIN, 4)
+        return F.when(F.size(four) == 4, four).otherwise(parts(line, TOTAL_LINE, 2))
 
-    matched = F.filter(lines, lambda line: line.rlike(TOTAL_LINE))
+    split = F.transform(lines, loose_parts)
+    matched = F.filter(split, lambda part: F.size(part) > 1)
     items = F.transform(
-        matched,
-        lambda line: F.when(line.rlike(PRICED_LINE_PLAIN), priced(line, PRICED_LINE_PLAIN)).otherwise(
-            total_only(line)
-        ),
+        matched, lambda part: F.when(F.size(part) == 4, priced(part)).otherwise(total_only(part))
     )
     return F.filter(items, lambda item: item["line_total"] > 0)
 

@@ -18,8 +18,7 @@ def canonical_vendor(name: Column, names: dict[str, str] = VENDOR_NAMES) -> Colu
     return result.otherwise(strip(name))
 
 
-def _rule_category(text: Column, keywords: dict[str, list[str]]) -> Column:
-    lowered = F.lower(text)
+def _rule_category(lowered: Column, keywords: dict[str, list[str]]) -> Column:
     result = F.when(F.lit(False), F.lit(""))
     for category, words in keywords.items():
         result = result.when(has_any(lowered, words), F.lit(category))
@@ -30,7 +29,8 @@ def suggest_category(
     df: DataFrame, text: str, keywords: dict[str, list[str]] = CATEGORY_KEYWORDS
 ) -> DataFrame:
     """Add category, its confidence and source from the first category with a keyword."""
-    staged = df.withColumn("category", _rule_category(F.col(text), keywords))
+    lowered = df.withColumn("_lowered", F.lower(F.col(text)))
+    staged = lowered.withColumn("category", _rule_category(F.col("_lowered"), keywords)).drop("_lowered")
     hit = F.col("category").isNotNull()
     return staged.withColumns({
         "category": F.coalesce("category", F.lit("uncategorized")),

@@ -105,7 +105,11 @@ def _type_errors(checks: list[tuple[str, Column]], item_list: Column) -> Column:
             ),
         ),
     )
-    return F.filter(F.concat(F.array(*found), in_items), lambda error: error.isNotNull())
+    any_bad = F.exists(item_list, lambda item: ~item["text_category"])
+    for _, bad in checks:
+        any_bad = any_bad | bad
+    errors = F.filter(F.concat(F.array(*found), in_items), lambda error: error.isNotNull())
+    return F.when(any_bad, errors).otherwise(F.array().cast("array<struct<loc:string,type:string>>"))
 
 
 def coerce(

@@ -228,22 +228,36 @@ def failures_tail(dead_letters: DataFrame, limit: int = 50) -> DataFrame:
     return last.withColumn("log_total", total).orderBy("seq")
 
 
-def latency_p95(latencies: DataFrame, group: str = "run") -> DataFrame:
+def latency_p95(latencies: DataFrame, group: str = "run", width: int = 1000) -> DataFrame:
     """The value at place ``int(0.95 * (n - 1))`` of each group's sorted latencies.
 
-    Rows are first counted per distinct value, so the running count goes over distinct
-    milliseconds only.
+    Rows are counted per distinct value, then per range of ``width`` values. The running count goes
+    over ranges to find the one that holds the place, and over the values of that range only, so no
+    task sees all values of a group.
     """
-    counted = latencies.where(F.col("latency_ms").isNotNull()).groupBy(group, "latency_ms").agg(
-        F.count(F.lit(1)).alias("_n")
+    value = F.col("latency_ms")
+    counted = (
+        latencies.where(value.isNotNull())
+        .groupBy(group, "latency_ms")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_range", F.floor(value / width))
     )
-    upto = W.partitionBy(group).orderBy("latency_ms").rowsBetween(W.unboundedPreceding, 0)
-    total = counted.groupBy(group).agg(F.sum("_n").alias("_total"))
+    ranges = counted.groupBy(group, "_range").agg(F.sum("_n").alias("_n"))
+    total = ranges.groupBy(group).agg(F.sum("_n").alias("_total"))
+    upto = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
     place = F.floor(F.lit(0.95) * (F.col("_total") - 1)) + 1
-    return (
-        counted.withColumn("_upto", F.sum("_n").over(upto))
+    holding = (
+        ranges.withColumn("_upto", F.sum("_n").over(upto))
         .join(total, group)
-        .where(F.col("_upto") >= place)
+        .withColumn("_place", place - F.col("_upto") + F.col("_n"))
+        .where((F.col("_place") >= 1) & (F.col("_place") <= F.col("_n")))
+        .select(group, "_range", "_place")
+    )
+    within = W.partitionBy(group, "_range").orderBy("latency_ms").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        counted.join(holding, [group, "_range"])
+        .withColumn("_upto", F.sum("_n").over(within))
+        .where(F.col("_upto") >= F.col("_place"))
         .groupBy(group)
         .agg(F.min("latency_ms").alias("latency_p95_ms"))
     )

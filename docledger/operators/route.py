@@ -83,8 +83,8 @@ def record_struct(*extra: Column) -> Column:
     return F.struct(*RECORD_FIELDS, *extra)
 
 
-def ledger_rows(routed: DataFrame, processed_at: Column) -> DataFrame:
-    """Ledger rows of the stored documents, record and metadata as JSON text."""
+def ledger_rows(routed: DataFrame, processed_at: Column, *keep: str) -> DataFrame:
+    """Ledger rows of the stored documents, record and metadata as JSON text, plus columns to keep."""
     metadata = F.struct(
         "document_id",
         "drive_file_id",
@@ -101,6 +101,7 @@ def ledger_rows(routed: DataFrame, processed_at: Column) -> DataFrame:
         F.to_json(record_struct(F.col("needs_review"))).alias("record_json"),
         F.to_json(metadata).alias("metadata_json"),
         processed_at.alias("processed_at_utc"),
+        *keep,
     )
 
 

@@ -148,7 +148,7 @@ def nrm_vendor(spark, folder):
 @query("nrm_money", """
     SELECT document_id,
            CASE k % 10 WHEN 0 THEN totalprice WHEN 1 THEN totalprice WHEN 2 THEN cast(k AS DOUBLE) WHEN 3 THEN 1.0
-             WHEN 4 THEN cast(k AS DOUBLE) / 100000 + 1 WHEN 5 THEN 7.5 WHEN 6 THEN 1.0e20 WHEN 7 THEN -2.5 ELSE 7.5 END AS amount
+             WHEN 4 THEN cast('1.' || lpad(cast(k AS VARCHAR), 5, '0') AS DOUBLE) WHEN 5 THEN 7.5 WHEN 6 THEN 1.0e20 WHEN 7 THEN -2.5 ELSE 7.5 END AS amount
     FROM fx_orders""", ("fx_orders",))
 def nrm_money(spark, folder):
     value = choose(
@@ -158,9 +158,7 @@ def nrm_money(spark, folder):
         '"12-"', "1e20", '"- 2.5 kg"', '"1.2.3"', '"n/a"',
     )
     rows = picked(spark, folder, text('{"total": ', value, "}"))
-    shown = money.money(F.col("p_total_amount"), F.lit(7.5))
-    exact = F.when(every(10, 4), order_key() / 100000 + 1).otherwise(shown)
-    return rows.select("document_id", F.when(F.abs(exact - shown) < 1e-9, exact).otherwise(shown).alias("amount"))
+    return rows.select("document_id", money.money(F.col("p_total_amount"), F.lit(7.5)).alias("amount"))
 
 
 DATE_SQL = """CASE k % 10 WHEN 3 THEN CASE WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END

@@ -107,9 +107,7 @@ def routed_sinks(
         outcome = route(validate_and_score(coerce(parsed, as_of)))
         write_batch(outcome, f"{folder}/routed", batch_id)
         routed = spark.read.parquet(batch_folder(f"{folder}/routed", batch_id))
-        stored = ledger_rows(routed, processed_at).join(
-            routed.select(*CLAIM_KEY, "seq"), CLAIM_KEY
-        )
+        stored = ledger_rows(routed, processed_at, "seq")
         earlier = read_before(spark, f"{folder}/ledger", batch_id, KEYS)
         new = append_if_absent(stored, earlier).where(F.col("append_status") == "appended")
         write_batch(new.drop("append_status", "seq"), f"{folder}/ledger", batch_id)

@@ -281,3 +281,52 @@ def test_insert_if_absent_with_a_hot_key(spark):
     got = sinks.append_if_absent(rows, ledger)
     counts = {r.append_status: r["count"] for r in got.groupBy("append_status").count().collect()}
     assert counts == {"appended": 50, "skipped_duplicate": 2950}
+
+
+def test_first_claims_and_compaction(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "h", f"2024-01-01 00:0{n}:00", n) for n in range(4)] + [("g", "h", "2024-01-01 00:09:00", 9)],
+                                 "drive_file_id string, file_hash string, at string, n int").withColumn("at", F.col("at").cast("timestamp"))
+    rows.repartition(3).write.json(str(tmp_path / "in"))
+    stream = jobs.first_claims_stream(jobs.ingest_stream(spark, str(tmp_path / "in"), rows.schema, 1), "at", "1 hour")
+    started = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+               .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    assert started.awaitTermination(120)
+    assert sorted(r.drive_file_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["f", "g"]
+    claims_path = str(tmp_path / "claims")
+    one = spark.createDataFrame([("f", "h", "CLAIMED", "w", "t", "t")], CLAIMS)
+    jobs.seed_claims(one, claims_path)
+    jobs.write_batch(one.withColumn("status", F.lit("STORED")), claims_path, 0)
+    jobs.compact_claims(spark, claims_path, str(tmp_path / "small"), 0)
+    assert jobs.current_claims(spark, str(tmp_path / "small"), 1).first().status == "STORED"
+
+
+def test_routed_sinks_store_a_repeated_key_once(spark, tmp_path):
+    payload = json.dumps({"vendor": "V", "invoice_no": "1", "total": 5, "confidence": 0.9, "date": "2024-01-01"})
+    rows = spark.createDataFrame([(f"d{n}", "f", "h", n, payload, None, "mistral", None, None) for n in range(3)],
+                                 "document_id string, drive_file_id string, file_hash string, seq int, raw_text string, ocr_text string, provider string, error_code string, error_message string")
+    rows.repartition(3).write.json(str(tmp_path / "in"))
+    stream = jobs.ingest_stream(spark, str(tmp_path / "in"), rows.schema, 2)
+    started = jobs.routed_sinks(stream, str(tmp_path), str(tmp_path / "cp"), "2026-01-01", F.lit("2026-01-01").cast("timestamp"))
+    assert started.awaitTermination(300)
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 1
+
+
+def test_views_in_sql(spark):
+    from docledger.operators.views import register_views
+
+    record = {"vendor_name": "V", "total_amount": 1.5, "needs_review": True, "line_items": [{"description": "a", "quantity": 2}]}
+    rows = [(1, "f", "h", "STORED", json.dumps(record), '{"document_id": "d"}'), (2, "g", "h", "ARCHIVED", "{}", "{}")]
+    ledger = spark.createDataFrame(rows, "id long, drive_file_id string, file_hash string, status string, record_json string, metadata_json string")
+    register_views(ledger.withColumn("processed_at_utc", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")))
+    assert spark.sql("select records_total, stored_total, needs_review_total, total_amount_sum from ledger_daily_summary").first()[:3] == (2, 1, 1)
+    assert spark.sql("select line_no, description from ledger_line_items_flat").collect() == [(1, "a")]
+    bad = ledger.withColumn("record_json", F.lit('{"total_amount": "x"}')).withColumn("processed_at_utc", F.lit("2024-01-01").cast("timestamp_ntz"))
+    register_views(bad)
+    with pytest.raises(PySparkException):
+        spark.sql("select sum(total_amount) from ledger_records_flat").collect()
+
+
+def test_archive_collisions(spark):
+    files = spark.createDataFrame([("in/a/x.pdf",), ("in/b/x.pdf",), ("in/y.pdf",)], "id string")
+    got = {r.source: (r.destination, r.collision) for r in sinks.archive_manifest(files, "archive//").collect()}
+    assert got == {"in/a/x.pdf": ("archive/x.pdf", True), "in/b/x.pdf": ("archive/x.pdf", True), "in/y.pdf": ("archive/y.pdf", False)}
