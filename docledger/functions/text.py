@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,14 +31,20 @@ def split_lines(value: Column) -> Column:
     return F.split(value, LINE_END)
 
 
-def any_word(words: list[str]) -> str:
-    """A pattern that finds any of the words as plain text."""
-    return "|".join(re.escape(word) for word in words)
+def has_any(value: Column, words: list[str]) -> Column:
+    """True when any word occurs in the value as a substring.
 
+    A word that holds another of the words adds nothing and is left out. The one-element list makes
+    the value be computed once, whatever expression it is.
+    """
+    needed = [word for word in words if not any(other != word and other in word for other in words)]
+    if not needed:
+        return F.lit(False)
 
-def has_any(value: Column, words: list[str]) -> Column:
-    """True when any word occurs in the value as a substring."""
-    return value.rlike(any_word(words)) if words else F.lit(False)
+    def found(text: Column) -> Column:
+        return reduce(or_, [text.contains(word) for word in needed])
+
+    return F.exists(F.array(value), found)
 
 
 def plain_text(value: Column) -> Column:

@@ -102,10 +102,11 @@ def compare(pairs: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
         .otherwise(F.lit("value mismatch"))
     )
     known = F.col("fixed_reason").isNotNull() | F.col("fixed_match")
+    compared = ["name", "expected", "actual", "fixed_match", "fixed_reason", "field"]
     return numbered.withColumn(
         "matched", F.when(known, F.col("fixed_match")).otherwise(F.coalesce(matched, F.lit(False)))
     ).select(
-        "id",
+        *[column for column in pairs.columns if column not in compared],
         "field",
         F.col("_expected_text").alias("expected_value"),
         F.col("_actual_text").alias("actual_value"),
@@ -159,12 +160,16 @@ def line_item_pairs(expected: Column, actual: Column) -> Column:
     return F.concat(F.array(count), F.flatten(F.transform(expected, of_item)))
 
 
-def explode_fields(gated: DataFrame) -> DataFrame:
-    """One comparison per expected field of each usable case."""
-    members = gated.where(F.col("status") == "ok").select(
-        "id",
+def explode_fields(gated: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One comparison per expected field of each usable case; any other case gives one without a
+    field, so that no case is lost."""
+    expected_fields = F.when(
+        F.col("status") == "ok", F.try_variant_get("expected", "$", "map<string,variant>")
+    )
+    members = gated.select(
+        *keep,
         F.try_variant_get("record", "$", "map<string,variant>").alias("_record"),
-        F.explode(F.try_variant_get("expected", "$", "map<string,variant>")).alias("_name", "_expected"),
+        F.explode_outer(expected_fields).alias("_name", "_expected"),
     ).withColumns({
         "_actual": F.try_element_at(F.col("_record"), F.col("_name")),
         "_items": F.when(
@@ -177,34 +182,40 @@ def explode_fields(gated: DataFrame) -> DataFrame:
     )
     no_list = _pair(name, name, expected, actual, F.lit(False), "'line_items' must be a list")
     pairs = (
-        F.when(name != "line_items", F.array(_pair(name, name, expected, actual)))
+        F.when(name.isNull(), F.lit(None))
+        .when(name != "line_items", F.array(_pair(name, name, expected, actual)))
         .when(F.col("_items").isNull(), F.array(no_list))
         .otherwise(line_item_pairs(F.col("_items"), actual_items))
     )
-    return members.select("id", F.inline(pairs))
+    return members.select(*keep, F.inline_outer(pairs))
 
 
 def field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
     """One row per compared field of each usable case: field, values, matched and reason."""
-    return compare(explode_fields(gated), tolerance)
+    return compare(explode_fields(gated).where(F.col("field").isNotNull()), tolerance)
+
 
+CASE_COLUMNS = ("id", "file_path", "status", "error", "details", "used_provider")
 
-def score_cases(fields: DataFrame) -> DataFrame:
-    """Matched and total fields per case and their share."""
-    share = F.bround(F.col("matched_fields") / F.col("total_fields"), 4)
-    return fields.groupBy("id").agg(
-        F.count_if("matched").alias("matched_fields"), F.count(F.lit(1)).alias("total_fields")
-    ).withColumn("score", share)
 
+def case_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
+    """Every case with matched and total fields and their share, in one pass over the cases.
 
-def case_results(gated: DataFrame, scores: DataFrame) -> DataFrame:
-    """Every case with its status and score; a usable case without fields scores zero."""
-    scored = gated.drop("expected", "record").join(scores, "id", "left")
+    A case that could not be used has no counts and no score.
+    """
+    compared = compare(explode_fields(gated, CASE_COLUMNS), tolerance)
+    counted = compared.groupBy(*CASE_COLUMNS).agg(
+        F.count_if(F.col("matched") & F.col("field").isNotNull()).alias("matched_fields"),
+        F.count("field").alias("total_fields"),
+    )
+    share = F.coalesce(F.try_divide("matched_fields", "total_fields"), F.lit(0.0))
     ok = F.col("status") == "ok"
-    return scored.withColumns({
-        name: F.when(ok, F.coalesce(F.col(name), F.lit(0).cast(kind)))
-        for name, kind in (("matched_fields", "bigint"), ("total_fields", "bigint"), ("score", "double"))
-    })
+    return counted.select(
+        *CASE_COLUMNS,
+        F.when(ok, F.col("matched_fields")).alias("matched_fields"),
+        F.when(ok, F.col("total_fields")).alias("total_fields"),
+        F.when(ok, F.bround(share, 4)).alias("score"),
+    )
 
 
 def summarize(results: DataFrame) -> DataFrame:

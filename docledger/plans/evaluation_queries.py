@@ -16,8 +16,7 @@ def gated_cases(spark, folder) -> DataFrame:
 
 def evaluated(spark, folder) -> tuple[DataFrame, DataFrame]:
     gated = gated_cases(spark, folder)
-    fields = evaluate.field_results(gated)
-    return evaluate.case_results(gated, evaluate.score_cases(fields)), fields
+    return evaluate.case_results(gated), evaluate.field_results(gated)
 
 
 @query("evl_gate", "SELECT id, status, error, used_provider FROM fx_eval", ("fx_eval",))

@@ -78,7 +78,8 @@ def order_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: its lines in order."""
-    lines = table(spark, folder, "lineitem").join(
+    # Lists do not shrink on the map side, so the lines are divided first and gathered in parallel.
+    lines = table(spark, folder, "lineitem").repartition("l_orderkey").join(
         table(spark, folder, "part").select("p_partkey", "p_name", "p_type"),
         F.col("l_partkey") == F.col("p_partkey"),
     )
@@ -176,17 +177,11 @@ def routed(spark: SparkSession, folder: str) -> DataFrame:
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Stored documents as ledger rows; orders that are finished count as archived."""
-    stored = ledger_rows(routed(spark, folder), F.col("ordered_at"))
-    key = F.regexp_extract("drive_file_id", r"(\d+)", 1).cast("bigint")
-    status = order_keys(spark, folder).where(F.col("orderstatus") == "F").select(
-        F.col("k").alias("id"), F.lit("ARCHIVED").alias("archived")
-    )
-    return (
-        stored.withColumn("id", key)
-        .join(status, "id", "left")
-        .withColumn("status", F.coalesce("archived", "status"))
-        .select("id", "drive_file_id", "file_hash", "status", "record_json", "metadata_json",
-                "processed_at_utc")
+    stored = ledger_rows(routed(spark, folder), F.col("ordered_at"), "k", "orderstatus")
+    return stored.select(
+        F.col("k").alias("id"), "drive_file_id", "file_hash",
+        F.when(F.col("orderstatus") == "F", "ARCHIVED").otherwise(F.col("status")).alias("status"),
+        "record_json", "metadata_json", "processed_at_utc",
     )
 
 

@@ -217,7 +217,7 @@ def test_evaluation(spark):
     assert rows[("2", "line_items[0].line_total")] == (False, "value mismatch")
     assert rows[("2", "line_items[1]")] == (False, "missing line item")
     assert rows[("6", "line_items")] == (False, "'line_items' must be a list")
-    results = evaluate.case_results(gated, evaluate.score_cases(fields))
+    results = evaluate.case_results(gated)
     scores = {r.id: (r.status, r.error, r.score) for r in results.collect()}
     assert scores["1"] == ("ok", None, 0.8) and scores["2"] == ("ok", None, 0.4)
     assert [scores[i][1] for i in "345"] == ["bad", "file_not_found", "invalid_expected_payload"]
