@@ -198,15 +198,21 @@ def field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> Data
 CASE_COLUMNS = ("id", "file_path", "status", "error", "details", "used_provider")
 
 
-def case_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
+def case_results(
+    gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE, with_fields: bool = False
+) -> DataFrame:
     """Every case with matched and total fields and their share, in one pass over the cases.
 
-    A case that could not be used has no counts and no score.
+    A case that could not be used has no counts and no score. With ``with_fields`` each case also
+    carries the list of its field results.
     """
     compared = compare(explode_fields(gated, CASE_COLUMNS), tolerance)
+    found = F.struct("field", "expected_value", "actual_value", "matched", "reason")
+    listed = F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), found)))
     counted = compared.groupBy(*CASE_COLUMNS).agg(
         F.count_if(F.col("matched") & F.col("field").isNotNull()).alias("matched_fields"),
         F.count("field").alias("total_fields"),
+        *([listed.alias("field_results")] if with_fields else []),
     )
     share = F.coalesce(F.try_divide("matched_fields", "total_fields"), F.lit(0.0))
     ok = F.col("status") == "ok"
@@ -215,6 +221,7 @@ def case_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataF
         F.when(ok, F.col("matched_fields")).alias("matched_fields"),
         F.when(ok, F.col("total_fields")).alias("total_fields"),
         F.when(ok, F.bround(share, 4)).alias("score"),
+        *(["field_results"] if with_fields else []),
     )
 
 

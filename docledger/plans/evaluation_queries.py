@@ -14,9 +14,8 @@ def gated_cases(spark, folder) -> DataFrame:
     return evaluate.gate_cases(fx.golden(spark, folder), fx.evaluated_documents(spark, folder))
 
 
-def evaluated(spark, folder) -> tuple[DataFrame, DataFrame]:
-    gated = gated_cases(spark, folder)
-    return evaluate.case_results(gated), evaluate.field_results(gated)
+def evaluated(spark, folder) -> DataFrame:
+    return evaluate.case_results(gated_cases(spark, folder))
 
 
 @query("evl_gate", "SELECT id, status, error, used_provider FROM fx_eval", ("fx_eval",))
@@ -64,8 +63,7 @@ def evl_line_items(spark, folder):
     SELECT id, status, CASE WHEN status = 'ok' THEN matched END AS matched_fields, CASE WHEN status = 'ok' THEN total END AS total_fields,
            CASE WHEN status = 'ok' THEN round_even(matched / total, 4) END AS score FROM fx_eval""", ("fx_eval",))
 def evl_case_scores(spark, folder):
-    results, _ = evaluated(spark, folder)
-    return results.select("id", "status", "matched_fields", "total_fields", "score")
+    return evaluated(spark, folder).select("id", "status", "matched_fields", "total_fields", "score")
 
 
 @query("evl_summary", """
@@ -73,18 +71,18 @@ def evl_case_scores(spark, folder):
            round_even(cast(sum(cast(CASE WHEN status = 'ok' THEN round_even(matched / total, 4) END AS DECIMAL(10,4))) AS DOUBLE)
              / count(*) FILTER (status = 'ok'), 4) AS avg_score FROM fx_eval""", ("fx_eval",))
 def evl_summary(spark, folder):
-    return evaluate.summarize(evaluated(spark, folder)[0])
+    return evaluate.summarize(evaluated(spark, folder))
 
 
 @query("evl_providers", """
     SELECT used_provider, count(*) AS ok_total FROM fx_eval WHERE status = 'ok' GROUP BY used_provider""", ("fx_eval",))
 def evl_providers(spark, folder):
-    return evaluate.evaluated_providers(evaluated(spark, folder)[0])
+    return evaluate.evaluated_providers(evaluated(spark, folder))
 
 
 @query("evl_gate_result", """
     SELECT round_even(cast(sum(cast(CASE WHEN status = 'ok' THEN round_even(matched / total, 4) END AS DECIMAL(10,4))) AS DOUBLE)
              / count(*) FILTER (status = 'ok'), 4) AS avg_score, avg_score < 0.9 AS failed FROM fx_eval""", ("fx_eval",))
 def evl_gate_result(spark, folder):
-    summary = evaluate.summarize(evaluated(spark, folder)[0])
+    summary = evaluate.summarize(evaluated(spark, folder))
     return evaluate.quality_gate(summary, 0.9).select("avg_score", "failed")

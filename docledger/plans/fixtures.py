@@ -78,11 +78,11 @@ def order_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: its lines in order."""
-    # Lists do not shrink on the map side, so the lines are divided first and gathered in parallel.
-    lines = table(spark, folder, "lineitem").repartition("l_orderkey").join(
+    # Lists do not shrink on the map side, so lines are divided by document before they are gathered.
+    lines = table(spark, folder, "lineitem").join(
         table(spark, folder, "part").select("p_partkey", "p_name", "p_type"),
         F.col("l_partkey") == F.col("p_partkey"),
-    )
+    ).repartition("l_orderkey")
     cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     ordered = F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.operators import claims, review
+from docledger.operators import claims, evaluate, review
 from docledger.operators.reports import resolved_hashes
 from docledger.operators.route import run_counters
 from docledger.plans import fixtures as fx
-from docledger.plans.evaluation_queries import evaluated
+from docledger.plans.evaluation_queries import gated_cases
 from docledger.plans.fixtures import every, numbered, order_key
 from docledger.plans.registry import query
 from docledger.session import work_folder
@@ -202,10 +202,10 @@ def snk_replay_audit(spark, folder):
 
 
 @query("snk_evaluation_report", """
-    SELECT id, status, total AS field_rows, CASE WHEN status = 'ok' THEN round_even(matched / total, 4) END AS score FROM fx_eval""", ("fx_eval",))
+    SELECT id, status, coalesce(total, 0) AS field_rows, CASE WHEN status = 'ok' THEN round_even(matched / total, 4) END AS score FROM fx_eval""", ("fx_eval",))
 def snk_evaluation_report(spark, folder):
-    results, fields = evaluated(spark, folder)
-    report = sinks.evaluation_report(results, fields)
+    results = evaluate.case_results(gated_cases(spark, folder), with_fields=True)
+    report = sinks.evaluation_report(results)
     layout = "status string, score double, field_results array<struct<field:string,matched:boolean>>"
     read = F.from_json("report", layout)
     return report.select("id", read.alias("r")).select(

@@ -124,9 +124,12 @@ def replay_audit(classified: DataFrame, recorded_at: Column) -> DataFrame:
     )
 
 
-def evaluation_report(results: DataFrame, fields: DataFrame) -> DataFrame:
-    """One JSON document per case with its field results."""
-    row = F.struct("field", "expected_value", "actual_value", "matched", "reason")
-    listed = fields.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("field_results"))
-    joined = results.join(listed, "id", "left")
-    return joined.select("id", F.to_json(F.struct(*joined.columns)).alias("report"))
+def evaluation_report(results: DataFrame) -> DataFrame:
+    """One JSON document per case; ``results`` carry their field results."""
+    return results.select("id", F.to_json(F.struct(*results.columns)).alias("report"))
+
+
+def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """The report as JSON lines, cases and summary in folders of their own."""
+    evaluation_report(results).select("report").write.mode("overwrite").text(f"{path}/cases")
+    summary.write.mode("overwrite").json(f"{path}/summary")

@@ -224,7 +224,8 @@ def test_evaluation(spark):
     summary = evaluate.summarize(results)
     assert summary.first().asDict() == {"cases_total": 6, "ok_total": 3, "error_total": 3, "avg_score": 0.4}
     assert evaluate.quality_gate(summary, 0.5).first().failed and not evaluate.quality_gate(summary, 0.0).first().failed
-    report = sinks.evaluation_report(results, fields).where("id = '1'").first().report
+    with_fields = evaluate.case_results(gated, with_fields=True)
+    report = sinks.evaluation_report(with_fields).where("id = '1'").first().report
     assert len(json.loads(report)["field_results"]) == 5
 
 
