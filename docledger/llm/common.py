@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docledger.session import work_folder
 
 #: Tasks over which the rows of one key are dealt in `attach`.
-SPREAD = 64
+SPREAD = 1024
 #: One or more of these characters separate words.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import exact_dedup
+from docledger.llm import exact_dedup, mixing, simhash
 from docledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,5 +28,20 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup}
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op8_simhash": op8_simhash,
+    "op10_mixing": op10_mixing,
+}
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
