@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import exact_dedup, mixing, simhash
+from docledger.llm import byte_bpe, exact_dedup, mixing, simhash, token_files
 from docledger.llm.common import table
+from docledger.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,9 +41,26 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = byte_bpe.round_trip(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_folder(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_simhash": op8_simhash,
+    "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
