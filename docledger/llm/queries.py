@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import byte_bpe, exact_dedup, mixing, simhash, token_files
+from docledger.llm import byte_bpe, exact_dedup, mixing, simhash, token_files, toxicity
 from docledger.llm.common import table
 from docledger.session import work_folder
 
@@ -41,6 +41,15 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit(documents, table(spark, folder, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     both = byte_bpe.round_trip(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -58,6 +67,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
