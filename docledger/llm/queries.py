@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import byte_bpe, exact_dedup, mixing, simhash, token_files, toxicity
+from docledger.llm import byte_bpe, exact_dedup, mixing, pii, simhash, token_files, toxicity
 from docledger.llm.common import table
 from docledger.session import work_folder
 
@@ -30,6 +30,19 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = pii.find(documents, pii.fit(documents))
+
+    def joined(spans: str) -> Column:
+        one = F.transform(spans, lambda span: F.concat_ws(":", span["kind"], span["start"].cast("string"), span["end"].cast("string")))
+        return F.array_join(one, ",")
+
+    kinds = F.col("base.kind")
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
@@ -69,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
