@@ -1,25 +1,62 @@
-"""A pipeline over ``documents``, from raw texts to token ids."""
+"""A pipeline over ``documents``, from raw texts to token ids.
+
+Every stage takes a table with the columns of documents and keeps whole rows; the last one returns ids. Extra columns go
+through all stages but the last. Texts are joined back to decisions by doc_id, as a shuffle on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docledger.llm import exact_dedup
+from docledger.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
 from docledger.llm.common import one_of_each, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go; the model is learned from the labels of the training side."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays."""
+    """Of equal texts the document with the smallest doc_id stays."""
     return one_of_each(docs, exact_dedup.deduplicate(docs).where("kept"))
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the document with the smallest doc_id stays."""
+    found = simhash.near_duplicates(docs)
+    return one_of_each(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once, or several times."""
+    return mixing.repeat(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row that is left, and whether decoding gave the text back."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(spark, docs, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
 
-#: None of the later stages can be written in SQL.
+#: Learned scores, fingerprints and tokens can't be written in SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 

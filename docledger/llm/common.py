@@ -45,14 +45,17 @@ def attach(rows: DataFrame, values: DataFrame, key: str, identity: str) -> DataF
     return salted.join(lookup, [key, "_salt"], "left").drop("_salt")
 
 
-def one_of_each(df: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose id is in ``ids``; of rows that repeat an id, the one with the smallest hash of
-    all its columns (ids are null-safe, so a null id counts as an id)."""
-    wanted = ids.select(F.col(name).alias("_wanted")).distinct()
-    found = df.join(wanted, df[name].eqNullSafe(wanted["_wanted"]), "left_semi")
+def numbered(df: DataFrame, key: list[Column]) -> DataFrame:
+    """``df`` with _key (a struct, in which nulls are equal) and _copy (1, 2, ... among the rows of a key, by a hash of the row)."""
+    keyed = df.withColumn("_key", F.struct(*key))
     order = F.xxhash64(*[F.col(f"`{column}`") for column in sorted(df.columns)])
-    place = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return found.withColumn("_place", place).where("_place = 1").drop("_place")
+    return keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(order)).cast("bigint"))
+
+
+def one_of_each(df: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """One row of ``df`` for each id in ``ids``; nulls count as one id. Rows of ``df`` are shuffled once."""
+    wanted = ids.select(F.struct(F.col(name).cast(df.schema[name].dataType).alias(name)).alias("_key")).distinct()
+    return numbered(df, [F.col(name)]).where("_copy = 1").join(wanted, "_key", "left_semi").select(*[F.col(f"`{column}`") for column in df.columns])
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import WORDS, attach, whole_text, written
+from docledger.llm.common import WORDS, numbered, whole_text, written
 
 WEIGHTS = (5, 2, 1)
 #: A source gives each of its words this often at most.
@@ -32,6 +32,10 @@ EPS = 1e-9
 UNIT = "struct<size:bigint,doc_id:bigint,copy:bigint,p:double>"
 
 
+def size_of(text: str) -> Column:
+    return F.regexp_count(whole_text(text), F.lit(WORDS)).cast("bigint")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """(source, source_size, target) from rows of (source, size).
 
@@ -127,7 +131,7 @@ def mix(
     """
     read = documents.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        F.regexp_count(whole_text(text), F.lit(WORDS)).cast("bigint").alias("size"),
+        size_of(text).alias("size"),
     )
     rows = written(read.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
     sizes = rows.select("source", (F.col("size") * F.col("times")).alias("size"))
@@ -150,3 +154,13 @@ def mix(
     drawn = round_fractions(each.where(f"p > {EPS}"), seed)
     copies = F.when(F.col("size") > 0, whole + F.col("extra")).otherwise(0).cast("bigint")
     return rated(plain.union(drawn)).select("doc_id", "source", "copy", "size", "source_size", "target", copies.alias("copies"))
+
+
+def repeat(documents: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Rows of ``documents``, with all their columns, as often as ``mixed`` takes them. Rows are shuffled once."""
+    own = [F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size")]
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("size").alias("size"))
+    taken = mixed.where("copies > 0").select(key.alias("_key"), F.col("copy").alias("_copy"), "copies")
+    rows = numbered(documents, own)
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return rows.join(taken, ["_key", "_copy"]).withColumn("_time", times).select(*[F.col(f"`{column}`") for column in documents.columns])

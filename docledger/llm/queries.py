@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import byte_bpe, exact_dedup, mixing, neighbours, pii, simhash, suffixes, token_files, toxicity
+from docledger.llm import byte_bpe, exact_dedup, mixing, neighbours, pii, simhash, suffixes, token_files, toxicity, warc
 from docledger.llm.common import table
 from docledger.session import work_folder
 
@@ -67,6 +67,10 @@ def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeats(table(spark, folder, "documents"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, folder, "pages"))).withColumnRenamed("key", "page_id")
+
+
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.Index(table(spark, folder, "embeddings")).search(F.col("vec_id") % 100 == 0)
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_repeats": op3_repeats,
+    "op4_warc": op4_warc,
     "op5_neighbours": op5_neighbours,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pii": op7_pii,

@@ -365,3 +365,18 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
     read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     return read.mapInArrow(of, "doc_id bigint, score double, registers array<double>")
+
+
+def keep_clean(documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """Rows of ``documents``, with all their columns, whose score is below ``limit``; nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        reader = Reader(fitted.words, fitted.stems)
+        for batch in batches:
+            found = [reader.registers(one or "") for one in batch.column(text).to_pylist()]
+            scores = fitted.score(np.array(found).reshape(-1, len(REGISTERS) + 1))
+            yield batch.filter(pa.array(scores < limit))
+
+    return documents.mapInArrow(of, documents.schema)
