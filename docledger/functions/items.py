@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docledger.functions.money import at_least_zero, cents, money, money_text
-from docledger.functions.payload import as_text, fields_type, is_text, pick_sql
+from docledger.functions.money import MOST_CENTS, at_least_zero, cents, money, money_text
+from docledger.functions.payload import as_text, is_text, pick
 from docledger.functions.subset import closest_lines_udf
 from docledger.functions.text import has_any, split_lines, strip
 from docledger.rules import RULES, Rules
@@ -33,18 +33,16 @@ def _item(description, quantity, unit_price, line_total, category, text_category
 ITEM_FIELDS = ["description", "quantity", "unit_price", "line_total", "category"]
 
 
-def item_type(rules: Rules = RULES) -> str:
-    return fields_type([rules.item(name) for name in ITEM_FIELDS])
-
-
 def normalize_items(raw: str, rules: Rules = RULES) -> Column:
-    """Typed items of a column of item structs (see ``item_type``); null members are dropped.
+    """Typed items of a column of lists of members by name; null members are dropped.
 
     ``text_category`` is false where the category is present but no text, which the record
     schema rejects later.
     """
-    picks = ", ".join(f"'{name}', {pick_sql('x', rules.item(name))}" for name in ITEM_FIELDS)
-    picked = F.expr(f"transform(filter({raw}, x -> x IS NOT NULL), x -> named_struct({picks}))")
+    picked = F.transform(
+        F.filter(raw, lambda item: item.isNotNull()),
+        lambda item: F.struct(*[pick(item, rules.item(name)).alias(name) for name in ITEM_FIELDS]),
+    )
 
     def numbers(item: Column) -> Column:
         return F.struct(
@@ -136,7 +134,7 @@ def kept_positions(items: Column, target: Column, tolerance: float) -> Column:
     """Positions that best fill the target when the items add up to more; null elsewhere."""
     slack = round(tolerance * 100)
     amounts = F.transform(items, lambda item: cents(item["line_total"]))
-    total = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda acc, amount: acc + amount)
+    total = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda acc, amount: F.least(acc + amount, F.lit(MOST_CENTS * 100)))
     limit = cents(target) + slack
     overcounted = (target > 0) & (F.size(items) > 1) & (total > limit)
     return closest_lines_udf(F.when(overcounted, amounts), F.when(overcounted, limit))

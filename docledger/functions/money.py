@@ -39,9 +39,13 @@ def unit_range(value: Column) -> Column:
     return F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0))
 
 
+#: Larger amounts count as this many cents: a bar code read as an amount must not end a job.
+MOST_CENTS = 10**16
+
+
 def cents(value: Column) -> Column:
-    """Whole cents; ``rint`` is half-even on the binary value."""
-    return F.rint(value * 100).cast("bigint")
+    """Whole cents, `MOST_CENTS` at most; ``rint`` is half-even on the binary value."""
+    return F.least(F.rint(value * 100), F.lit(float(MOST_CENTS))).cast("bigint")
 
 
 def round2(value: Column) -> Column:

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from docledger.functions.text import strip
 
 
-def quoted_path(steps: list[str]) -> str:
-    return "$" + "".join(f'["{step}"]' for step in steps)
-
-
 def as_text(value: Column) -> Column:
     """Text form of a variant; JSON null gives null, objects and lists give their JSON."""
     return F.try_variant_get(value, "$", "string")
@@ -25,37 +21,38 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT<")
 
 
-def fields_type(aliases: list[list[str]]) -> str:
-    """Struct type that takes the aliased members of an object as variants, in one pass over it."""
-    names = list(dict.fromkeys(alias.split(".")[0] for group in aliases for alias in group))
-    return "struct<" + ",".join(f"`{name}`:variant" for name in names) + ">"
+def members(value: Column) -> Column:
+    """The members of an object by their exact names; null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _member(fields: str, alias: str) -> str:
+def _member(fields: Column, alias: str) -> Column:
     first, *rest = alias.split(".")
-    member = f"{fields}.`{first}`"
-    return f"try_variant_get({member}, '{quoted_path(rest)}', 'variant')" if rest else member
+    found = F.try_element_at(fields, F.lit(first))
+    for step in rest:
+        found = F.try_element_at(members(found), F.lit(step))
+    return found
+
 
+def _present(member: Column) -> Column:
+    return as_text(member) != ""
 
-def pick_sql(fields: str, aliases: list[str]) -> str:
-    """The first aliased member of a struct of variants that is neither null nor the empty text."""
-    members = [_member(fields, alias) for alias in aliases]
-    present = [f"CASE WHEN try_variant_get({m}, '$', 'string') <> '' THEN {m} END" for m in members]
-    return f"coalesce({', '.join(present)})"
 
+def pick(fields: Column, aliases: list[str]) -> Column:
+    """The first aliased member that is neither null nor the empty text, as a variant."""
+    found = [_member(fields, alias) for alias in aliases]
+    return F.coalesce(*[F.when(_present(member), member) for member in found], F.lit(None).cast("variant"))
 
-def pick_list_sql(fields: str, aliases: list[str], item_type: str) -> str:
-    """As ``pick_sql`` for a list of objects; a present value that is no list gives an empty list.
 
-    Members that are no objects come out as null.
-    """
-    kind = f"array<{item_type}>"
+def pick_list(fields: Column, aliases: list[str]) -> Column:
+    """As ``pick`` for a list of objects, each as a map of its members; a present value that is no list gives an
+    empty list, and members that are no objects come out as null."""
+    kind = "array<map<string,variant>>"
     found = []
     for alias in aliases:
         member = _member(fields, alias)
-        found.append(f"try_variant_get({member}, '$', '{kind}')")
-        found.append(f"CASE WHEN try_variant_get({member}, '$', 'string') <> '' THEN cast(array() AS {kind}) END")
-    return f"coalesce({', '.join(found)}, cast(array() AS {kind}))"
+        found += [F.try_variant_get(member, "$", kind), F.when(_present(member), F.array().cast(kind))]
+    return F.coalesce(*found, F.array().cast(kind))
 
 
 def vendor_name(value: Column, objects: bool = True) -> Column:

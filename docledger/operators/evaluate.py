@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions.money import number_text
+from docledger.functions.once import compute_once
 from docledger.functions.payload import as_text
 from docledger.functions.text import plain_text
 from docledger.rules import AMOUNT_TOLERANCE
 
 # The fields compared as numbers within the tolerance.
 NUMERIC_FIELDS = ["subtotal", "tax_amount", "total_amount", "model_confidence", "validation_score"]
+RESULTS = "array<struct<field:string,expected_value:string,actual_value:string,matched:boolean,reason:string>>"
 NUMBERS = ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"]
 
 
@@ -19,10 +21,10 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _number(side: str) -> Column:
-    kind = F.col(f"_{side}_kind")
-    return F.when(kind.isin(NUMBERS), F.try_variant_get(side, "$", "double")).when(
-        kind == "STRING", number_text(F.col(f"_{side}_text"))
+def _number(value: Column) -> Column:
+    kind = _kind(value)
+    return F.when(kind.isin(NUMBERS), F.try_variant_get(value, "$", "double")).when(
+        kind == "STRING", number_text(as_text(value))
     )
 
 
@@ -61,57 +63,39 @@ def gate_cases(cases: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def compare(pairs: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
-    """Add ``matched`` and ``reason`` to pairs of an expected and an actual variant.
+def _judged(pair: Column, tolerance: float) -> Column:
+    """A pair's ``field``, both values as text, ``matched`` and ``reason``.
 
-    ``pairs``: name (the field that decides how to compare), expected, actual. The five numeric
-    fields compare within the tolerance, expected texts without regard to case and spacing, and
-    everything else by value.
+    The five numeric fields compare within the tolerance, expected texts without regard to case and
+    spacing, and everything else by value.
     """
-    typed = pairs.withColumns({
-        "_expected_kind": _kind(F.col("expected")),
-        "_actual_kind": _kind(F.col("actual")),
-        "_expected_text": as_text(F.col("expected")),
-        "_actual_text": as_text(F.col("actual")),
-    })
-    numbered = typed.withColumns({
-        "_expected_number": _number("expected"),
-        "_actual_number": _number("actual"),
-    })
-    numeric = F.col("name").isin(NUMERIC_FIELDS)
-    texts = F.col("_expected_kind") == "STRING"
-    gap = F.abs(F.col("_expected_number") - F.col("_actual_number"))
-    empty = (F.col("_actual_kind").isin(NUMBERS) & (F.col("_actual_number") == 0)) | F.col(
-        "_actual_text"
-    ).isin("{}", "[]")
-    shown = F.when(empty & (F.col("_actual_kind") != "STRING"), F.lit("")).otherwise(F.col("_actual_text"))
+    name, expected, actual = pair["name"], pair["expected"], pair["actual"]
+    expected_kind, actual_kind = _kind(expected), _kind(actual)
+    expected_text, actual_text = as_text(expected), as_text(actual)
+    expected_number, actual_number = _number(expected), _number(actual)
+    numeric = name.isin(NUMERIC_FIELDS)
+    texts = expected_kind == "STRING"
+    empty = (actual_kind.isin(NUMBERS) & (actual_number == 0)) | actual_text.isin("{}", "[]")
+    shown = F.when(empty & (actual_kind != "STRING"), F.lit("")).otherwise(actual_text)
     same = (
-        F.when(
-            F.col("_expected_kind").isin(NUMBERS) & F.col("_actual_kind").isin(NUMBERS),
-            F.col("_expected_number") == F.col("_actual_number"),
-        )
-        .when(F.col("_actual_kind") == "STRING", F.lit(False))
-        .otherwise(F.col("_expected_text").eqNullSafe(F.col("_actual_text")))
+        F.when(expected_kind.isin(NUMBERS) & actual_kind.isin(NUMBERS), expected_number == actual_number)
+        .when(actual_kind == "STRING", F.lit(False))
+        .otherwise(expected_text.eqNullSafe(actual_text))
     )
-    matched = F.when(numeric, gap <= tolerance).when(
-        texts, plain_text(F.col("_expected_text")) == plain_text(shown)
+    found = F.when(numeric, F.abs(expected_number - actual_number) <= tolerance).when(
+        texts, plain_text(expected_text) == plain_text(shown)
     ).otherwise(same)
-    reason = (
+    known = pair["fixed_reason"].isNotNull() | pair["fixed_match"]
+    matched = F.when(known, pair["fixed_match"]).otherwise(F.coalesce(found, F.lit(False)))
+    reason = F.coalesce(
+        pair["fixed_reason"],
         F.when(numeric, F.lit(f"numeric mismatch (tol={tolerance})"))
         .when(texts, F.lit("text mismatch"))
-        .otherwise(F.lit("value mismatch"))
+        .otherwise(F.lit("value mismatch")),
     )
-    known = F.col("fixed_reason").isNotNull() | F.col("fixed_match")
-    compared = ["name", "expected", "actual", "fixed_match", "fixed_reason", "field"]
-    return numbered.withColumn(
-        "matched", F.when(known, F.col("fixed_match")).otherwise(F.coalesce(matched, F.lit(False)))
-    ).select(
-        *[column for column in pairs.columns if column not in compared],
-        "field",
-        F.col("_expected_text").alias("expected_value"),
-        F.col("_actual_text").alias("actual_value"),
-        "matched",
-        F.when(~F.col("matched"), F.coalesce("fixed_reason", reason)).alias("reason"),
+    return F.struct(
+        pair["field"].alias("field"), expected_text.alias("expected_value"), actual_text.alias("actual_value"),
+        matched.alias("matched"), reason.alias("reason"),
     )
 
 
@@ -160,39 +144,40 @@ def line_item_pairs(expected: Column, actual: Column) -> Column:
     return F.concat(F.array(count), F.flatten(F.transform(expected, of_item)))
 
 
-def explode_fields(gated: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """One comparison per expected field of each usable case; any other case gives one without a
-    field, so that no case is lost."""
-    expected_fields = F.when(
-        F.col("status") == "ok", F.try_variant_get("expected", "$", "map<string,variant>")
-    )
-    members = gated.select(
-        *keep,
-        F.try_variant_get("record", "$", "map<string,variant>").alias("_record"),
-        F.explode_outer(expected_fields).alias("_name", "_expected"),
-    ).withColumns({
-        "_actual": F.try_element_at(F.col("_record"), F.col("_name")),
-        "_items": F.when(
-            F.col("_name") == "line_items", F.try_variant_get("_expected", "$", "array<variant>")
-        ),
-    })
-    name, expected, actual = F.col("_name"), F.col("_expected"), F.col("_actual")
-    actual_items = F.coalesce(
-        F.try_variant_get(actual, "$", "array<variant>"), F.array().cast("array<variant>")
-    )
+def _pairs_of(name: Column, expected: Column, record: Column) -> Column:
+    """Comparisons of one expected field: one, or several for line items."""
+    actual = F.try_element_at(record, name)
+    listed = F.try_variant_get(expected, "$", "array<variant>")
+    actual_items = F.coalesce(F.try_variant_get(actual, "$", "array<variant>"), F.array().cast("array<variant>"))
     no_list = _pair(name, name, expected, actual, F.lit(False), "'line_items' must be a list")
-    pairs = (
-        F.when(name.isNull(), F.lit(None))
-        .when(name != "line_items", F.array(_pair(name, name, expected, actual)))
-        .when(F.col("_items").isNull(), F.array(no_list))
-        .otherwise(line_item_pairs(F.col("_items"), actual_items))
+    return (
+        F.when(name != "line_items", F.array(_pair(name, name, expected, actual)))
+        .when(listed.isNull(), F.array(no_list))
+        .otherwise(line_item_pairs(listed, actual_items))
     )
-    return members.select(*keep, F.inline_outer(pairs))
+
+
+def with_field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
+    """Cases with ``field_results``, the list of their comparisons; null where a case could not be used.
+
+    Every case stays in its own row, so equal cases stay apart and nothing is shuffled.
+    """
+    usable = F.col("status") == "ok"
+    staged = gated.withColumns({
+        "_members": F.when(usable, F.map_entries(F.try_variant_get("expected", "$", "map<string,variant>"))),
+        "_record": F.try_variant_get("record", "$", "map<string,variant>"),
+    })
+    pairs = F.flatten(F.transform(
+        "_members", lambda member: _pairs_of(member["key"], member["value"], F.col("_record"))
+    ))
+    judged = F.transform(pairs, lambda pair: _judged(pair, tolerance))
+    told = F.transform(judged, lambda one: one.withField("reason", F.when(~one["matched"], one["reason"])))
+    return staged.withColumn("field_results", told).select(*gated.columns, "field_results")
 
 
 def field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
     """One row per compared field of each usable case: field, values, matched and reason."""
-    return compare(explode_fields(gated).where(F.col("field").isNotNull()), tolerance)
+    return with_field_results(gated, tolerance).select("id", F.inline("field_results"))
 
 
 CASE_COLUMNS = ("id", "file_path", "status", "error", "details", "used_provider")
@@ -201,18 +186,19 @@ CASE_COLUMNS = ("id", "file_path", "status", "error", "details", "used_provider"
 def case_results(
     gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE, with_fields: bool = False
 ) -> DataFrame:
-    """Every case with matched and total fields and their share, in one pass over the cases.
+    """Every case with matched and total fields and their share, one row per case.
 
     A case that could not be used has no counts and no score. With ``with_fields`` each case also
-    carries the list of its field results.
+    carries the list of its field results, in order of the fields' names.
     """
-    compared = compare(explode_fields(gated, CASE_COLUMNS), tolerance)
-    found = F.struct("field", "expected_value", "actual_value", "matched", "reason")
-    listed = F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), found)))
-    counted = compared.groupBy(*CASE_COLUMNS).agg(
-        F.count_if(F.col("matched") & F.col("field").isNotNull()).alias("matched_fields"),
-        F.count("field").alias("total_fields"),
-        *([listed.alias("field_results")] if with_fields else []),
+    results = F.col("field_results")
+    counted = compute_once(
+        with_field_results(gated, tolerance),
+        {
+            "matched_fields": F.size(F.filter(results, lambda one: one["matched"])).cast("bigint"),
+            "total_fields": F.size(results).cast("bigint"),
+            "field_results": results,
+        },
     )
     share = F.coalesce(F.try_divide("matched_fields", "total_fields"), F.lit(0.0))
     ok = F.col("status") == "ok"
@@ -221,7 +207,7 @@ def case_results(
         F.when(ok, F.col("matched_fields")).alias("matched_fields"),
         F.when(ok, F.col("total_fields")).alias("total_fields"),
         F.when(ok, F.bround(share, 4)).alias("score"),
-        *(["field_results"] if with_fields else []),
+        *([F.coalesce(F.array_sort("field_results"), F.array().cast(RESULTS)).alias("field_results")] if with_fields else []),
     )
 
 

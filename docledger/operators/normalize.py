@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docledger.functions import codes, dates, items, money
 from docledger.functions.payload import (
-    as_text, fields_type, is_text, pick_list_sql, pick_sql, vendor_name,
+    as_text, is_text, members, pick, pick_list, vendor_name,
 )
 from docledger.rules import RULES, Rules
 from docledger.schemas import RECORD_FIELDS
@@ -20,18 +20,15 @@ PICKED = [
 
 
 def pick_fields(df: DataFrame, rules: Rules = RULES, payload: str = "payload") -> DataFrame:
-    """Resolve each field's aliases once, as ``p_<field>`` variants and a list of item structs.
+    """Resolve each field's aliases once, as ``p_<field>`` variants and a list of item members.
 
-    The payload object is read in one pass into a struct of all aliased members.
+    The payload object is read in one pass into a map, so names keep their case and may hold any sign.
     """
-    groups = [rules.aliases(name) for name in [*PICKED, "line_items"]]
-    read = F.try_variant_get(payload, "$", fields_type(groups))
-    staged = df.withColumn("_fields", read)
-    listed = pick_list_sql("_fields", rules.aliases("line_items"), items.item_type(rules))
-    return staged.select(
+    fields = F.col("_fields")
+    return df.withColumn("_fields", members(F.col(payload))).select(
         *df.columns,
-        *[F.expr(pick_sql("_fields", rules.aliases(name))).alias(f"p_{name}") for name in PICKED],
-        F.expr(listed).alias("p_line_items"),
+        *[pick(fields, rules.aliases(name)).alias(f"p_{name}") for name in PICKED],
+        pick_list(fields, rules.aliases("line_items")).alias("p_line_items"),
     )
 
 
