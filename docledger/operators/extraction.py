@@ -31,6 +31,17 @@ def parse_payload(df: DataFrame, text: str = "raw_text") -> DataFrame:
     )
 
 
+def with_parse_errors(df: DataFrame, text: str = "raw_text") -> DataFrame:
+    """Add ``payload``; model text that is no JSON object becomes the row's error unless it has one already."""
+    messages = F.create_map(*[F.lit(part) for pair in MESSAGES.items() for part in pair])
+    message = F.try_element_at(messages, F.col("parse_error"))
+    failed = F.col("error_code").isNotNull()
+    return parse_payload(df, text).withColumns({
+        "error_code": F.coalesce("error_code", "parse_error"),
+        "error_message": F.when(failed, F.col("error_message")).otherwise(F.coalesce(message, F.col("error_message"))),
+    }).drop("parse_error")
+
+
 def _outcome(order: list[str], wanted: Column) -> list[Column]:
     """Aggregates that name the first provider with output, its text, and all errors in order.
 

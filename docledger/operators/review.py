@@ -177,12 +177,19 @@ def approved_ledger_rows(approved: DataFrame, processed_at: Column) -> DataFrame
 ACTIONS = {"approve": None, "reject": "REJECTED", "duplicate": "RESOLVED_DUPLICATE_MANUAL"}
 
 
+def decided_action(column: str = "action") -> Column:
+    """A decision's action in lower case; none means approve."""
+    return F.coalesce(F.lower(F.trim(column)), F.lit("approve"))
+
+
 def dismiss(decisions: DataFrame, queue: DataFrame, now: str) -> DataFrame:
     """Rejections and manual duplicates; other actions and unknown items are refused.
 
+    A decision without an action is an approval, as everywhere (see ``decided_action``).
+
     ``decisions``: document_id, action, note. Unlike an approval this does not need an active item.
     """
-    action = F.lower(F.trim("action"))
+    action = decided_action()
     status = F.when(action == "reject", "REJECTED").when(action == "duplicate", "RESOLVED_DUPLICATE_MANUAL")
     known = queue.select("document_id", F.lit(True).alias("found"))
     refused = (

@@ -58,8 +58,8 @@ def route(
     ).drop("_route")
 
 
-def dead_letter_rows(routed: DataFrame, recorded_at: Column) -> DataFrame:
-    """One dead letter per document that was not stored."""
+def dead_letter_rows(routed: DataFrame, recorded_at: Column, *keep: str) -> DataFrame:
+    """One dead letter per document that was not stored, plus columns to keep."""
     failed = F.col("route") == "FAILED"
     schema_text = error_text(F.col("schema_errors"))
     return routed.where(F.col("route") != "STORED").select(
@@ -76,6 +76,7 @@ def dead_letter_rows(routed: DataFrame, recorded_at: Column) -> DataFrame:
         .otherwise(F.lit("Routed to review queue"))
         .alias("error_message"),
         F.when(~failed, F.col("provider")).alias("used_provider"),
+        *keep,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.operators import reports, review, views
@@ -235,24 +235,19 @@ def rpt_search_history(spark, folder):
 
 # ---- streams ------------------------------------------------------------------------------------
 
-WAIT_SECONDS = 1800
-
-
 def finish(started) -> None:
     """Wait until all present files are handled; a failed stream raises here."""
-    if not started.awaitTermination(WAIT_SECONDS):
-        started.stop()
-        raise TimeoutError("stream did not finish")
+    started.awaitTermination()
 
 
-def as_files(df: DataFrame, path: str, files: int = 4) -> None:
-    df.repartition(files).write.json(path)
+def as_files(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
 
 
 def stream_of(df: DataFrame, folder: str) -> DataFrame:
-    """The rows again as a stream of JSON files, two files per micro-batch."""
+    """The rows again as a stream of JSON files."""
     as_files(df, f"{folder}/in")
-    return jobs.ingest_stream(df.sparkSession, f"{folder}/in", df.schema, 2)
+    return jobs.ingest_stream(df.sparkSession, f"{folder}/in", df.schema)
 
 
 @query("str_ingest", """
@@ -262,7 +257,7 @@ def str_ingest(spark, folder):
     events = fx.metrics(spark, folder).select("recorded_at_utc", "metric", "value", "stage")
     as_files(events, f"{work}/in")
     for _ in range(2):  # the second cycle finds nothing new
-        stream = jobs.ingest_stream(spark, f"{work}/in", METRIC, 2)
+        stream = jobs.ingest_stream(spark, f"{work}/in", METRIC)
         finish(
             stream.writeStream.format("parquet").option("path", f"{work}/out")
             .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
@@ -271,14 +266,14 @@ def str_ingest(spark, folder):
 
 
 @query("str_claims", """
-    SELECT drive_file_id, file_hash, claim_status, count(*) AS attempts FROM fx_claim_results GROUP BY ALL""", ("fx_claim_results",))
+    SELECT drive_file_id, file_hash, claim_status, owner_id, count(*) AS attempts FROM fx_claim_results GROUP BY ALL""", ("fx_claim_results",))
 def str_claims(spark, folder):
     work = work_folder(spark, "claims")
     jobs.seed_claims(fx.claims(spark, folder), f"{work}/claims")
     stream = stream_of(fx.claim_attempts(spark, folder), work)
     finish(jobs.claim_stream(stream, f"{work}/claims", f"{work}/results", f"{work}/checkpoint", "2026-01-01"))
     results = spark.read.parquet(f"{work}/results")
-    return results.groupBy("drive_file_id", "file_hash", "claim_status").agg(F.count(F.lit(1)).alias("attempts"))
+    return results.groupBy("drive_file_id", "file_hash", "claim_status", "owner_id").agg(F.count(F.lit(1)).alias("attempts"))
 
 
 @query("str_routed_sinks", """
@@ -315,19 +310,107 @@ def str_routed_sinks(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+RUN_SQL = """
+    SELECT * FROM (WITH runs AS (SELECT *, 'doc-' || k AS name, 2 * k AS place FROM fx_orders
+                  UNION ALL SELECT *, 'again-' || k, 2 * k + 1000000000000 FROM fx_orders WHERE k % 11 = 0),
+    judged AS (SELECT *, CASE WHEN k % 41 = 0 OR k % 29 = 0 THEN 'FAILED' WHEN k % 12 = 0 THEN 'REVIEW_REQUIRED' ELSE 'STORED' END AS outcome FROM runs),
+    outcomes AS (SELECT * REPLACE (CASE WHEN outcome = 'STORED' AND place >= 1000000000000 THEN 'SKIPPED_DUPLICATE' ELSE outcome END AS outcome) FROM judged),
+    told AS (SELECT *, CASE WHEN outcome = 'REVIEW_REQUIRED' THEN 'validation_failed: Routed to review queue'
+                            WHEN k % 41 = 0 THEN 'all_providers_failed: All configured providers failed: mistral: down'
+                            ELSE 'invalid_json_shape: Model output must be a JSON object' END AS detail FROM outcomes)
+    SELECT 'ledger' AS sink, place, name, 'STORED' AS status, 'Vendor ' || custkey AS detail FROM outcomes WHERE outcome = 'STORED'
+    UNION ALL SELECT 'dead_letters', place, name, outcome, detail FROM told WHERE outcome IN ('FAILED', 'REVIEW_REQUIRED')
+    UNION ALL SELECT 'review_queue', NULL, name, outcome, 'validation_failed' FROM outcomes WHERE outcome = 'REVIEW_REQUIRED'
+    UNION ALL SELECT 'claims', NULL, drive_file_id, CASE outcome WHEN 'STORED' THEN 'ARCHIVED' ELSE outcome END, 'poll-1' FROM judged WHERE place < 1000000000000
+    UNION ALL SELECT 'manifest', NULL, drive_file_id, NULL, 'archive/' || k || '.pdf' FROM outcomes WHERE outcome = 'STORED'
+    UNION ALL SELECT 'counters', count(*), 'documents_processed_total', NULL, NULL FROM outcomes
+    UNION ALL SELECT 'counters', count(*) FILTER (outcome = 'SKIPPED_DUPLICATE'), 'documents_duplicate_skipped_total', NULL, NULL FROM outcomes
+    UNION ALL SELECT 'counters', count(*) FILTER (outcome = 'REVIEW_REQUIRED'), 'documents_review_total', NULL, NULL FROM outcomes
+    UNION ALL SELECT 'counters', count(*) FILTER (outcome = 'STORED'), 'documents_success_total', NULL, NULL FROM outcomes
+    UNION ALL SELECT 'counters', count(*) FILTER (outcome = 'FAILED'), 'documents_failed_total', NULL, NULL FROM outcomes)"""
+LATER = 1_000_000_000_000
+
+
+def run_attempts(spark, folder, again: bool) -> DataFrame:
+    """Attempts of every document, or of those that come a second time. Some providers are down, some models
+    give no JSON object at first, and some never do."""
+    fields = F.struct(
+        fx.numbered("Vendor ", F.col("custkey")).alias("vendor"), fx.numbered("INV-").alias("invoice_no"),
+        F.col("totalprice").alias("subtotal"), F.when(fx.every(12), F.lit("$5.00")).otherwise(F.lit("0")).alias("tax"),
+        F.col("totalprice").alias("total"), F.lit(0.9).alias("confidence"), F.date_format("ordered_at", "dd/MM/yyyy").alias("date"),
+    )
+    down, broken, retried = fx.every(41), fx.every(29), fx.every(31)
+    orders = fx.order_keys(spark, folder)
+    if again:
+        orders = orders.where(fx.every(11)).withColumn("document_id", fx.numbered("again-"))
+    seq = 2 * F.col("k") + F.lit(LATER if again else 0)
+    first = F.when(down, F.lit(None)).when(broken | retried, F.lit("not json")).otherwise(F.to_json(fields))
+    second = F.when(~down & broken, F.concat(F.lit("["), F.col("k").cast("string"), F.lit("]"))).when(~down & retried, F.to_json(fields))
+
+    def attempt(place: int, kind: str, raw: Column, error: Column) -> Column:
+        return F.struct(
+            (seq + place).alias("seq"), F.lit(kind).alias("prompt_kind"), F.lit("mistral").alias("provider"), raw.alias("raw_text"),
+            F.lit(None).cast("string").alias("ocr_text"), error.cast("string").alias("error"),
+        )
+
+    both = F.array(
+        attempt(0, "first", first, F.when(down, F.lit("down"))),
+        F.when(second.isNotNull(), attempt(1, "corrective", second, F.lit(None))),
+    )
+    return orders.select("document_id", "drive_file_id", "file_hash", F.inline(F.filter(both, lambda one: one.isNotNull())))
+
+
+@query("str_run", RUN_SQL, ("fx_orders",))
+def str_run(spark, folder):
+    """Two cycles of the whole run; the second brings documents again, some of which may be claimed anew."""
+    work = work_folder(spark, "run")
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    for again in (False, True):
+        stream = stream_of(run_attempts(spark, folder, again), work)
+        finish(jobs.run_documents(stream, work, f"{work}/checkpoint", fx.AS_OF, now, "poll-1", "2026-01-01", "archive"))
+    read = lambda name: spark.read.parquet(f"{work}/{name}")
+    none = F.lit(None)
+
+    def shown(df: DataFrame, sink: str, place: Column, name: Column, status: Column, detail: Column) -> DataFrame:
+        return df.select(
+            F.lit(sink).alias("sink"), place.cast("bigint").alias("place"), name.cast("string").alias("name"),
+            status.cast("string").alias("status"), detail.cast("string").alias("detail"),
+        )
+
+    counters = read("counters").drop("batch")
+    summed = counters.agg(*[F.sum(name).alias(name) for name in counters.columns]).unpivot([], counters.columns, "metric", "value")
+    claims = jobs.current_claims(spark, f"{work}/claims", LATER)
+    col = F.col
+    parts = [
+        shown(views.records_flat(read("ledger")), "ledger", col("id"), col("document_id"), col("row_status"), col("vendor_name")),
+        shown(read("dead_letters"), "dead_letters", col("seq"), col("document_id"), col("status"), F.concat_ws(": ", "error_code", "error_message")),
+        shown(read("review_queue"), "review_queue", none, col("document_id"), col("status"), F.array_join("reason_codes", ",")),
+        shown(claims, "claims", none, col("drive_file_id"), col("status"), col("owner_id")),
+        shown(read("manifest"), "manifest", none, col("source"), none, col("destination")),
+        shown(summed, "counters", col("value"), col("metric"), none, none),
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 @query("str_counters", "SELECT * FROM fx_counters", ("fx_counters",))
 def str_counters(spark, folder):
     work = work_folder(spark, "counters")
     events = fx.metrics(spark, folder).select("recorded_at_utc", "metric", "value", "stage")
     as_files(events, f"{work}/in")
-    totals = jobs.counters_stream(jobs.ingest_stream(spark, f"{work}/in", METRIC, 2))
+    totals = jobs.counters_stream(jobs.ingest_stream(spark, f"{work}/in", METRIC))
     finish(jobs.snapshot_stream(totals, f"{work}/out", f"{work}/checkpoint"))
     return jobs.read_snapshot(spark, f"{work}/out")
 
 
-@query("str_daily", f"SELECT {DAILY_SQL} FROM fx_ledger GROUP BY 1", ("fx_ledger",))
+@query("str_daily", f"""
+    SELECT {DAILY_SQL}, cast(sum(cast(model_confidence AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_model_confidence,
+           cast(sum(cast(validation_score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_validation_score
+    FROM fx_ledger GROUP BY 1""", ("fx_ledger",))
 def str_daily(spark, folder):
     work = work_folder(spark, "daily")
     stream = stream_of(fx.ledger(spark, folder), work)
-    finish(jobs.snapshot_stream(jobs.daily_stream(stream), f"{work}/out", f"{work}/checkpoint"))
-    return as_doubles(_dated(jobs.read_snapshot(spark, f"{work}/out")), "total_amount_sum")
+    finish(jobs.changes_stream(jobs.daily_stream(stream), f"{work}/out", f"{work}/checkpoint"))
+    return as_doubles(_dated(jobs.read_last_changes(spark, f"{work}/out", "processing_date")), "total_amount_sum")

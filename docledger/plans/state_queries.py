@@ -327,7 +327,7 @@ def rev_history(spark, folder):
 
 
 def approvals(spark, folder) -> DataFrame:
-    asked = fx.decisions(spark, folder).where(F.lower(F.trim("action")) == "approve")
+    asked = fx.decisions(spark, folder).where(review.decided_action() == "approve")
     keys = fx.ledger(spark, folder).select("drive_file_id", "file_hash")
     return review.approve(asked, fx.review_queue(spark, folder), keys, NOW)
 

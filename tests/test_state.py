@@ -229,6 +229,36 @@ def test_evaluation(spark):
     assert len(json.loads(report)["field_results"]) == 5
 
 
+def test_equal_cases_stay_apart(spark):
+    documents = spark.createDataFrame([("a", None, None, "groq", '{"currency": "USD"}')],
+                                      "file_path string, error_code string, error_message string, used_provider string, r string")
+    golden = cases(spark, [(None, "a", {"currency": "usd"}), (None, "a", {"currency": "usd"}), ("x", "gone", {"a": 1}), ("x", "gone", {"a": 1})])
+    results = evaluate.case_results(evaluate.gate_cases(golden, documents.withColumn("record", F.parse_json("r")).drop("r")))
+    assert sorted((r.id or "", r.status, r.total_fields) for r in results.collect()) == [
+        ("", "ok", 1), ("", "ok", 1), ("x", "error", None), ("x", "error", None)]
+    assert evaluate.summarize(results).first().cases_total == 4
+
+
+def test_model_text_that_is_no_object_fails(spark, tmp_path):
+    texts = ["not json", "[1, 2]", '{"vendor": "V", "invoice_no": "1", "total": 5, "confidence": 0.9, "date": "2024-01-01"}']
+    rows = spark.createDataFrame([(f"d{n}", f"f{n}", "h", n, text, None, "mistral", None, None) for n, text in enumerate(texts)],
+                                 "document_id string, drive_file_id string, file_hash string, seq int, raw_text string, ocr_text string, provider string, error_code string, error_message string")
+    rows.write.json(str(tmp_path / "in"))
+    jobs.routed_sinks(jobs.ingest_stream(spark, str(tmp_path / "in"), rows.schema), str(tmp_path), str(tmp_path / "cp"), "2026-01-01",
+                      F.lit("2026-01-01").cast("timestamp")).awaitTermination()
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "ledger")).collect()] == [2]
+    dead = spark.read.parquet(str(tmp_path / "dead_letters")).orderBy("seq").collect()
+    assert [(r.document_id, r.status, r.error_code) for r in dead] == [("d0", "FAILED", "invalid_json"), ("d1", "FAILED", "invalid_json_shape")]
+
+
+def test_decisions_without_an_action_approve(spark):
+    queue = spark.createDataFrame([("a",)], "document_id string")
+    decisions = spark.createDataFrame([("a", None, None), ("a", " Reject ", None), ("b", "drop", None)], "document_id string, action string, note string")
+    dismissed = review.dismiss(decisions, queue, "now").collect()
+    approved = decisions.where(review.decided_action() == "approve").count()
+    assert len(dismissed) + approved == 3 and {r.resolution_status for r in dismissed} == {"REJECTED", None}
+
+
 def test_currency_display(spark):
     totals = spark.createDataFrame([("USD", 1234.5), ("EUR", 1.0)], "currency string, total_amount_sum double")
     shown = [reports.currency_display(df).first()[0] for df in (totals, totals.limit(1), totals.limit(0))]
@@ -297,8 +327,13 @@ def test_first_claims_and_compaction(spark, tmp_path):
     one = spark.createDataFrame([("f", "h", "CLAIMED", "w", "t", "t")], CLAIMS)
     jobs.seed_claims(one, claims_path)
     jobs.write_batch(one.withColumn("status", F.lit("STORED")), claims_path, 0)
-    jobs.compact_claims(spark, claims_path, str(tmp_path / "small"), 0)
-    assert jobs.current_claims(spark, str(tmp_path / "small"), 1).first().status == "STORED"
+    last = jobs.SNAPSHOT_EVERY - 1
+    jobs.write_claims(one.withColumn("file_hash", F.lit("k")), claims_path, last)
+    assert jobs.read_before(spark, f"{claims_path}-whole", last + 1, CLAIMS).count() == 2
+    jobs.write_claims(one.withColumn("status", F.lit("FAILED")), claims_path, last + 1)
+    held = {r.file_hash: r.status for r in jobs.current_claims(spark, claims_path, last + 2).collect()}
+    assert held == {"h": "FAILED", "k": "CLAIMED"}
+    assert jobs.current_claims(spark, claims_path, last + 2, one.limit(0)).count() == 0
 
 
 def test_routed_sinks_store_a_repeated_key_once(spark, tmp_path):
