@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from docledger.functions.text import filled
 from docledger.operators.review import active_size, decided_at
-from docledger.operators.skew import without_keys
 from docledger.operators.views import daily_totals
 
 FEED_COLUMNS = [
@@ -153,13 +152,23 @@ def activity_feed(
     return _newest(events, limit)
 
 
-def resolved_hashes(ledger: DataFrame) -> DataFrame:
-    """Hashes of files that are stored or archived, each once."""
-    return (
-        ledger.where(F.col("status").isin("STORED", "ARCHIVED") & (F.col("file_hash") != ""))
-        .select("file_hash")
-        .distinct()
-    )
+def resolved_hashes(ledger: DataFrame, *among: DataFrame) -> DataFrame:
+    """Hashes of files that are stored or archived: each once, or only those that rows of ``among`` ask for.
+
+    Open items and failures are few against a ledger, so with them the ledger is filtered before anything of it moves;
+    one such table serves several reports.
+    """
+    stored = ledger.where(F.col("status").isin("STORED", "ARCHIVED") & (F.col("file_hash") != "")).select("file_hash")
+    if not among:
+        return stored.distinct()
+    wanted = among[0].select("file_hash")
+    for other in among[1:]:
+        wanted = wanted.union(other.select("file_hash"))
+    return stored.join(wanted.where(F.col("file_hash") != "").distinct(), "file_hash", "left_semi")
+
+
+def open_failures(dead_letters: DataFrame) -> DataFrame:
+    return dead_letters.where(F.col("status").isin("FAILED", "REVIEW_REQUIRED"))
 
 
 def active_dead_letters(dead_letters: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -168,17 +177,14 @@ def active_dead_letters(dead_letters: DataFrame, resolved: DataFrame) -> DataFra
     ``dead_letters`` needs ``seq``, the log order. Status and resolved files are filtered before
     the latest is taken, so a filtered row never hides an older one.
     """
-    opened = dead_letters.where(F.col("status").isin("FAILED", "REVIEW_REQUIRED"))
-    unresolved = without_keys(opened, resolved, "file_hash", ["seq"])
+    unresolved = open_failures(dead_letters).join(resolved.where(F.col("file_hash") != ""), "file_hash", "left_anti")
     key = F.coalesce(
         filled(F.col("document_id")),
         F.concat(F.coalesce("drive_file_id", F.lit("")), F.lit("|"), F.coalesce("file_hash", F.lit(""))),
     )
     columns = dead_letters.columns
-    latest = unresolved.groupBy(key.alias("_key")).agg(
-        F.max(F.struct("seq", *[name for name in columns if name != "seq"])).alias("_latest")
-    )
-    return latest.select(*[F.col(f"_latest.{name}").alias(name) for name in columns])
+    place = F.row_number().over(W.partitionBy("_key").orderBy(F.col("seq").desc()))
+    return unresolved.withColumn("_key", key).withColumn("_place", place).where("_place = 1").select(*columns)
 
 
 def metric_counters(events: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from docledger.functions.once import compute_once
 from docledger.functions.payload import is_object
 from docledger.functions.text import filled
 from docledger.operators.route import record_struct
-from docledger.operators.skew import without_keys
 from docledger.operators.validate import read_record, validate_and_score
 from docledger.schemas import CLAIM_KEY
 
@@ -24,16 +23,20 @@ def _source_file() -> Column:
     return F.coalesce(filled(_of("metadata", "source_file_id")), filled(_of("metadata", "drive_file_id")))
 
 
+def waiting_items(queue: DataFrame) -> DataFrame:
+    """Items waiting for review, with ``file_hash``, which may be empty."""
+    return queue.where(F.col("status") == "REVIEW_REQUIRED").withColumn(
+        "file_hash", F.coalesce(_of("metadata", "file_hash"), F.lit(""))
+    )
+
+
 def active_items(queue: DataFrame, resolved: DataFrame) -> DataFrame:
     """Items waiting for review whose file is not stored meanwhile.
 
-    ``resolved``: distinct ``file_hash``. Items without a hash always stay.
+    ``resolved``: ``file_hash``. Items without a hash always stay.
     """
-    waiting = queue.where(F.col("status") == "REVIEW_REQUIRED").withColumn(
-        "file_hash", F.coalesce(_of("metadata", "file_hash"), F.lit(""))
-    )
     normalized = F.try_variant_get("metadata", "$['normalized_record']", "variant")
-    return without_keys(waiting, resolved, "file_hash", ["document_id"]).select(
+    return waiting_items(queue).join(resolved.where(F.col("file_hash") != ""), "file_hash", "left_anti").select(
         "document_id",
         "status",
         "reason_codes",
@@ -87,9 +90,14 @@ def history(queue: DataFrame, limit: int = 20) -> DataFrame:
     return history_items(queue).orderBy(decided_at().desc(), F.col("document_id")).limit(limit)
 
 
-def approve(decisions: DataFrame, queue: DataFrame, ledger_keys: DataFrame, now: str) -> DataFrame:
+def approve(
+    decisions: DataFrame, queue: DataFrame, ledger_keys: DataFrame, now: str, corrected: DataFrame | None = None
+) -> DataFrame:
     """Approvals: each becomes a stored record, a duplicate, or is refused with a reason.
 
+    The record is the decision's own, else that of ``corrected`` (document_id, record: variant, one per
+    document), else what the normaliser made.
+
     ``decisions``: document_id, record_override (variant or null), note, one per document. Business
     rule errors do not stop an approval; a record that breaks the schema does. Two items of one
     file store it once, for the lower document id.
@@ -97,10 +105,15 @@ def approve(decisions: DataFrame, queue: DataFrame, ledger_keys: DataFrame, now:
     override = F.col("record_override")
     normalized = F.try_variant_get("metadata", "$['normalized_record']", "variant")
     given = F.when(override.isNotNull() & ~F.is_variant_null(override), override).otherwise(
-        F.when(is_object(normalized), normalized)
+        F.coalesce(F.col("_corrected"), F.when(is_object(normalized), normalized))
     )
+    if corrected is None:
+        asked = decisions.withColumn("_corrected", F.lit(None).cast("variant"))
+    else:
+        known = corrected.select("document_id", F.col("record").alias("_corrected"))
+        asked = decisions.join(known, "document_id", "left")
     provider = F.coalesce(_of("metadata", "used_provider"), F.lit("manual_review"))
-    items = decisions.select("document_id", "record_override", "note").join(
+    items = asked.select("document_id", "record_override", "_corrected", "note").join(
         queue.select("document_id", "status", "metadata").withColumn("found", F.lit(True)),
         "document_id",
         "left",
@@ -110,7 +123,7 @@ def approve(decisions: DataFrame, queue: DataFrame, ledger_keys: DataFrame, now:
         "file_hash": filled(_of("metadata", "file_hash")),
         "used_provider": provider,
         "item_status": F.col("status"),
-    }).drop("metadata", "status", "record_override")
+    }).drop("metadata", "status", "record_override", "_corrected")
     scored = validate_and_score(read_record(items))
     reason = (
         F.when(F.col("found").isNull(), F.lit("not_found"))

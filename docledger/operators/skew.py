@@ -50,22 +50,3 @@ def attach_per_key(
     per_place = per_key.select(*_key(keys), *extra, F.explode("_places").alias("_s"))
     joined = spread.join(per_place, _on(spread, per_place, keys), "left")
     return joined.select(*rows.columns, *extra)
-
-
-def without_keys(
-    rows: DataFrame, listed: DataFrame, key: str, identity: list[str], parts: int = SPREAD
-) -> DataFrame:
-    """Rows whose key is not listed; null or empty keys always stay.
-
-    ``listed`` holds each key once, in a column of the same name.
-    """
-    spread = rows.withColumn("_spread", spread_of(*identity, parts=parts))
-    present = (
-        spread.where(F.col(key) != "")
-        .groupBy(key)
-        .agg(F.collect_set("_spread").alias("_places"))
-        .join(listed.select(key), key, "left_semi")
-        .select(F.col(key).alias("_k0"), F.explode("_places").alias("_s"))
-    )
-    condition = (spread[key] == present["_k0"]) & (spread["_spread"] == present["_s"])
-    return spread.join(present, condition, "left_anti").drop("_spread")

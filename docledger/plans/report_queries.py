@@ -137,13 +137,13 @@ def rpt_recent(spark, folder):
     ORDER BY recorded_at_utc DESC, document_id NULLS FIRST, status LIMIT 200""", ("fx_ledger", "fx_active", "fx_history", "fx_active_dead"))
 def rpt_activity_feed(spark, folder):
     ledger = fx.ledger(spark, folder)
-    queue, resolved = queue_and_resolved(spark, folder)
+    dead, queue, resolved = dead_and_rest(spark, folder, active=False)
     limit = 200
     return reports.activity_feed(
         reports.recent_records(views.records_flat(ledger), limit),
         review.active_items(queue, resolved),
         review.history_items(queue),
-        reports.active_dead_letters(fx.dead_letters(spark, folder), resolved),
+        reports.active_dead_letters(dead, resolved),
         limit,
     )
 
@@ -153,9 +153,11 @@ def rpt_resolved_hashes(spark, folder):
     return reports.resolved_hashes(fx.ledger(spark, folder))
 
 
-def dead_and_rest(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    queue, resolved = queue_and_resolved(spark, folder)
-    return reports.active_dead_letters(fx.dead_letters(spark, folder), resolved), queue, resolved
+def dead_and_rest(spark, folder, active: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dead letters, the review queue, and which of their files are stored: one reading of the ledger for both."""
+    dead, queue = fx.dead_letters(spark, folder), fx.review_queue(spark, folder)
+    resolved = reports.resolved_hashes(fx.ledger(spark, folder), review.waiting_items(queue), reports.open_failures(dead))
+    return reports.active_dead_letters(dead, resolved) if active else dead, queue, resolved
 
 
 @query("rpt_active_dead_letters", "SELECT * FROM fx_active_dead", ("fx_active_dead",))

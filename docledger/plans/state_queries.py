@@ -303,7 +303,9 @@ ACTIVE_SQL = """document_id, status, reasons, created_at_utc, source_file_id, fi
 
 
 def queue_and_resolved(spark, folder) -> tuple[DataFrame, DataFrame]:
-    return fx.review_queue(spark, folder), resolved_hashes(fx.ledger(spark, folder))
+    """The review queue, and which of its files are stored meanwhile."""
+    queue = fx.review_queue(spark, folder)
+    return queue, resolved_hashes(fx.ledger(spark, folder), review.waiting_items(queue))
 
 
 @query("rev_active", f"SELECT {ACTIVE_SQL} FROM fx_active", ("fx_active",))
