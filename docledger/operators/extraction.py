@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docledger.functions.payload import is_object
@@ -42,33 +43,29 @@ def with_parse_errors(df: DataFrame, text: str = "raw_text") -> DataFrame:
     }).drop("parse_error")
 
 
-def _outcome(order: list[str], wanted: Column) -> list[Column]:
-    """Aggregates that name the first provider with output, its text, and all errors in order.
+def _winners(attempts: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
+    """One row per document and prompt: ``output`` (the first configured provider's, or null) and ``errors`` (all of them, in order).
 
-    One conditional aggregate per configured provider, so partial results combine before the
-    shuffle and no list of attempts is ever collected.
+    Attempts are divided by document once; the windows here and in ``pair_prompts`` sort them once and never put texts into an
+    aggregate.
     """
     has_output = F.col("raw_text").isNotNull() & F.col("error").isNull()
     rank = F.coalesce(*[
         F.when(F.col("provider") == name, F.lit(place)) for place, name in enumerate(order)
     ]) if order else F.lit(None).cast("int")
-    output = F.when(
-        wanted & has_output & rank.isNotNull(),
-        F.struct(
-            rank.alias("rank"),
-            F.col("provider").alias("provider"),
-            F.col("raw_text").alias("raw_text"),
-            F.col("ocr_text").alias("ocr_text"),
-        ),
-    )
+    ranked = attempts.withColumn("rank", F.when(has_output, rank))
+    group = W.partitionBy("document_id", "prompt_kind")
     errors = [
-        F.max(
-            F.when(wanted & (F.col("provider") == name), F.concat(F.lit(f"{name}: "), F.col("error")))
-        )
+        F.max(F.when(F.col("provider") == name, F.concat(F.lit(f"{name}: "), F.col("error")))).over(group)
         for name in order
     ]
-    listed = F.concat_ws("; ", *errors) if errors else F.lit("")
-    return [F.min(output), listed]
+    output = F.when(F.col("rank").isNotNull(), F.struct("rank", "provider", "raw_text", "ocr_text"))
+    return (
+        ranked.withColumn("errors", F.concat_ws("; ", *errors) if errors else F.lit(""))
+        .withColumn("place", F.row_number().over(group.orderBy(F.col("rank").asc_nulls_last())))
+        .where("place = 1")
+        .select(*keep, output.alias("output"), "errors")
+    )
 
 
 def _failed(order: list[str], output: Column, listed: Column) -> tuple[Column, Column]:
@@ -84,17 +81,14 @@ def resolve_provider(attempts: DataFrame, order: list[str] = PROVIDER_ORDER) ->
 
     ``attempts``: document_id, prompt_kind, provider, raw_text, ocr_text, error.
     """
-    output, listed = _outcome(order, F.lit(True))
-    grouped = attempts.groupBy("document_id", "prompt_kind").agg(
-        output.alias("_output"), listed.alias("_errors")
-    )
-    code, message = _failed(order, F.col("_output"), F.col("_errors"))
-    return grouped.select(
+    found = _winners(attempts, order, ["document_id", "prompt_kind"])
+    code, message = _failed(order, F.col("output"), F.col("errors"))
+    return found.select(
         "document_id",
         "prompt_kind",
-        F.col("_output.provider").alias("provider"),
-        F.col("_output.raw_text").alias("raw_text"),
-        F.col("_output.ocr_text").alias("ocr_text"),
+        F.col("output.provider").alias("provider"),
+        F.col("output.raw_text").alias("raw_text"),
+        F.col("output.ocr_text").alias("ocr_text"),
         code.alias("error_code"),
         message.alias("error_message"),
     )
@@ -137,12 +131,25 @@ def pick_corrective(pairs: DataFrame, order: list[str] = PROVIDER_ORDER) -> Data
 
 
 def pair_prompts(attempts: DataFrame, order: list[str] = PROVIDER_ORDER) -> DataFrame:
-    """Both prompts' outcomes of each document side by side, in one aggregation."""
-    columns = []
-    for kind in ("first", "corrective"):
-        output, listed = _outcome(order, F.col("prompt_kind") == kind)
-        columns += [output.alias(kind), listed.alias(f"{kind}_errors")]
-    return attempts.groupBy("document_id").agg(*columns)
+    """Both prompts' outcomes of each document side by side, one row per document; attempts of other prompts are ignored."""
+    dealt = attempts.where(F.col("prompt_kind").isin("first", "corrective")).repartition("document_id")
+    found = _winners(dealt, order, ["document_id", "prompt_kind"])
+    # "corrective" sorts before "first": the last row of a document sees the other one behind it.
+    document = W.partitionBy("document_id").orderBy("prompt_kind")
+    none = F.lit(None).cast(found.schema["output"].dataType)
+    sided = found.withColumns({
+        "before": F.lag("output").over(document),
+        "errors_before": F.lag("errors").over(document),
+        "following": F.lead("prompt_kind").over(document),
+    }).where(F.col("following").isNull())
+    last = F.col("prompt_kind") == "first"
+    return sided.select(
+        "document_id",
+        F.when(last, F.col("output")).otherwise(none).alias("first"),
+        F.when(last, F.col("errors")).otherwise(F.lit("")).alias("first_errors"),
+        F.when(last, F.col("before")).otherwise(F.col("output")).alias("corrective"),
+        F.coalesce(F.when(last, F.col("errors_before")).otherwise(F.col("errors")), F.lit("")).alias("corrective_errors"),
+    )
 
 
 def resolve_payload(
