@@ -50,7 +50,28 @@ def currency_display(totals: DataFrame) -> DataFrame:
     )
 
 
+def _not_before(ledger: DataFrame, time: Column) -> DataFrame:
+    """Rows from a time on; earlier months' folders are not read."""
+    rows = ledger.where(F.col("processed_at_utc") >= time)
+    if "processing_month" in ledger.columns:
+        rows = rows.where(F.col("processing_month") >= F.date_format(time, "yyyy-MM"))
+    return rows
+
+
+def last_days(ledger: DataFrame, limit: int = 14) -> DataFrame:
+    """Ledger rows of the last days that have any; only their times are read to find these days."""
+    days = ledger.select(F.date_trunc("day", "processed_at_utc").alias("day")).distinct().orderBy(F.col("day").desc()).limit(limit)
+    return _not_before(ledger, days.agg(F.min("day")).scalar())
+
+
+def newest_rows(ledger: DataFrame, limit: int = 20) -> DataFrame:
+    """Ledger rows no older than the ``limit`` newest, found by their times alone, so that few records are parsed."""
+    newest = ledger.select("processed_at_utc").orderBy(F.col("processed_at_utc").desc()).limit(limit)
+    return _not_before(ledger, newest.agg(F.min("processed_at_utc")).scalar())
+
+
 def daily_tail(flat: DataFrame, limit: int = 14) -> DataFrame:
+    """The last days' totals. Take ``flat`` from ``last_days``, or the whole ledger is parsed."""
     return (
         daily_totals(flat)
         .select(
@@ -76,7 +97,7 @@ def provider_mix(flat: DataFrame) -> DataFrame:
     mix = flat.groupBy(F.coalesce("used_provider", F.lit("unknown")).alias("used_provider")).agg(
         F.count(F.lit(1)).alias("records_total")
     )
-    largest = mix.agg(F.greatest(F.max("records_total"), F.lit(1))).scalar()
+    largest = F.max("records_total").over(W.partitionBy())  # over one row per provider
     share = F.floor(F.col("records_total") / largest * 100 + F.lit(0.5)).cast("bigint")
     return mix.withColumn("bar_percent", share).orderBy(F.col("records_total").desc(), "used_provider")
 
@@ -96,6 +117,7 @@ def shown_records(flat: DataFrame) -> DataFrame:
 
 
 def recent_records(flat: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest records. Take ``flat`` from ``newest_rows``, or the whole ledger is parsed."""
     newest = flat.orderBy(F.col("processed_at_utc").desc(), F.col("document_id")).limit(limit)
     return shown_records(newest)
 
@@ -278,16 +300,16 @@ SNAPSHOT = {
 }
 
 
-def run_snapshot(counters: DataFrame, latencies: DataFrame, group: str = "run") -> DataFrame:
+def run_snapshot(counters: DataFrame, latencies: DataFrame, group: str = "run", width: int = 1000) -> DataFrame:
     """Five counters (zero when absent) and the latency rank per run.
 
-    ``counters``: group, metric, value. ``latencies``: group, latency_ms.
+    ``counters``: group, metric, value. ``latencies``: group, latency_ms; ``width`` as in ``latency_p95``.
     """
     sums = counters.groupBy(group).agg(*[
         F.coalesce(F.sum(F.when(F.col("metric") == source, F.col("value"))), F.lit(0)).cast("bigint").alias(name)
         for name, source in SNAPSHOT.items()
     ])
-    return sums.join(latency_p95(latencies, group), group, "left").withColumn(
+    return sums.join(latency_p95(latencies, group, width), group, "left").withColumn(
         "latency_p95_ms", F.coalesce(F.col("latency_p95_ms"), F.lit(0)).cast("bigint")
     )
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from docledger.operators.route import ledger_rows, route
 from docledger.operators.validate import validate_and_score
-from docledger.session import configure
+from docledger.session import configure, work_folder
+from docledger.sources.readers import read_ledger
+from docledger.sources.sinks import write_ledger
 
 AS_OF = "2026-01-01"
 
@@ -175,7 +177,24 @@ def routed(spark: SparkSession, folder: str) -> DataFrame:
     return route(validate_and_score(records(spark, folder)))
 
 
+_LEDGERS: dict[tuple[str, str], str] = {}
+
+
+def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger as it lies in its files, by month; written once per application and folder of tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LEDGERS:
+        path = work_folder(spark, "ledger")
+        write_ledger(made_ledger(spark, folder), path)
+        _LEDGERS[key] = path
+    return read_ledger(configure(spark), _LEDGERS[key])
+
+
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return stored_ledger(spark, folder).drop("processing_month")
+
+
+def made_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Stored documents as ledger rows; orders that are finished count as archived."""
     stored = ledger_rows(routed(spark, folder), F.col("ordered_at"), "k", "orderstatus")
     return stored.select(

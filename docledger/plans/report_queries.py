@@ -96,7 +96,7 @@ def rpt_currency_display(spark, folder):
 @query("rpt_daily_tail", f"""
     SELECT {DAILY_SQL} FROM fx_ledger GROUP BY 1 ORDER BY 1 DESC LIMIT 14""", ("fx_ledger",))
 def rpt_daily_tail(spark, folder):
-    return _dated(reports.daily_tail(flat(spark, folder)))
+    return _dated(reports.daily_tail(views.records_flat(reports.last_days(fx.stored_ledger(spark, folder)))))
 
 
 @query("rpt_top_vendors", f"""
@@ -120,7 +120,7 @@ SHOWN_SQL = """strftime(processed_at_utc, '%Y-%m-%d %H:%M:%S') AS processed_at_u
 @query("rpt_recent", f"""
     SELECT {SHOWN_SQL} FROM fx_ledger ORDER BY fx_ledger.processed_at_utc DESC, document_id LIMIT 20""", ("fx_ledger",))
 def rpt_recent(spark, folder):
-    return reports.recent_records(flat(spark, folder))
+    return reports.recent_records(views.records_flat(reports.newest_rows(fx.stored_ledger(spark, folder))))
 
 
 @query("rpt_activity_feed", """
@@ -136,11 +136,10 @@ def rpt_recent(spark, folder):
              coalesce(error_message, error_code, 'Processing failed') FROM fx_active_dead WHERE status = 'FAILED')
     ORDER BY recorded_at_utc DESC, document_id NULLS FIRST, status LIMIT 200""", ("fx_ledger", "fx_active", "fx_history", "fx_active_dead"))
 def rpt_activity_feed(spark, folder):
-    ledger = fx.ledger(spark, folder)
     dead, queue, resolved = dead_and_rest(spark, folder, active=False)
     limit = 200
     return reports.activity_feed(
-        reports.recent_records(views.records_flat(ledger), limit),
+        reports.recent_records(views.records_flat(reports.newest_rows(fx.stored_ledger(spark, folder), limit)), limit),
         review.active_items(queue, resolved),
         review.history_items(queue),
         reports.active_dead_letters(dead, resolved),
@@ -205,7 +204,7 @@ def rpt_run_snapshot(spark, folder):
     metric = F.when(kind == 0, names[0]).when(kind == 1, names[1]).when(kind == 2, names[2]).when(kind == 3, names[3])
     counters = events.select(run, metric.alias("metric"), F.lit(1).cast("bigint").alias("value"))
     latencies = events.select(run, (F.col("event_id") % 997).alias("latency_ms"))
-    return reports.run_snapshot(counters, latencies)
+    return reports.run_snapshot(counters, latencies, width=50)
 
 
 def any_contains(names: list[str], text: str) -> str:
