@@ -15,22 +15,27 @@ stay rows, in order of checksum and length. An empty table gives files without b
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm.byte_bpe import KEPT, SLICE, Numbering, gather
+from docledger.llm.byte_bpe import SLICE, Numbering, gather
 from docledger.llm.common import in_slices, whole_text, written
 
 #: Ids of a block, unless a single document has more.
 BLOCK = 1 << 18
+#: Distinct stretches that a task keeps before it starts its numbering anew, and how many go to the tokenizer in one text.
+KEPT, JOINED = 400_000, 20_000
 _LENGTHS = np.array([[(control >> 2 * place & 3) + 1 for place in range(4)] for control in range(256)], np.uint8)
+_WIDTHS = {2: "<u2", 4: "<u4"}
 BLOCK_TYPE = "part int, block int, start bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 
 
@@ -67,6 +72,17 @@ class WordEncoder:
         self.numbers, self.known = Numbering(), 0
         self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def _learn(self, words: list[str]) -> None:
+        """Tokenise words as one text; a token belongs to the word that its first character lies in."""
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        firsts = np.fromiter((start for start, _ in encoded.offsets), np.int64, len(encoded.offsets))
+        owners = np.searchsorted(begins, firsts, "right") - 1
+        self.lengths = np.concatenate((self.lengths, np.bincount(owners, minlength=len(words))))
+        self.flat = np.concatenate((self.flat, np.array(encoded.ids, np.int32)))
+        self.known += len(words)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         if len(self.numbers) > KEPT:
@@ -77,11 +93,8 @@ class WordEncoder:
             used += found
             parts.append(len(found))
         new = list(self.numbers)[self.known :]
-        if new:
-            ids = [one.ids for one in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            self.lengths = np.concatenate((self.lengths, np.array([len(one) for one in ids], np.int64)))
-            self.flat = np.concatenate((self.flat, np.array([value for one in ids for value in one], np.int32)))
-            self.known = len(self.numbers)
+        for start in range(0, len(new), JOINED):
+            self._learn(new[start : start + JOINED])
         places = np.array(used, np.int64)
         lengths = self.lengths[places]
         ended = np.concatenate(([0], np.cumsum(lengths)))
@@ -92,8 +105,9 @@ class WordEncoder:
 _LOADED: dict[int, WordEncoder] = {}
 
 
-def tokenise(documents: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, check (crc32) and ids (unsigned 32-bit, little-endian) with the end id, for every row."""
+def tokenise(documents: DataFrame, tokenizer_path: str, end_id: int, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, check (crc32 of the 32-bit ids) and ids with the end id (little-endian, `width` bytes each, compressed), for
+    every row. Ids are what the disk and the shuffle hold most of, so each document's are compressed by the task that made them."""
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = documents.sparkSession.sparkContext.broadcast(file.read())
 
@@ -101,51 +115,40 @@ def tokenise(documents: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
         key = hash(definition.value)
         if key not in _LOADED:
             _LOADED[key] = WordEncoder(definition.value)
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in in_slices(batches, "text", SLICE):
             ids, counts = _LOADED[key].encode(batch.column("text").to_pylist())
-            found, start = [], 0
+            found, checks, start = [], [], 0
             for count in counts.tolist():
-                found.append(np.append(ids[start : start + count], end_id).astype("<u4").tobytes())
+                one = np.append(ids[start : start + count], end_id).astype("<u4")
+                checks.append(zlib.crc32(one.tobytes()))
+                found.append(packer.compress(one.astype(_WIDTHS[width]).tobytes()))
                 start += count
-            columns = [
-                batch.column("doc_id"), pa.array(counts + 1), pa.array([zlib.crc32(one) for one in found], pa.int64()),
-                pa.array(found, pa.binary()),
-            ]
+            columns = [batch.column("doc_id"), pa.array(counts + 1), pa.array(checks, pa.int64()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "check", "ids"])
 
     read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     return read.mapInArrow(of, "doc_id bigint, n_tokens bigint, check bigint, ids binary")
 
 
-def _narrow(ids: DataFrame) -> DataFrame:
-    """The same rows with ids that the tasks have packed, for writing and shuffling."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [pack(np.frombuffer(one.as_py(), "<u4")) for one in batch.column("ids")]
-            control, data = [a for a, _ in packed], [b for _, b in packed]
-            columns = [*batch.columns[:3], pa.array(control, pa.binary()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "check", "control", "data"])
-
-    return ids.mapInArrow(of, "doc_id bigint, n_tokens bigint, check bigint, control binary, data binary")
+def _ids(packed: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), _WIDTHS[width])
 
 
-def frequencies(packed: DataFrame) -> DataFrame:
+def frequencies(tokens: DataFrame, width: int) -> DataFrame:
     """(id, rows) over all ids; each task adds up its own before anything moves."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for control, data, count in zip(batch.column("control"), batch.column("data"), batch.column("n_tokens").to_pylist()):
-                counts = np.bincount(unpack(control.as_py(), data.as_py(), count))
-                if len(counts) > len(total):
-                    total = np.pad(total, (0, len(counts) - len(total)))
-                total[: len(counts)] += counts
+            for place in range(0, batch.num_rows, 256):
+                part = [_ids(one.as_py(), width) for one in batch.column("ids")[place : place + 256]]
+                counts = np.bincount(np.concatenate(part), minlength=len(total))
+                total = counts + np.pad(total, (0, len(counts) - len(total)))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "rows"])
 
-    counted = packed.select("n_tokens", "control", "data").mapInArrow(of, "id bigint, rows bigint")
-    return counted.groupBy("id").agg(F.sum("rows").alias("rows"))
+    return tokens.select("ids").mapInArrow(of, "id bigint, rows bigint").groupBy("id").agg(F.sum("rows").alias("rows"))
 
 
 def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -153,8 +156,11 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
     The driver holds one number per id of the vocabulary, whatever the input.
     """
-    packed = written(_narrow(tokenise(documents, tokenizer_path, end_id, doc_id, text)), "token-ids")
-    by_rank = [row["id"] for row in frequencies(packed).orderBy(F.desc("rows"), "id").collect()]
+    with open(tokenizer_path, encoding="utf-8") as file:
+        size = max(max(json.load(file)["model"]["vocab"].values()) + 1, end_id + 1)
+    width = 2 if size <= 1 << 16 else 4
+    tokens = written(tokenise(documents, tokenizer_path, end_id, width, doc_id, text), "token-ids")
+    by_rank = [row["id"] for row in frequencies(tokens, width).orderBy(F.desc("rows"), "id").collect()]
     spark = documents.sparkSession
     spark.createDataFrame([(rank, id_) for rank, id_ in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(
         f"{path}/vocabulary"
@@ -180,19 +186,18 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
         ])
         size = 0
         for batch in batches:
-            rows = zip(*(batch.column(name) for name in ("doc_id", "n_tokens", "control", "data")))
-            for id_, count, control, data in rows:
+            for id_, count, ids in zip(*(batch.column(name) for name in ("doc_id", "n_tokens", "ids"))):
                 if held and size + count.as_py() > BLOCK:
                     yield closed()
                     block, start, size, doc_ids, held = block + 1, start + size, 0, [], []
                 doc_ids.append(id_.as_py())
-                held.append(ranks[unpack(control.as_py(), data.as_py(), count.as_py())])
+                held.append(ranks[_ids(ids.as_py(), width)])
                 size += count.as_py()
         if held:
             yield closed()
 
-    ordered = packed.repartitionByRange("doc_id", "check", "n_tokens").sortWithinPartitions("doc_id", "check", "n_tokens")
-    ordered.mapInArrow(of, BLOCK_TYPE).write.parquet(f"{path}/blocks")
+    ordered = tokens.repartitionByRange("doc_id", "check", "n_tokens").sortWithinPartitions("doc_id", "check", "n_tokens")
+    ordered.mapInArrow(of, BLOCK_TYPE).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
