@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every row that is left, and whether decoding gave the text back."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.round_trip(spark, docs, ranks, public_tokenizers.PATTERN).select(
+    return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm.common import in_slices, whole_text
@@ -277,41 +277,57 @@ def _encoder(tokens, pattern: str) -> Encoder:
     return _LOADED[key]
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) for every row. The rank file is read once by the driver and sent to the tasks; its size
-    is that of a vocabulary, whatever the input."""
-    tokens = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encode_batches(tokens, pattern: str, batches: Batches) -> Batches:
+    encoder = _encoder(tokens, pattern)
+    for batch in in_slices(batches, "text", SLICE):
+        ids, counts = encoder.encode(batch.column("text").to_pylist())
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"]
+        )
+
+
+def _decode_batches(tokens, pattern: str, batches: Batches) -> Batches:
+    vocabulary = _encoder(tokens, pattern).vocabulary
+    for batch in batches:
+        decoded = [vocabulary.decode(np.asarray(ids.values, np.int64)) if ids.is_valid else b"" for ids in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"]
+        )
+
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokens, pattern)
-        for batch in in_slices(batches, "text", SLICE):
-            ids, counts = encoder.encode(batch.column("text").to_pylist())
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"]
-            )
+def _shared(df: DataFrame, ranks_path: str):
+    """The tokens, read once by the driver and sent to the tasks; their size is that of a vocabulary, whatever the input."""
+    return df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
-    return read.mapInArrow(of, "doc_id bigint, ids array<int>")
+
+def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
+
+
+def encode(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids (array of int) for every row."""
+    tokens = _shared(documents, ranks_path)
+    return _texts(documents, doc_id, text).mapInArrow(lambda rows: _encode_batches(tokens, pattern, rows), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids and decoded (binary) for every row of (doc_id, ids)."""
-    tokens = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    tokens = _shared(encoded, ranks_path)
+    return encoded.select("doc_id", "ids").mapInArrow(lambda rows: _decode_batches(tokens, pattern, rows), DECODED)
+
+
+DECODED = "doc_id bigint, ids array<int>, decoded binary"
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _encoder(tokens, pattern).vocabulary
-        for batch in batches:
-            decoded = [
-                vocabulary.decode(np.asarray(ids.values, np.int64)) if ids.is_valid else b"" for ids in batch.column("ids")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"]
-            )
 
-    return encoded.select("doc_id", "ids").mapInArrow(of, "doc_id bigint, ids array<int>, decoded binary")
+def round_trip(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids and decoded, from the texts through the ids and back, both by one Python worker of a task."""
+    tokens = _shared(documents, ranks_path)
 
+    def both(rows: Batches) -> Batches:
+        return _decode_batches(tokens, pattern, _encode_batches(tokens, pattern, rows))
 
-def round_trip(spark: SparkSession, documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids and decoded, from the texts through the ids and back."""
-    return decode(encode(documents, ranks_path, pattern), ranks_path, pattern)
+    return _texts(documents, doc_id, text).mapInArrow(both, DECODED)

@@ -77,7 +77,7 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = byte_bpe.round_trip(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -206,9 +206,13 @@ def test_byte_bpe_odd_texts(spark, odd, library):
     encoder = byte_bpe.Encoder(byte_bpe.Vocabulary(byte_bpe.read_ranks(RANKS)), public_tokenizers.PATTERN)
     ids, counts = encoder.encode(strange)
     assert [list(map(int, part)) for part in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode_ordinary(t) for t in strange]
-    rows = byte_bpe.round_trip(spark, odd, RANKS, public_tokenizers.PATTERN).collect()
+    rows = byte_bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in rows) == sorted((t[1] or "").encode() for t in ODD)
-    assert byte_bpe.round_trip(spark, none(spark), RANKS, public_tokenizers.PATTERN).collect() == []
+    apart = byte_bpe.decode(byte_bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(repr, apart.collect())) == sorted(map(repr, rows))
+    lost = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")
+    assert [bytes(r.decoded) for r in byte_bpe.decode(lost, RANKS, public_tokenizers.PATTERN).collect()] == [b"", b""]
+    assert byte_bpe.round_trip(none(spark), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
 def test_packing():
