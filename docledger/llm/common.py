@@ -45,6 +45,19 @@ def attach(rows: DataFrame, values: DataFrame, key: str, identity: str) -> DataF
     return salted.join(lookup, [key, "_salt"], "left").drop("_salt")
 
 
+def bounded_sample(df: DataFrame, size: int, *key: str, among: float = 1.25) -> DataFrame:
+    """At most ``size`` rows, those with the smallest hashes of their key; reruns agree.
+
+    A share of the hashes, worked out from the number of rows so that about ``among`` times ``size`` rows pass, is
+    cut off first: a task then hands on only its part of the sample, however many tasks there are.
+    """
+    rows = df.count()
+    order = F.xxhash64(*key)
+    share = F.pmod(order, F.lit(1 << 53)) / float(1 << 53)
+    near = df if rows <= among * size else df.where(share < among * size / rows)
+    return near.orderBy(order, *key).limit(size)
+
+
 def numbered(df: DataFrame, key: list[Column]) -> DataFrame:
     """``df`` with _key (a struct, in which nulls are equal) and _copy (1, 2, ... among the rows of a key, by a hash of the row)."""
     keyed = df.withColumn("_key", F.struct(*key))

@@ -9,7 +9,7 @@ total score, so boundaries and kinds are chosen jointly. Segments of one text do
 
 The weights are trained by maximising the conditional likelihood of segmentations. There are no labels of
 spans, so training material is made from the base's own findings: `fit` takes spans from a bounded sample of texts (at most
-`SAMPLE` texts with an anchor, those with the smallest hashes) and rewrites them as people do (without plus, with other separators, with
+`SAMPLE` texts, those with the smallest hashes of doc_id) and rewrites them as people do (without plus, with other separators, with
 written-out signs), between words of those texts; numbers of other lengths and failing checksums are the counterexamples.
 
 Defined results: a null text counts as empty. Empty texts have no spans. Positions count code points, ends are exclusive.
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import whole_text, written
+from docledger.llm.common import bounded_sample, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Units of a segment, at most.
 LONGEST = 24
 #: Texts that training material is taken from, at most.
-SAMPLE = 2_000
+SAMPLE = 20_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -305,10 +305,10 @@ def material(spans: list[tuple[str, str]], words: list[str], seed: int = 7) -> l
     return examples
 
 
-def fit(documents: DataFrame, text: str = "text") -> Field:
-    """Train on material from at most `SAMPLE` texts that hold an @, a plus or a long number."""
-    read = documents.select(whole_text(text).alias("text")).where(r"text RLIKE '@|\\+[0-9]|[0-9]{7}|[0-9]\\.[0-9]'")
-    chosen = read.orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
+def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
+    """Train on material from at most `SAMPLE` texts, those among them that hold an @, a plus or a long number."""
+    read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
+    chosen = bounded_sample(read, SAMPLE, "doc_id").where(r"text RLIKE '@|\\+[0-9]|[0-9]{7}|[0-9]\\.[0-9]'").select("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
