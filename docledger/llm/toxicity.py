@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import whole_text, written
+from docledger.llm.common import bounded_sample, whole_text, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -324,7 +324,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))
     )
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = bounded_sample(known, SAMPLE, "doc_id")
     read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     # The sample's ids are bounded by SAMPLE, so they may be sent to all tasks.
     training = written(read.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
