@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import attach, written
+from docledger.llm.common import attach, bounded_sample, written
 
 SAMPLE = 50_000
 SAMPLE_VALUES = 1 << 23
@@ -226,21 +226,13 @@ class Index:
         )
         count = self.distinct.count()
         bound = max(1, min(SAMPLE, SAMPLE_VALUES // self.dimension))
-        sample = self.distinct.orderBy(F.xxhash64("id")).limit(bound).select("vector").toArrow()
+        sample = bounded_sample(self.distinct, bound, "id").select("vector").toArrow()
         points = _matrix(sample.column("vector").combine_chunks(), self.dimension)
         lists = max(1, min(-(-count // LIST), -(-len(points) // 4)))
         self.centroids = spark.sparkContext.broadcast(build_graph(balanced_centroids(points, lists), points))
         self.schema = f"list int, id bigint, vector {self.type}"
         self.lists = written(_probe(self.distinct, self.centroids, self.dimension, self.schema, COPIES * 8, _copies), "lists")
-        # One number for each centroid: bounded by the sample, not by the vectors.
-        sizes = {row["list"]: row["count"] for row in self.lists.groupBy("list").count().collect()}
-        self.parts = {number: -(-size // PART) for number, size in sizes.items()}
-
-    def _split(self, df: DataFrame, own: str, own_parts: dict[int, int], other: str, other_parts: dict[int, int]) -> DataFrame:
-        """Rows get a part of their own and go to all parts of the other side; only lists with several parts are listed."""
-        several = lambda parts: {k: v for k, v in parts.items() if v > 1}
-        part = F.pmod(F.xxhash64("id"), _lookup(several(own_parts)))
-        return df.withColumn(own, part.cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), _lookup(several(other_parts)) - 1)))
+        self.parts = _parts(self.lists, PART, "parts")
 
     def search(self, is_query: Column) -> DataFrame:
         """query_id, rank, vec_id and score (distance) of each query's nearest others found; ``is_query`` is over vec_id."""
@@ -253,9 +245,12 @@ class Index:
         )
         wanted = self.distinct.select("id", "vector").join(asked.select("id").distinct(), "id", "left_semi")
         probes = written(_probe(wanted, self.centroids, self.dimension, self.schema, max(BEAM, int(SHARE * len(self.centroids.value.points))), _probes), "probes")
-        chunks = {row["list"]: -(-row["count"] // CHUNK) for row in probes.groupBy("list").count().collect()}
-        lists = self._split(self.lists.where(F.col("list").isin(list(chunks))) if len(chunks) < 100 else self.lists, "part", self.parts, "chunk", chunks)
-        asking = self._split(probes, "chunk", chunks, "part", self.parts)
+        split = written(self.parts.join(_parts(probes, CHUNK, "chunks"), "list"), "split")
+        own = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
+        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        columns = [*self.lists.columns, "part", "chunk"]
+        lists = self.lists.join(split, "list").withColumn("part", own("parts")).withColumn("chunk", every("chunks")).select(columns)
+        asking = probes.join(split, "list").withColumn("chunk", own("chunks")).withColumn("part", every("parts")).select(columns)
         keys, keep, dimension = ["list", "part", "chunk"], self.nearest + 1, self.dimension
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -286,9 +281,6 @@ class Index:
         )
 
 
-def _lookup(parts: dict[int, int]) -> Column:
-    """Number of parts of a row's list; 1 where it isn't named."""
-    if not parts:
-        return F.lit(1)
-    pairs = [F.lit(value) for pair in parts.items() for value in pair]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col("list")), F.lit(1))
+def _parts(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """How many parts of about ``size`` rows each list makes: one row for each list, bounded by the sample."""
+    return rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
