@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -57,8 +58,27 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return filled.view("<u4").ravel()
 
 
+#: A stop or comma at a word's end after anything but a letter or digit that stays one in lower case and in composed form.
+_SIGNS = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ \n][.,] ")
+
+
+_WIDE = re.compile(r"[^\x00-\xff]")
+#: Words that are one piece as they stand: lower case, composed, letters only.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: Byte-level pieces spell each byte by one character: printable ones by themselves, the others by those from U+0100 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLED = {byte: byte for byte in _PRINTED} | {
+    byte: 0x100 + place for place, byte in enumerate(byte for byte in range(0x100) if byte not in _PRINTED)
+}
+
+
 class WordEncoder:
-    """A tokenizer that drops white space, applied once to each distinct stretch between spaces."""
+    """A tokenizer that drops white space and case, applied once to each distinct stretch between spaces.
+
+    Line ends become spaces, a stop or comma after a letter or digit is a piece of its own and set apart, and texts of Latin-1 signs are
+    put in lower case first, so that fewer stretches are distinct; all of this changes nothing in what the tokenizer sees. Words that are plainly one piece go straight to
+    the tokenizer's model, all others through the whole tokenizer.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -66,11 +86,18 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self) -> None:
         self.numbers, self.known = Numbering(), 0
-        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.flat, self.lengths, self.place = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn_plain(self, words: list[str]) -> None:
+        pieces = [word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLED) for word in words]
+        found = [self.model.tokenize(piece) for piece in pieces]
+        self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, found), np.int64, len(found))))
+        self.flat = np.concatenate((self.flat, np.array([token.id for tokens in found for token in tokens], np.int32)))
 
     def _learn(self, words: list[str]) -> None:
         """Tokenise words as one text; a token belongs to the word that its first character lies in."""
@@ -81,7 +108,6 @@ class WordEncoder:
         owners = np.searchsorted(begins, firsts, "right") - 1
         self.lengths = np.concatenate((self.lengths, np.bincount(owners, minlength=len(words))))
         self.flat = np.concatenate((self.flat, np.array(encoded.ids, np.int32)))
-        self.known += len(words)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
@@ -89,13 +115,26 @@ class WordEncoder:
             self._forget()
         used, parts = [], []
         for text in texts:
-            found = [*map(self.numbers.__getitem__, text.split(" "))]
-            used += found
+            if not _WIDE.search(text):
+                text = text.lower()
+            text = text.replace("\n", " ")
+            if not _SIGNS.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+            found = text.split(" ")
+            used += map(self.numbers.__getitem__, found)
             parts.append(len(found))
         new = list(self.numbers)[self.known :]
-        for start in range(0, len(new), JOINED):
-            self._learn(new[start : start + JOINED])
-        places = np.array(used, np.int64)
+        plain = [_PLAIN.fullmatch(word) is not None for word in new]
+        # Numbers follow the order in which words are learned: plain ones first.
+        groups = [[word for word, is_plain in zip(new, plain) if is_plain is kind] for kind in (True, False)]
+        for group, learn in zip(groups, (self._learn_plain, self._learn)):
+            for start in range(0, len(group), JOINED):
+                learn(group[start : start + JOINED])
+        place = np.empty(len(new), np.int64)
+        place[np.argsort(~np.array(plain, bool), kind="stable")] = np.arange(len(new))
+        self.place = np.concatenate((self.place, self.known + place))
+        self.known += len(new)
+        places = self.place[np.array(used, np.int64)]
         lengths = self.lengths[places]
         ended = np.concatenate(([0], np.cumsum(lengths)))
         cuts = np.concatenate(([0], np.cumsum(parts))).astype(np.int64)
