@@ -89,9 +89,14 @@ def _pack(first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second)], ["a", "b"])
 
 
+def _near(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether fingerprints are within `RADIUS`; of signed numbers, numpy would count the bits of the absolute value."""
+    return np.bitwise_count((first ^ second).view(np.uint64)) <= RADIUS
+
+
 def _stars(members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """A star for each component of one key's fingerprints under the verified distance."""
-    near = np.bitwise_count(members[:, None] ^ members[None, :]) <= RADIUS
+    near = _near(members[:, None], members[None, :])
     left, found = np.ones(len(members), bool), []
     while left.any():
         seed = int(left.argmax())
@@ -137,7 +142,7 @@ def _link_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closed = slice(0, len(starts) - 1)
         two = starts[closed][sizes[closed] == 2]
         first, second = bits[two], bits[two + 1]
-        near = np.bitwise_count(first ^ second) <= RADIUS
+        near = _near(first, second)
         found.append((first[near], second[near]))
         for start, end in zip(starts[closed][sizes[closed] > 2].tolist(), ends[closed][sizes[closed] > 2].tolist()):
             found += of_run(bits[start:end])

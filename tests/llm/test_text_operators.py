@@ -125,6 +125,20 @@ def test_links_of_crowded_keys(spark, monkeypatch, crowd):
     assert {p: got[p] if got[p] is not None else p for p in got} == groups
 
 
+@pytest.mark.parametrize("crowd", [2048, 3])
+def test_links_over_all_bits(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(2)
+    bases = rng.integers(0, 2**64, 80, np.uint64)
+    flips = [1 << 63, 1 << 63 | 1, 1 << 63 | 1 << 62 | 1 << 61, 1 << 63 | 1 << 40 | 1 << 9, 1 << 63 | 7 << 60, 1 << 63 | 15, 1 << 62 | 1 << 2]
+    flips += [sum(1 << int(bit) for bit in rng.choice(64, size, replace=False)) for size in (1, 2, 3, 3, 4)]
+    prints = {int(base) ^ (flip if n % 12 == place else 0) for n, base in enumerate(bases) for place, flip in enumerate(flips)}
+    signed = {p - (1 << 64) if p >> 63 else p: p for p in prints}
+    found = components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fingerprint bigint"))).collect()
+    got = {p: p for p in signed} | {r.node: r.root for r in found}
+    assert got == linked(signed)
+
+
 def test_simhash_odd_rows(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
