@@ -1,15 +1,14 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by anchors and hashes of all passages around shared ones.
 
 Words are hashed. Of every `WINDOW` successive stretches of `GRAM` words that with the smallest hash is an anchor, so that
-positions are chosen by content: two documents that share `LEAST` words share an anchor within them. Suffixes are retained at
-anchors only. Anchors whose stretch occurs once are dropped by a count; for the rest, the documents are read again and
-each suffix is written with the words ahead of it and behind it. Suffixes are dealt by ranges of (stretch, words ahead,
-document), so that a passage that a third of all documents hold is cut into many tasks, sorted, and compared with their
-neighbours: matches are extended to the right and to the left, and those of `LEAST` words or more give spans. Overlapping spans of a
-document are merged, so passages of any length are covered whole. The neighbours across two tasks are compared at the end.
+positions are chosen by content: two documents that share `LEAST` words share an anchor within them, the least stretch of the
+passage. Anchors whose stretch occurs in one document are dropped by a count; the documents are read again, and every passage of `LEAST` words
+whose least stretch is left is written as a hash of 64 bits. Passages are dealt by ranges of (hash, document, place), so that
+one that a third of all documents hold is cut into many tasks, and sorted; each run of a hash names its two smallest documents, across
+batches and, by the ends of tasks, across tasks. This misses nothing, at any size of a run. Overlapping passages of a document are
+merged, so repeats of any length are covered whole.
 
-Words are what ASCII white space separates, compared byte by byte. The words around an anchor are compared by 16 bits of their hashes, the
-anchor itself by 64.
+Words are what ASCII white space separates, compared byte by byte, by hashes of 64 bits.
 
 Defined results: a null text counts as empty; texts of fewer than `LEAST` words have no spans. Rows without doc_id take no part; rows
 that repeat doc_id are one document (their texts' spans are merged). Repeats within one document only don't count. An empty table gives no rows.
@@ -31,9 +30,6 @@ from docledger.llm.common import whole_text, written
 LEAST = 50
 GRAM = 8
 WINDOW = LEAST - GRAM + 1
-AHEAD, BEHIND = LEAST, LEAST - GRAM
-#: Neighbours that a suffix is compared with on either side.
-NEIGHBOURS = 4
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -46,11 +42,9 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes of the stretches there) for one document's word hashes."""
+def _stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all stretches of at least `LEAST` words, and the least of those in each passage of `LEAST` words."""
     count = len(words) - GRAM + 1
-    if count < WINDOW:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     grams = np.zeros(count, np.uint64)
     for place in range(GRAM):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[place : place + count]
@@ -61,12 +55,22 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rest = WINDOW - span
     if rest:
         least = np.minimum(least[:-rest], least[rest:])
+    return grams, least
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes of the stretches there) for one document's word hashes."""
+    count = len(words) - GRAM + 1
+    if count < WINDOW:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    grams, least = _stretches(words)
     # A stretch is an anchor if it is the least of any window that holds it: compare with the largest of those windows' least.
     most = np.full(count, 0, np.uint64)
     padded = np.concatenate((np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)))
     top, span = padded, 1
     while span * 2 <= WINDOW:
         top, span = np.maximum(top[:-span], top[span:]), span * 2
+    rest = WINDOW - span
     if rest:
         top = np.maximum(top[:-rest], top[rest:])
     most = top[:count]
@@ -89,93 +93,88 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(of, "doc_id bigint, pos int, gram bigint")
 
 
-def _suffix_rows(documents: DataFrame) -> DataFrame:
-    """gram, ahead, behind (16 bits a word, zero past the text's ends), doc_id and pos, from (doc_id, text, places)."""
+def passages(words: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the passages of `LEAST` words whose least stretch is among ``shared``."""
+    grams, least = _stretches(words)
+    chosen = np.flatnonzero(np.isin(least, shared.view(np.uint64)))
+    hashes = np.zeros(len(chosen), np.uint64)
+    for place in [*range(0, LEAST - GRAM, GRAM), LEAST - GRAM]:
+        hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + grams[chosen + place]
+    return chosen.astype(np.int32), _mixed(hashes).view(np.int64)
+
+
+def _passage_rows(documents: DataFrame) -> DataFrame:
+    """hash, doc_id and pos of passages, from (doc_id, text, places)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for id_, text, places in zip(*(batch.column(name) for name in ("doc_id", "text", "places"))):
                 words = word_hashes(text.cast(pa.binary()).as_py())
                 chosen, grams = anchors(words)
-                kept = np.isin(chosen, np.asarray(places.values))
-                chosen, grams = chosen[kept].astype(np.int64), grams[kept]
-                if not len(chosen):
+                shared = grams[np.isin(chosen, np.asarray(places.values))]
+                if not len(shared):
                     continue
-                short = np.concatenate((np.zeros(BEHIND, np.uint16), np.maximum((words & np.uint64(0xFFFF)).astype(np.uint16), 1), np.zeros(AHEAD, np.uint16)))
-                for start in range(0, len(chosen), 4096):
-                    at, keys = chosen[start : start + 4096], grams[start : start + 4096]
-                    ahead = short[at[:, None] + BEHIND + np.arange(AHEAD)]
-                    behind = short[at[:, None] + BEHIND - 1 - np.arange(BEHIND)]
-                    columns = [
-                        pa.array(keys), _binary(ahead), _binary(behind), pa.array(np.full(len(at), id_.as_py(), np.int64)), pa.array(at.astype(np.int32)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["gram", "ahead", "behind", "doc_id", "pos"])
-
-    return documents.mapInArrow(of, _SUFFIX)
-
+                found, hashes = passages(words, shared)
+                for start in range(0, len(found), 1 << 16):
+                    at, keys = found[start : start + (1 << 16)], hashes[start : start + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), id_.as_py(), np.int64)), pa.array(at)], ["hash", "doc_id", "pos"])
 
-_SUFFIX = "gram bigint, ahead binary, behind binary, doc_id bigint, pos int"
-_SPAN = "doc_id bigint, start int, end int, partner bigint, edge struct<gram:bigint,ahead:binary,behind:binary,doc_id:bigint,pos:int>"
+    return documents.mapInArrow(of, "hash bigint, doc_id bigint, pos int")
 
 
-def _binary(matrix: np.ndarray) -> pa.Array:
-    rows = np.ascontiguousarray(matrix).view(np.uint8).reshape(len(matrix), -1)
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+_MATCH = "doc_id bigint, pos int, partner bigint, hash bigint"
 
 
-def _uint16(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages that come sorted by hash, document and place, with the smallest other document that holds them.
 
+    The first run of a task may have begun in an earlier task, and the last may go on in a later one. Rows that this
+    leaves open keep their hash, and rows without pos name the two smallest documents of the task's part of these runs.
+    """
+    names = ["doc_id", "pos", "partner", "hash"]
+    key = np.zeros(0, np.int64)
+    doc, pos = np.zeros(0, np.int64), np.zeros(0, np.int32)  # of the last run: all its rows while it has one document, else its two smallest
+    opening = None  # the hash of the task's first run
+    opened: tuple = ()  # its two smallest documents
 
-def _shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many words two rows share from their start on."""
-    differs = (left != right) | (left == 0)
-    return np.where(differs.any(axis=1), differs.argmax(axis=1), left.shape[1])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of suffixes that come sorted, and the rows at both ends of the task."""
-    names = ["gram", "ahead", "behind", "doc_id", "pos"]
-    schema = pa.schema([("gram", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-    edge = pa.struct(list(schema))
-    held = pa.Table.from_batches([], schema)
-    first = True
-
-    def edges(rows: pa.Table) -> pa.RecordBatch:
-        found = pa.array(rows.to_pylist(), edge)
-        none = [pa.nulls(len(found), kind) for kind in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-        return pa.RecordBatch.from_arrays([*none, found], ["doc_id", "start", "end", "partner", "edge"])
+    def pack(doc_id: np.ndarray, at: np.ndarray, partner: np.ndarray, known: np.ndarray, hashes: np.ndarray, unsure: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc_id), pa.array(at), pa.array(partner, mask=~known), pa.array(hashes, mask=~unsure)], names
+        )
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.concat_tables([held, pa.Table.from_batches([batch.select(names).cast(schema)])]).combine_chunks()
-        if first:
-            yield edges(rows.slice(0, NEIGHBOURS))
-            first = False
-        one = rows.to_batches()[0]
-        gram, doc, pos = (one.column(name).to_numpy() for name in ("gram", "doc_id", "pos"))
-        ahead, behind = _uint16(one.column("ahead"), AHEAD), _uint16(one.column("behind"), BEHIND)
-        places = np.arange(len(doc))
-        changes = np.concatenate(([True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])))
-        run = np.maximum.accumulate(np.where(changes, places, 0))  # where the stretch of one document begins
-        ends = np.append(np.flatnonzero(changes)[1:], len(doc))[np.cumsum(changes) - 1]
-        for other in [run - 1 - lag for lag in range(NEIGHBOURS)] + [ends + lag for lag in range(NEIGHBOURS)]:
-            inside = np.flatnonzero((other >= 0) & (other < len(doc)))
-            mine, theirs = inside, other[inside]
-            same = (gram[mine] == gram[theirs]) & (doc[mine] != doc[theirs])
-            mine, theirs = mine[same], theirs[same]
-            right, left = _shared(ahead[mine], ahead[theirs]), _shared(behind[mine], behind[theirs])
-            long = right + left >= LEAST
-            mine, theirs, right, left = mine[long], theirs[long], right[long], left[long]
-            if len(mine):
-                start, end = (pos[mine] - left).astype(np.int32), (pos[mine] + right).astype(np.int32)
-                columns = [pa.array(doc[mine]), pa.array(start), pa.array(end), pa.array(doc[theirs]), pa.nulls(len(mine), edge)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "partner", "edge"])
-        held = rows.slice(max(0, len(rows) - 2 * NEIGHBOURS))
-    if not first:
-        yield edges(held.slice(max(0, len(held) - NEIGHBOURS)))
+        key, doc, pos = (
+            np.concatenate((old, batch.column(name).to_numpy())) for old, name in ((key, "hash"), (doc, "doc_id"), (pos, "pos"))
+        )
+        if opening is None:
+            opening = key[0]
+        begins = np.concatenate(([True], key[1:] != key[:-1]))
+        starts = np.flatnonzero(begins)
+        run = np.cumsum(begins) - 1
+        first = doc[starts]
+        others = np.flatnonzero(doc != first[run])  # of these, the first one of each run is its second smallest document
+        second, several = first.copy(), np.zeros(len(starts), bool)
+        second[run[others[::-1]]] = doc[others[::-1]]
+        several[run[others]] = True
+        if key[0] == opening:
+            opened = (first[0], second[0])
+        unsure = key == opening
+        ready = (pos >= 0) & (several[run] | unsure & (run < len(starts) - 1))
+        partner = np.where(doc == first[run], second[run], first[run])
+        yield pack(doc[ready], pos[ready], partner[ready], several[run][ready], key[ready], unsure[ready])
+        last = slice(starts[-1], None)
+        if several[-1]:
+            key, doc, pos = key[-1:].repeat(2), np.array([first[-1], second[-1]]), np.array([-1, -1], np.int32)
+        else:
+            key, doc, pos = key[last], doc[last], pos[last]
+    if opening is not None:
+        left = pos >= 0
+        yield pack(doc[left], pos[left], doc[left], np.zeros(left.sum(), bool), key[left], np.ones(left.sum(), bool))
+        ends = {(int(opening), int(opened[0]), int(opened[1])), (int(key[0]), int(doc[0]), int(doc[-1]))}
+        hashes, least, next_ = (pa.array(column, pa.int64()) for column in zip(*sorted(ends)))
+        yield pa.RecordBatch.from_arrays([least, pa.nulls(len(ends), pa.int32()), next_, hashes], names)
 
 
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,16 +185,21 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     counted = found.groupBy("gram", "doc_id").agg(F.lit(1).alias("one")).groupBy("gram").agg(F.count("one").alias("documents"))
     shared = written(counted.where("documents > 1").select("gram"), "shared")
     places = written(found.join(shared, "gram").groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "places")
-    suffixes = _suffix_rows(read.join(places, "doc_id").select("doc_id", "text", "places"))
-    order = ["gram", "ahead", "doc_id", "pos"]
-    spans = written(_dealt(written(suffixes, "suffixes"), order).mapInArrow(_compare, _SPAN), "spans")
-    # Eight rows for each task at most, whatever the tasks hold.
-    across = spans.where("edge is not null").select("edge.*").distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(_compare, _SPAN)
-    return _merged(spans.union(across).where("edge is null").select("doc_id", "start", "end", "partner"))
-
-
-def _dealt(suffixes: DataFrame, order: list[str]) -> DataFrame:
-    return suffixes.dropDuplicates(["gram", "doc_id", "pos"]).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(_passage_rows(read.join(places, "doc_id").select("doc_id", "text", "places")), "passages")
+    return _merged(_matched(found).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + LEAST).alias("end"), "partner"))
+
+
+def _matched(found: DataFrame) -> DataFrame:
+    """doc_id, pos and partner of the passages that two documents or more hold."""
+    order = ["hash", "doc_id", "pos"]
+    matches = written(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_match, _MATCH), "matches")
+    # Two rows for each task at most, whatever the tasks hold.
+    ends = matches.where("pos is null").groupBy("hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("doc_id", "partner"))))).alias("holders"))
+    ends = written(ends.select("hash", F.get("holders", F.lit(0)).alias("least"), F.get("holders", F.lit(1)).alias("next")), "ends")
+    settled = matches.where("pos is not null and hash is null").select("doc_id", "pos", "partner")
+    across = matches.where("pos is not null and hash is not null").drop("partner").join(ends, "hash")
+    partner = F.when(F.col("doc_id") == F.col("least"), F.col("next")).otherwise(F.col("least"))
+    return settled.union(across.select("doc_id", "pos", partner.alias("partner")).where("partner is not null"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:

@@ -401,6 +401,25 @@ def test_repeats(spark):
     assert got == expected and any(expected.values())
 
 
+def covered(rows) -> dict:
+    got: dict = {}
+    for r in rows:
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return got
+
+
+def test_repeats_around_a_frequent_line(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    footer = [word() for _ in range(30)]
+    bodies = {n: [word() for _ in range(100)] + footer + [word() for _ in range(60)] for n in range(300)}
+    for n in range(0, 300, 10):  # pairs that share 21 words ahead of the line, far from each other in any order of what follows
+        bodies[n + 7][79:100] = bodies[n][79:100]
+    df = spark.createDataFrame([(n, " ".join(body)) for n, body in bodies.items()], "doc_id bigint, text string")
+    expected = {m: set(range(79, 130)) for n in range(0, 300, 10) for m in (n, n + 7)}
+    assert covered(suffixes.repeats(df).collect()) == expected
+
+
 def test_repeats_odd_rows(spark, odd):
     twice = odd.unionByName(odd.where("doc_id = 9").withColumn("doc_id", F.lit(11).cast("bigint")))
     assert {r.doc_id: (r.start, r.end) for r in suffixes.repeats(twice).collect()} == {9: (0, 28000), 11: (0, 28000)}
