@@ -420,6 +420,22 @@ def test_repeats_around_a_frequent_line(spark):
     assert covered(suffixes.repeats(df).collect()) == expected
 
 
+def test_repeats_over_batches_and_tasks(spark):
+    rng = random.Random(10)
+    long = LONG * 3
+    docs = [(9, long), (11, long), (12, " ".join(f"own{n}" for n in range(300))), (13, " ".join(rng.choice("ab") for _ in range(400)))]
+    size, tasks = (spark.conf.get(name) for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"))
+    try:
+        for batch, number in ((size, tasks), ("1000", "23")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            spark.conf.set("spark.sql.shuffle.partitions", number)
+            got = covered(suffixes.repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+            assert got == {9: set(range(84000)), 11: set(range(84000))}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+
+
 def test_repeats_odd_rows(spark, odd):
     twice = odd.unionByName(odd.where("doc_id = 9").withColumn("doc_id", F.lit(11).cast("bigint")))
     assert {r.doc_id: (r.start, r.end) for r in suffixes.repeats(twice).collect()} == {9: (0, 28000), 11: (0, 28000)}
