@@ -6,7 +6,7 @@ passage. Anchors whose stretch occurs in one document are dropped by a count; th
 whose least stretch is left is written as a hash of 64 bits. Passages are dealt by ranges of (hash, document, place), so that
 one that a third of all documents hold is cut into many tasks, and sorted; each run of a hash names its two smallest documents, across
 batches and, by the ends of tasks, across tasks. This misses nothing, at any size of a run. Overlapping passages of a document are
-merged, so repeats of any length are covered whole.
+merged, those that a smaller document holds apart from the others (spans of the two kinds may overlap), so repeats of any length are covered whole.
 
 Words are what ASCII white space separates, compared byte by byte, by hashes of 64 bits.
 
@@ -179,7 +179,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start and end (words, end exclusive), n_words, partner (the smallest other doc_id found to hold a part of it) and
-    removable (whether that one is smaller, so a copy stays if the span goes), for every merged span."""
+    removable (whether a smaller one holds each of its passages, so a copy stays if the span goes), for every merged span."""
     read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text")).where("doc_id is not null")
     found = written(_anchor_rows(read), "anchors")
     counted = found.groupBy("gram", "doc_id").agg(F.lit(1).alias("one")).groupBy("gram").agg(F.count("one").alias("documents"))
@@ -203,13 +203,13 @@ def _matched(found: DataFrame) -> DataFrame:
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping and touching spans of a document become one."""
-    each = spans.groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner"))
-    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    """Overlapping and touching spans of a document become one, those with a smaller partner apart from the others."""
+    each = spans.withColumn("removable", F.col("partner") < F.col("doc_id"))
+    order = Window.partitionBy("doc_id", "removable").orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.coalesce(before, F.lit(-1)) < F.col("start"), 1).otherwise(0)
-    island = F.sum("opens").over(Window.partitionBy("doc_id").orderBy("start"))
     return (
-        each.withColumn("opens", opens).withColumn("island", island)
-        .groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner"))
-        .select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "partner", (F.col("partner") < F.col("doc_id")).alias("removable"))
+        each.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order))
+        .groupBy("doc_id", "removable", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner"))
+        .select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "partner", "removable")
     )

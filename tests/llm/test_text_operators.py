@@ -436,6 +436,16 @@ def test_repeats_over_batches_and_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", tasks)
 
 
+def test_repeats_removable_by_part(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    a, b, bodies = [word() for _ in range(80)], [word() for _ in range(90)], [[word() for _ in range(70)] for _ in range(3)]
+    docs = {5: bodies[0] + a, 100: a + b + bodies[1], 900: bodies[2] + b}
+    rows = suffixes.repeats(spark.createDataFrame([(n, " ".join(body)) for n, body in docs.items()], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.start, r.end, r.partner, r.removable) for r in rows} == {
+        (5, 70, 150, 100, False), (100, 0, 80, 5, True), (100, 80, 170, 900, False), (900, 70, 160, 100, True)}
+
+
 def test_repeats_odd_rows(spark, odd):
     twice = odd.unionByName(odd.where("doc_id = 9").withColumn("doc_id", F.lit(11).cast("bigint")))
     assert {r.doc_id: (r.start, r.end) for r in suffixes.repeats(twice).collect()} == {9: (0, 28000), 11: (0, 28000)}
