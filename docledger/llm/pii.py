@@ -92,10 +92,11 @@ def base_spans(text: str) -> list[Span]:
 
 #: What a segment may be made of: words and numbers, and single signs.
 _UNIT = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
-#: Where the field looks: seven digits or more with separators between them, or an address with a written-out sign.
+#: Where the field looks: seven digits or four groups of them with any separators between, or an at and later a dot, written in any way.
 _ANCHOR = re.compile(
-    r"\(?\+?[0-9](?:[\x20()./\\-]{0,2}[0-9]){6,}"
-    r"|[\[({<]\s?(?:at|AT|@|dot|DOT|\.)\s?[\])}>]|\s@\s|\sAT\s|@[A-Za-z0-9-]+\s?\(?(?:dot|DOT)\b|\sat\s[A-Za-z0-9-]+\s(?:dot|DOT|punkt|punto|point)\s"
+    r"\(?\+?[0-9](?:[\x20()+./\\-]*[0-9]){6,}|[0-9]+(?:[\x20()+./\\-]+[0-9]+){3,}"
+    r"|(?:@|(?<![A-Za-z])(?:at|AT|arroba)(?![A-Za-z]))[\sA-Za-z0-9_%+\[\](){}<>-]{1,60}?"
+    r"(?:\.|(?<![A-Za-z])(?:dot|DOT|punkt|punto|point)(?![A-Za-z]))[\s\[\](){}<>]*[A-Za-z0-9]"
 )
 _HINTS = {
     "email": frozenset("email mail e-mail contact write correo courriel".split()),
@@ -336,17 +337,17 @@ SEED_SPANS = {
 
 
 def all_spans(text: str, base: list[Span], field: Field) -> list[Span]:
-    """Base spans and those that the field adds around anchors that no base span holds."""
+    """Base spans and those that the field adds around anchors between them."""
     added: list[Span] = []
     taken = [(start, end) for _, start, end in base]
     done = 0
-    for anchor in _ANCHOR.finditer(text):
-        if any(start < anchor.end() and anchor.start() < end for start, end in taken) or anchor.start() < done:
+    begins, ends = sorted(start for start, _ in taken), sorted(end for _, end in taken)
+    gaps = [(low, high) for low, high in zip([0, *ends], [*begins, len(text)]) if low < high]  # what no base span holds
+    for gap, limit, anchor in ((low, high, anchor) for low, high in gaps for anchor in _ANCHOR.finditer(text, low, high)):
+        if anchor.start() < done:
             continue
-        low, high = max(done, anchor.start() - 60), min(len(text), anchor.end() + 60)
-        low = max([low] + [end for _, end in taken if end <= anchor.start()])
-        high = min([high] + [start for start, _ in taken if start >= anchor.end()])
-        while low > done and low > anchor.start() - 80 and low > 0 and text[low - 1].isalnum() and text[low].isalnum():
+        low, high = max(done, gap, anchor.start() - 60), min(limit, anchor.end() + 60)
+        while low > done and low > gap and low > anchor.start() - 80 and text[low - 1].isalnum() and text[low].isalnum():
             low -= 1
         matches = [match for match in _UNIT.finditer(text, low, high)]
         for start, end, kind in field.best([match[0] for match in matches]):

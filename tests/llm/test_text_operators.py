@@ -344,6 +344,27 @@ def test_pii_field(spark, odd):
     assert len(pii.find(odd, field).collect()) == len(ODD) and pii.find(none(spark), field).collect() == []
 
 
+def test_pii_looks_at_every_variant():
+    seen: list = []
+
+    class Looks:
+        def best(self, units):
+            seen.append("".join(units))
+            return []
+
+    rng = random.Random(6)
+    cases = [pii._variants(kind, text, rng) for kind in pii.KINDS for _, text in pii.SEED_SPANS[kind] * 5]
+    cases += ["10 . 20 . 30 . 40", "10-0-0-1", "jane at example.com", "jane at mail.example dot org", "jane arroba mail punto org"]
+    for case in cases:
+        for text in (f"so it was {case} then", f"card 4111111111111111 {case} then"):
+            base = pii.base_spans(text)
+            seen.clear()
+            pii.all_spans(text, base, Looks())
+            at = text.index(case)
+            if not any(start < at + len(case) and at < end for _, start, end in base):
+                assert any(case in part for part in seen), text
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(1500, 16))
