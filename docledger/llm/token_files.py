@@ -85,8 +85,9 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         self._forget()
 
     def _forget(self) -> None:
@@ -110,7 +111,16 @@ class WordEncoder:
         self.flat = np.concatenate((self.flat, np.array(encoded.ids, np.int32)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each)."""
+        """(ids of all texts one after another, number of ids of each); texts that spell an added token go whole through the tokenizer."""
+        whole = {n: self.tokenizer.encode(text, add_special_tokens=False).ids for n, text in enumerate(texts) if self.added.search(text)}
+        if not whole:
+            return self._by_words(texts)
+        ids, counts = self._by_words(["" if n in whole else text for n, text in enumerate(texts)])
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        parts = [np.array(whole[n], ids.dtype) if n in whole else part for n, part in enumerate(parts)]
+        return np.concatenate(parts), np.fromiter(map(len, parts), counts.dtype, len(parts))
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > KEPT:
             self._forget()
         used, parts = [], []

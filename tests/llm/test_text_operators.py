@@ -259,6 +259,19 @@ def test_token_files(spark, texts, odd, monkeypatch):
     assert token_files.read(spark, path).collect() == []
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    strange = ["a <|endoftext|> b", "plain words", "", "<|startoftext|>x<|endoftext|>", "Not <|ENDOFTEXT|>, one.", "<|endoftext|>", "last. é"]
+    with open(path, encoding="utf-8") as file:
+        encoder = token_files.WordEncoder(file.read())
+    for texts in (strange, strange[1:3], strange[:1]):
+        ids, counts = encoder.encode(texts)
+        assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_toxicity_readings():
     reader = toxicity.Reader({"blockhead": 2.0}, {"nasti": 3.0})
     read = lambda text: dict(zip((*toxicity.REGISTERS, "words"), reader.registers(text)))
