@@ -8,8 +8,10 @@ or only reported after a verb of speech. The machine's final weights for a claus
 (plain, aimed, denied, reported, threat, and strong insults by themselves). A document's registers go through a logistic function.
 
 Learned from labelled rows, by a bounded and documented sample of at most `SAMPLE` rows of the training side (those
-with the smallest hashes of doc_id): the weights of insult arcs, by a Spark aggregate of how many toxic and clean
-documents hold each word or stem; and the logistic weights, on registers of the sample. Both models are of bounded size. Nothing but the text is read when
+with the smallest hashes of doc_id), in which texts that repeat with the same label count once: the weights of insult arcs, by a Spark
+aggregate of how many toxic and clean texts hold each word or stem; and the logistic weights, on registers of the sample. Texts are
+dealt into `FOLDS` parts by their hash, and each part's registers are read with arcs learned from the other parts, so that the
+logistic weights see registers as good as those of a new text and no better. Both models are of bounded size. Nothing but the text is read when
 a text is scored, and the whole of it.
 
 Defined results: a null or empty text has the score of a text without any match. Labels that are null, or rows labelled more
@@ -40,6 +42,8 @@ LEAST = 4
 STEMS = range(3, 9)
 #: Words that a negation governs.
 REACH = 3
+#: Parts for cross-fitting.
+FOLDS = 5
 #: Distinct words whose symbols a task remembers.
 KNOWN = 200_000
 
@@ -96,6 +100,9 @@ def _target() -> Transducer:
     return Transducer(0, {(0, "target"): (1, ()), (1, "target"): (1, ("aimed",))}, {0: (0, ()), 1: (1, ("aimed",))})
 
 
+_TARGET = _target()
+
+
 def _finder(symbol: str) -> Transducer:
     return Transducer(0, {(0, symbol): (0, (symbol,))}, {0: (0, ())})
 
@@ -125,15 +132,19 @@ def grammar() -> Transducer:
 
 
 def read_clause(machine: Transducer, symbols: list[tuple[str, float]]) -> dict[str, float]:
-    """Weight in each register of a clause's insults and threats. A target anywhere in the clause aims it."""
+    """Weight in each register of a clause's insults and threats. The machine reads to the right and so sees targets that come before; a
+    second pass of the target machine to the left sees those that come after."""
+    behind, ahead = _TARGET.start, []
+    for symbol, _ in reversed(symbols):
+        behind, features = _TARGET.step(behind, symbol)
+        ahead.append("aimed" in features)
     state, found = machine.start, []
-    for symbol, weight in symbols:
+    for (symbol, weight), after in zip(symbols, reversed(ahead)):
         state, features = machine.step(state, symbol)
         if symbol in ("insult", "threat"):
-            found.append((symbol, weight, features))
-    aimed = any(symbol == "target" for symbol, _ in symbols)
+            found.append((symbol, weight, features, after or "aimed" in features))
     registers: dict[str, float] = {}
-    for symbol, weight, features in found:
+    for symbol, weight, features, aimed in found:
         if "reported" in features:
             reading = "reported"
         elif "denied" in features:
@@ -246,20 +257,39 @@ def _features(registers: np.ndarray) -> np.ndarray:
 
 
 def _fit_logistic(features: np.ndarray, labels: np.ndarray) -> tuple[list[float], float]:
-    """Weights and bias by Newton steps with a small ridge."""
+    """Weights and bias of the largest likelihood with a small ridge.
+
+    The penalised likelihood is strictly concave. Newton steps are halved until they raise it enough, so they
+    reach its one maximum from anywhere; a fit that ends away from it is an error, not a model.
+    """
     spread = np.where(features.std(axis=0) > 1e-9, features.std(axis=0), 1.0)
     design = np.column_stack([(features - features.mean(axis=0)) / spread, np.ones(len(features))])
     ridge = np.full(design.shape[1], 0.3)
     ridge[-1] = 1e-6
-    beta = np.zeros(design.shape[1])
-    for _ in range(50):
-        chance = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+
+    def likelihood(at: np.ndarray) -> float:
+        line = design @ at
+        return float(labels @ line - np.logaddexp(0, line).sum() - 0.5 * ridge @ at**2)
+
+    beta, enough = np.zeros(design.shape[1]), 1e-9 * len(features)
+    value = likelihood(beta)
+    for _ in range(200):
+        chance = np.exp(-np.logaddexp(0, -(design @ beta)))
         slope = design.T @ (labels - chance) - ridge * beta
+        if np.abs(slope).max() <= enough:
+            break
         curve = (design * (chance * (1 - chance))[:, None]).T @ design + np.diag(ridge)
         step = np.linalg.solve(curve, slope)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while (reached := likelihood(beta + size * step)) < value + 1e-4 * size * (slope @ step) and size > 1e-12:
+            size /= 2
+        if size <= 1e-12:  # as near as doubles allow
             break
+        beta, value = beta + size * step, reached
+    chance = np.exp(-np.logaddexp(0, -(design @ beta)))
+    left = np.abs(design.T @ (labels - chance) - ridge * beta).max()
+    if not left <= 1e-5 * len(features):
+        raise ArithmeticError(f"the fit of {len(features)} rows ended with a gradient of {left}")
     weights = beta[:-1] / spread
     return weights.tolist(), float(beta[-1] - weights @ features.mean(axis=0))
 
@@ -270,39 +300,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _entries(training: DataFrame) -> DataFrame:
-    """(entry, toxic, clean): the documents that hold each word ("word$") and stem, from (text, toxic)."""
+    """entry, and toxic and clean as arrays by fold: the texts that hold each word ("word$") and stem, from (text, toxic, fold)."""
+    sides = [f"{side}{fold}" for side in ("clean", "toxic") for fold in range(FOLDS)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
 
         def counted() -> pa.RecordBatch:
             keys = list(counts)
-            columns = [pa.array(keys, pa.string()), *(pa.array([counts[key][side] for key in keys], pa.int64()) for side in (1, 0))]
-            return pa.RecordBatch.from_arrays(columns, ["entry", "toxic", "clean"])
+            table = np.array([counts[key] for key in keys], np.int64).reshape(-1, 2 * FOLDS)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(column) for column in table.T.copy())], ["entry", *sides])
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for text, toxic, fold in zip(*(batch.column(name).to_pylist() for name in ("text", "toxic", "fold"))):
                 words = {token for token in tokens(text) if token not in STOPS}
                 held = {word + "$" for word in words}
                 held.update(word[:size] for word in words for size in STEMS if size < len(word))
                 for entry in held:
-                    counts.setdefault(entry, [0, 0])[toxic] += 1
+                    counts.setdefault(entry, [0] * (2 * FOLDS))[toxic * FOLDS + fold] += 1
             if len(counts) > KNOWN:
                 yield counted()
                 counts.clear()
         yield counted()
 
-    found = training.mapInArrow(of, "entry string, toxic bigint, clean bigint")
-    return found.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = training.mapInArrow(of, "entry string, " + ", ".join(f"{side} bigint" for side in sides)).groupBy("entry")
+    summed = found.agg(*[F.sum(side).alias(side) for side in sides])
+    return summed.select("entry", *[F.array(*[f"{side}{fold}" for fold in range(FOLDS)]).alias(side) for side in ("toxic", "clean")])
 
 
-def _arcs(entries: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that speak for toxicity even at the lower end of their log odds' 95 % interval."""
+def _arcs(entries: DataFrame, sizes: dict[str, list[int]], but: int | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems that speak for toxicity even at the lower end of their log odds' 95 % interval, in all folds but one."""
+    folds = [fold for fold in range(FOLDS) if fold != but]
+    toxic, clean = (sum((F.get(side, F.lit(fold)) for fold in folds), F.lit(0)) for side in ("toxic", "clean"))
+    n_toxic, n_clean = (sum(sizes[side][fold] for fold in folds) for side in ("toxic", "clean"))
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a / (n_toxic - F.col("toxic") + 0.5)) - F.log(b / (n_clean - F.col("clean") + 0.5))
-    error = F.sqrt(1 / a + 1 / b + 1 / (n_toxic - F.col("toxic") + 0.5) + 1 / (n_clean - F.col("clean") + 0.5))
-    low = odds - 1.96 * error
-    chosen = entries.where(F.col("toxic") >= LEAST).select("entry", "toxic", low.alias("weight")).where("weight > 0.7")
+    rest_a, rest_b = n_toxic - F.col("toxic") + 0.5, n_clean - F.col("clean") + 0.5
+    odds = F.log(a / rest_a) - F.log(b / rest_b)
+    low = odds - 1.96 * F.sqrt(1 / a + 1 / b + 1 / rest_a + 1 / rest_b)
+    counted = entries.select("entry", toxic.alias("toxic"), clean.alias("clean"))
+    chosen = counted.where(F.col("toxic") >= LEAST).select("entry", low.alias("weight")).where("weight > 0.7")
     rows = chosen.orderBy(F.desc("weight"), "entry").limit(ARCS).collect()
     words = {row["entry"][:-1]: float(row["weight"]) for row in rows if row["entry"].endswith("$")}
     weights = {row["entry"]: float(row["weight"]) for row in rows if not row["entry"].endswith("$")}
@@ -327,25 +363,36 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     chosen = bounded_sample(known, SAMPLE, "doc_id")
     read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     # The sample's ids are bounded by SAMPLE, so they may be sent to all tasks.
-    training = written(read.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
-    sizes = training.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("rows")).first()
-    n_toxic, n_clean = int(sizes["toxic"] or 0), int(sizes["rows"] - (sizes["toxic"] or 0))
-    if not n_toxic or not n_clean:
+    found = written(read.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.sha2("text", 256).alias("digest")), "toxic-labelled")
+    firsts = found.groupBy("digest", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    fold = F.pmod(F.xxhash64("digest"), F.lit(FOLDS)).cast("int").alias("fold")
+    once = found.join(F.broadcast(firsts), ["digest", "toxic", "doc_id"]).dropDuplicates(["digest", "toxic"])
+    training = written(once.select("text", "toxic", fold), "toxic-sample")
+    sizes = {side: [0] * FOLDS for side in ("toxic", "clean")}
+    for row in training.groupBy("toxic", "fold").count().collect():
+        sizes["toxic" if row["toxic"] else "clean"][row["fold"]] = row["count"]
+    if not sum(sizes["toxic"]) or not sum(sizes["clean"]):
         return Model({}, {}, [], 0.0)
-    words, stems = _arcs(_entries(training), n_toxic, n_clean)
+    known_often = F.aggregate("toxic", F.lit(0).cast("bigint"), lambda total, one: total + one) >= LEAST
+    entries = written(_entries(training).where(known_often), "toxic-entries")
+    words, stems = _arcs(entries, sizes)
     if not words and not stems:
         return Model({}, {}, [], 0.0)
-    rows = _read(training.select("text", "toxic"), words, stems).collect()  # a few numbers for each row of the sample
+    lexica = [_arcs(entries, sizes, part) for part in range(FOLDS)]
+    rows = _read(training, lexica).collect()  # a few numbers for each row of the sample
     registers = np.array([row["registers"] for row in rows])
     weights, bias = _fit_logistic(_features(registers), np.array([row["toxic"] for row in rows], float))
     return Model(words, stems, weights, bias)
 
 
-def _read(training: DataFrame, words: dict[str, float], stems: dict[str, float]) -> DataFrame:
+def _read(training: DataFrame, lexica: list[tuple[dict[str, float], dict[str, float]]]) -> DataFrame:
+    """toxic and registers of each text, by the lexicon of its fold."""
+    shared = training.sparkSession.sparkContext.broadcast(lexica)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(words, stems)
+        readers = [Reader(*lexicon) for lexicon in shared.value]
         for batch in batches:
-            found = [reader.registers(text) for text in batch.column("text").to_pylist()]
+            found = [readers[fold].registers(text) for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "registers"])
 
     return training.mapInArrow(of, "toxic int, registers array<double>")

@@ -286,6 +286,62 @@ def test_toxicity_readings():
     assert read("")["words"] == 0
 
 
+def test_toxicity_clauses_against_brute_force():
+    """Readings by their definition: windows over the clause instead of machines."""
+    rng = random.Random(4)
+    machine = toxicity.grammar()
+    for _ in range(2000):
+        symbols = [(rng.choice(toxicity.SYMBOLS), round(rng.uniform(0.1, 4), 2)) for _ in range(rng.randint(0, 9))]
+        kinds = [kind for kind, _ in symbols]
+        expected: dict[str, float] = {}
+        for at, (kind, weight) in enumerate(symbols):
+            if kind not in ("insult", "threat"):
+                continue
+            aimed = "target" in kinds
+            reading = (
+                "reported" if "report" in kinds[:at] else "denied" if "negation" in kinds[max(0, at - toxicity.REACH) : at]
+                else ("threat" if aimed else None) if kind == "threat" else "aimed" if aimed else "plain"
+            )
+            for name in [reading] + ["strong"] * (reading in ("plain", "aimed") and weight >= toxicity.STRONG):
+                if name:
+                    expected[name] = expected.get(name, 0.0) + weight
+        assert toxicity.read_clause(machine, symbols) == expected
+
+
+def test_toxicity_fit_converges():
+    """Hundreds of samples, some of them separable; each fit has next to no gradient and is at the maximum that plain ascent reaches."""
+    rng = np.random.default_rng(5)
+    for case in range(300):
+        rows, columns = int(rng.integers(20, 400)), 18
+        x = rng.lognormal(0, 3, (rows, columns)) * (rng.random((rows, columns)) < 0.1)
+        y = (x[:, 0] + x[:, 1] > (0 if case % 3 else 1)).astype(float)
+        weights, bias = toxicity._fit_logistic(x, y)
+        spread = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+        design = np.column_stack([(x - x.mean(axis=0)) / spread, np.ones(rows)])
+        ridge = np.array([0.3] * columns + [1e-6])
+        beta = np.append(np.array(weights) * spread, bias + np.array(weights) @ x.mean(axis=0))
+        slope = design.T @ (y - 1 / (1 + np.exp(-design @ beta))) - ridge * beta
+        assert np.abs(slope).max() < 1e-5 * rows
+    other, rate = np.zeros(columns + 1), 1 / (0.25 * np.linalg.norm(design, 2) ** 2 + 0.3)
+    ahead, pace = other, 1.0
+    for _ in range(50_000):  # an independent solver: accelerated ascent with a fixed step
+        after = ahead + rate * (design.T @ (y - 1 / (1 + np.exp(-design @ ahead))) - ridge * ahead)
+        pace, before = (1 + (1 + 4 * pace**2) ** 0.5) / 2, pace
+        other, ahead = after, after + (before - 1) / pace * (after - other)
+    assert np.allclose(other[:-1], beta[:-1], rtol=1e-3, atol=1e-4)
+
+
+def test_toxicity_copies_are_no_evidence(spark):
+    """Ten copies of every labelled text learn the arcs that one learns."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    ten = spark.range(10).withColumnRenamed("id", "copy")
+    moved = lambda df: df.join(ten).withColumn("doc_id", F.col("doc_id") * 10 + F.col("copy")).drop("copy")
+    known = labels.where(~toxicity.held_out(F.col("doc_id")))
+    once, copied = toxicity.fit(docs, known), toxicity.fit(moved(docs), moved(known))
+    # The held-out side of the copies is another one: nearly all texts keep a copy outside of it.
+    assert abs(len(once.words) + len(once.stems) - len(copied.words) - len(copied.stems)) <= 0.1 * (len(once.words) + len(once.stems)) + 2
+
+
 def test_toxicity_held_out(spark):
     folder = TABLES.replace("0.001", "0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
