@@ -58,17 +58,21 @@ def bounded_sample(df: DataFrame, size: int, *key: str, among: float = 1.25) ->
     return near.orderBy(order, *key).limit(size)
 
 
-def numbered(df: DataFrame, key: list[Column]) -> DataFrame:
-    """``df`` with _key (a struct, in which nulls are equal) and _copy (1, 2, ... among the rows of a key, by a hash of the row)."""
-    keyed = df.withColumn("_key", F.struct(*key))
-    order = F.xxhash64(*[F.col(f"`{column}`") for column in sorted(df.columns)])
-    return keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(order)).cast("bigint"))
-
-
-def one_of_each(df: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
-    """One row of ``df`` for each id in ``ids``; nulls count as one id. Rows of ``df`` are shuffled once."""
-    wanted = ids.select(F.struct(F.col(name).cast(df.schema[name].dataType).alias(name)).alias("_key")).distinct()
-    return numbered(df, [F.col(name)]).where("_copy = 1").join(wanted, "_key", "left_semi").select(*[F.col(f"`{column}`") for column in df.columns])
+def packed(df: DataFrame, key: list[Column]) -> DataFrame:
+    """key (a struct, in which nulls are equal), row (a struct of all columns of ``df``, so that no name can clash) and order (a hash of the
+    row but for columns that hold maps or variants)."""
+    own = lambda names: [F.col(f"`{name}`") for name in names]
+    hashed = sorted(name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind)
+    order = F.xxhash64(*own(hashed)) if hashed else F.lit(0)
+    return df.select(F.struct(*key).alias("key"), F.struct(*own(df.columns)).alias("row"), order.alias("order"))
+
+
+def one_of_each(df: DataFrame, key: list[Column], wanted: DataFrame) -> DataFrame:
+    """One row of ``df``, that with the smallest hash, for each key (a struct named key) in ``wanted``. Rows of ``df`` are shuffled once,
+    at most one for each key from a task."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("order"))
+    firsts = packed(df, key).withColumn("place", place).where("place = 1")
+    return firsts.join(wanted.select("key").distinct(), "key", "left_semi").select("row.*")
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:

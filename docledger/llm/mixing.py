@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import WORDS, numbered, whole_text, written
+from docledger.llm.common import WORDS, packed, whole_text, written
 
 WEIGHTS = (5, 2, 1)
 #: A source gives each of its words this often at most.
@@ -160,7 +160,7 @@ def repeat(documents: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text:
     """Rows of ``documents``, with all their columns, as often as ``mixed`` takes them. Rows are shuffled once."""
     own = [F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size")]
     key = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("size").alias("size"))
-    taken = mixed.where("copies > 0").select(key.alias("_key"), F.col("copy").alias("_copy"), "copies")
-    rows = numbered(documents, own)
-    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return rows.join(taken, ["_key", "_copy"]).withColumn("_time", times).select(*[F.col(f"`{column}`") for column in documents.columns])
+    taken = mixed.where("copies > 0").select(key.alias("key"), "copy", "copies")
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("order")).cast("bigint")
+    rows = packed(documents, own).withColumn("copy", copy).join(taken, ["key", "copy"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("time")).select("row.*")

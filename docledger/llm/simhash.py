@@ -58,16 +58,22 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as a signed 64-bit number) for every row."""
+    """(doc_id, fingerprint as a signed 64-bit number, text_hash as `text_hash` gives it) for every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             found = np.fromiter((fingerprint(value.as_py(), width) for value in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            columns = [batch.column("doc_id"), pa.array(found.view(np.int64)), batch.column("text_hash")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "text_hash"])
 
-    read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
-    return read.mapInArrow(of, "doc_id bigint, fingerprint bigint")
+    read = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"), text_hash(text).alias("text_hash"))
+    return read.mapInArrow(of, "doc_id bigint, fingerprint bigint, text_hash bigint")
+
+
+def text_hash(text: str) -> Column:
+    """With doc_id, what tells rows of different texts apart."""
+    return F.xxhash64(whole_text(text))
 
 
 def _signed(value: int) -> int:
@@ -185,7 +191,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fingerprint (signed) and component_id, the smallest doc_id reachable over links, for every row."""
+    """For every row: doc_id, fingerprint (signed), component_id (the smallest doc_id reachable over links), root (a fingerprint
+    that names the component, also where ids repeat) and text_hash."""
     rows = written(fingerprints(documents, doc_id, text, width), "fingerprints")
     distinct = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct.select("fingerprint")))
@@ -193,5 +200,5 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         "root", F.coalesce("root", "fingerprint")
     )
     firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = attach(placed.select("fingerprint", "root"), firsts, "root", "fingerprint").drop("root")
-    return attach(rows, named, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
+    named = attach(placed.select("fingerprint", "root"), firsts, "root", "fingerprint")
+    return attach(rows, named, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id", "root", "text_hash")
