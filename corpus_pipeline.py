@@ -1,7 +1,10 @@
 """A pipeline over ``documents``, from raw texts to token ids.
 
 Every stage takes a table with the columns of documents and keeps whole rows; the last one returns ids. Extra columns go
-through all stages but the last. Texts are joined back to decisions by doc_id, as a shuffle on both sides.
+through all stages but the last, whatever their names. Texts are joined back to decisions by doc_id and a digest of the text, as a
+shuffle on both sides; ids may be null or repeat. Of rows that repeat both id and text one stays, that with the smallest hash of all
+its columns; rows that share an id, or have none, but differ in their texts are documents of their own, of which only copies and near
+copies go. An empty table stays empty. Each operator says what it makes of odd texts.
 """
 
 from __future__ import annotations
@@ -9,15 +12,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
-from docledger.llm.common import one_of_each, table, written
+from docledger.llm.common import one_of_each, table, whole_text, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _doc_id() -> Column:
+    return F.col("doc_id").cast("bigint").alias("doc_id")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; the model is learned from the labels of the training side."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -26,13 +33,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id stays."""
-    return one_of_each(docs, exact_dedup.deduplicate(docs).where("kept"))
+    kept = exact_dedup.deduplicate(docs).where("kept").select(F.struct("doc_id", "digest").alias("key"))
+    return one_of_each(docs, [_doc_id(), exact_dedup.digest_of(whole_text()).alias("digest")], kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    return one_of_each(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of near-duplicates the document with the smallest doc_id stays (of several with that id, the one with the smallest hash of its text)."""
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("key"))
+    return one_of_each(docs, [_doc_id(), simhash.text_hash("text").alias("text_hash")], kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
