@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import byte_bpe, exact_dedup, hard_negatives, mixing, neighbours, pii, simhash, suffixes, token_files, toxicity, warc
+from docledger.llm import byte_bpe, exact_dedup, hard_negatives, mixing, neighbours, pii, resampling, simhash, suffixes, token_files, toxicity, warc
 from docledger.llm.common import table
 from docledger.session import work_folder
 
@@ -120,6 +120,10 @@ QUALIFY rank <= 3
 """
 
 
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -132,5 +136,6 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_resampling": op13_resampling,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op12_hard_negatives": OP12_SQL}
