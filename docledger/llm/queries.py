@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import byte_bpe, exact_dedup, hard_negatives, mixing, neighbours, pii, resampling, simhash, suffixes, token_files, toxicity, warc
+from docledger.llm import byte_bpe, credentials, exact_dedup, hard_negatives, mixing, neighbours, pii, resampling, simhash, suffixes, token_files, toxicity, warc
 from docledger.llm.common import table
 from docledger.session import work_folder
 
@@ -30,19 +30,27 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    found = pii.find(documents, pii.fit(documents))
+def _spans(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of base spans by kind, their digest, and all spans as one string."""
 
     def joined(spans: str) -> Column:
         one = F.transform(spans, lambda span: F.concat_ws(":", span["kind"], span["start"].cast("string"), span["end"].cast("string")))
         return F.array_join(one, ",")
 
-    kinds = F.col("base.kind")
-    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    of_base = F.col("base.kind")
+    counts = [(F.size("base") - F.size(F.array_remove(of_base, kind))).cast("bigint").alias(f"n_{kind}") for kind in kinds]
     return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return _spans(pii.find(documents, pii.fit(documents)), pii.KINDS)
+
+
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return _spans(credentials.find(table(spark, folder, "documents")), credentials.KINDS[:3])
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
@@ -135,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
+    "op11_secrets": op11_secrets,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_resampling": op13_resampling,
 }
