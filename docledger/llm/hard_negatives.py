@@ -44,6 +44,8 @@ CODES, CELL = 512, 16
 FIRST = 1024
 #: Vectors and anchors that one task compares at a time.
 PART, CHUNK = 8192, 1024
+#: Anchors whose cells one task works out; their rows are few bytes, but each takes a heap of its own.
+HEAPS = 64
 #: Bounds are raised by this share, more than rounding can lower them.
 SLACK = 1e-9
 
@@ -206,7 +208,8 @@ class Index:
                     [*taken.columns, pa.array(lists, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], [*taken.schema.names, "list", "seconds"]
                 )
 
-        return asking.mapInArrow(of, f"{_ASKING}, list int, seconds array<int>")
+        tasks = max(1, min(4096, -(-asking.count() // HEAPS)))
+        return asking.repartition(tasks, "id").mapInArrow(of, f"{_ASKING}, list int, seconds array<int>")
 
     def _wave(self, asking: DataFrame, first: bool, same: bool, keep: int) -> DataFrame:
         """anchor, window, score and id of the ``keep`` best vectors in each window from each task, of the anchor's label or of others."""

@@ -2,14 +2,11 @@ from __future__ import annotations
 
 import math
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TABLES
 from docledger.llm import hard_negatives
-from docledger.llm.queries import QUERIES, SQL
 
 ROW = "vec_id bigint, embedding array<float>, label int, list int, id string, score double"
 OUT = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
@@ -34,13 +31,6 @@ def mined(spark, rows: list[tuple], every: int = 50) -> list[tuple]:
     return sorted(tuple(row) for row in hard_negatives.mine(df, F.col("id") % every == 0).select(*OUT).collect())
 
 
-def test_against_sql(spark):
-    connection = duckdb.connect()
-    connection.sql(f"create view embeddings as select * from '{TABLES}/embeddings.parquet'")
-    expected = sorted(connection.sql(f"select {', '.join(OUT)} from ({SQL['op12_hard_negatives']})").fetchall())
-    assert sorted(tuple(row) for row in QUERIES["op12_hard_negatives"](spark, TABLES).select(*OUT).collect()) == expected
-
-
 @pytest.mark.parametrize("first, part, chunk, codes", [(8, 64, 4, 12), (1 << 30, 8192, 1024, 3), (1, 16, 2, 40)])
 def test_against_brute_force(spark, monkeypatch, first, part, chunk, codes):
     """Vectors in clusters, so that most cells are never visited, with ties and a vector that a fifth of all rows repeat."""
