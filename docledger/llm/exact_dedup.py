@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +30,44 @@ def digest_of(text: Column) -> Column:
 class DigestIndex:
     """An index at ``location``; it is created if missing and can be opened again by any later session.
 
-    The number of buckets belongs to the index: open it again with the number it was made with.
+    The number of buckets belongs to the index. It is written beside the table when the index is made and read
+    whenever it is opened, whatever the session's settings; asking for another number is an error.
+
+    What a failed append may leave are whole files of some buckets, with rows that are right by themselves. The next
+    anti-join finds them like any others, so giving the batch again completes it, and no digest is indexed twice. One
+    writer at a time.
     """
 
     def __init__(self, spark: SparkSession, location: str, buckets: int | None = None, name: str | None = None):
         self.spark = spark
-        self.location = location
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = name or f"digests_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
+        self.location = location.rstrip("/")
+        self.buckets = self._layout(buckets)
+        self.name = name or f"digests_{uuid.uuid5(uuid.NAMESPACE_URL, self.location).hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}/rows'"
         )
+        known = int(next(row["data_type"] for row in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect() if row["col_name"] == "Num Buckets"))
+        if known != self.buckets:
+            raise ValueError(f"table {self.name} has {known} buckets, the index at {self.location} has {self.buckets}")
+        spark.catalog.refreshTable(self.name)  # another session may have appended
+
+    def _layout(self, buckets: int | None) -> int:
+        """The number of buckets that the index was made with; a new index gets the number asked for."""
+        path = f"{self.location}/layout"
+        try:
+            stored = self.spark.read.schema("buckets int").json(path).first()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = None
+        if stored is None:
+            made = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.spark.range(1).select(F.lit(made).alias("buckets")).coalesce(1).write.json(path)
+            return made
+        if buckets not in (None, stored["buckets"]):
+            raise ValueError(f"the index at {self.location} has {stored['buckets']} buckets, not {buckets}")
+        return stored["buckets"]
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)

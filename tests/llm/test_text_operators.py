@@ -51,7 +51,8 @@ def none(spark, schema=ODD_TYPE):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     connection = duckdb.connect()
-    connection.sql(f"create view documents as select * from '{TABLES}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        connection.sql(f"create view {table} as select * from '{TABLES}/{table}.parquet'")
     df = QUERIES[name](spark, TABLES)
     columns = sorted(df.columns)
     expected = sorted(connection.sql(f"select {', '.join(columns)} from ({SQL[name]})").fetchall(), key=repr)
@@ -80,6 +81,34 @@ def test_index_lasts_over_batches(spark):
     assert index.compact(work_folder(spark, "compact")).rows().count() == 3
 
 
+def test_index_knows_its_buckets(spark):
+    """Opened with other settings, by other sessions and after an append that failed half way, it keeps nothing again."""
+    location = work_folder(spark, "layout")
+    batch = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    kept = lambda index: index.deduplicate(batch).where("kept").count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert kept(exact_dedup.DigestIndex(spark, location)) == 1000
+        for partitions in ("8", "5", "200"):
+            session = spark.newSession()
+            session.conf.set("spark.sql.shuffle.partitions", partitions)
+            again = exact_dedup.DigestIndex(session, location, name=f"opened_with_{partitions}")
+            moved = session.range(1000).select((F.col("id") + 5000).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+            rows = again.deduplicate(moved).collect()
+            assert again.buckets == int(before) and sum(r.kept for r in rows) == 0 and {r.keep_id for r in rows} == set(range(1000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, location, buckets=5)
+
+    half = exact_dedup.DigestIndex(spark, work_folder(spark, "half"), buckets=4)
+    digests = batch.select(exact_dedup.digest_of(F.col("text")).alias("digest"), F.col("doc_id").alias("keep_id"))
+    halves = digests.repartition(4, "digest").withColumn("bucket", F.spark_partition_id()).where("bucket < 2").drop("bucket")
+    half.append_new(halves)  # what an append leaves that fails after two of its four buckets
+    assert 0 < half.rows().count() < 1000
+    assert kept(half) == 1000 and half.rows().count() == 1000 == half.rows().select("digest").distinct().count()
+
+
 def fingerprint(text: str) -> int:
     words = text.encode().lower().split()
     grams = [b" ".join(words[p : p + 3]) for p in range(max(1, len(words) - 2))] if words else []
