@@ -11,7 +11,7 @@ from docledger.plans.registry import query
 from docledger.plans.state_queries import ACTIVE_COLUMNS, ACTIVE_SQL, queue_and_resolved
 from docledger.schemas import METRIC
 from docledger.session import work_folder
-from docledger.streaming import jobs
+from docledger.streaming import claim_state, jobs
 
 
 def flat(spark, folder) -> DataFrame:
@@ -277,6 +277,28 @@ def str_claims(spark, folder):
     return results.groupBy("drive_file_id", "file_hash", "claim_status", "owner_id").agg(F.count(F.lit(1)).alias("attempts"))
 
 
+@query("str_claims_state", "SELECT * FROM fx_claim_results", ("fx_claim_results",))
+def str_claims_state(spark, folder):
+    """First attempts and second ones in runs of their own, so that the second meet the first in the state store."""
+    work = work_folder(spark, "claim-state")
+    attempts = fx.claim_attempts(spark, folder)
+    for place in range(2):
+        stream = stream_of(attempts.where(F.col("arrival") % 2 == place), work)
+        finish(claim_state.claim_results_stream(stream, f"{work}/results", f"{work}/checkpoint", fx.claims(spark, folder)))
+    return spark.read.parquet(f"{work}/results").drop("batch")
+
+
+@query("str_first_claims", "SELECT drive_file_id, file_hash, k * 2 AS arrival FROM fx_orders", ("fx_orders",))
+def str_first_claims(spark, folder):
+    """Of two runs with attempts on the same keys, those of the second are dropped."""
+    work = work_folder(spark, "first-claims")
+    rows = fx.order_keys(spark, folder).select("drive_file_id", "file_hash", F.col("ordered_at").cast("timestamp").alias("at"), (F.col("k") * 2).alias("arrival"))
+    for place in range(2):
+        stream = stream_of(rows.withColumn("arrival", F.col("arrival") + place), work)
+        finish(jobs.changes_stream(jobs.first_claims_stream(stream, "at", "1 hour"), f"{work}/results", f"{work}/checkpoint"))
+    return spark.read.parquet(f"{work}/results").select("drive_file_id", "file_hash", "arrival")
+
+
 @query("str_routed_sinks", """
     SELECT s AS sink, count(*) AS written FROM (
       SELECT unnest(CASE WHEN failed THEN ['dead_letters'] WHEN good THEN ['ledger'] ELSE ['dead_letters', 'review_queue'] END) AS s
