@@ -44,8 +44,8 @@ STEMS = range(3, 9)
 REACH = 3
 #: Parts for cross-fitting.
 FOLDS = 5
-#: Distinct words whose symbols a task remembers.
-KNOWN = 200_000
+#: Distinct words whose symbols a task remembers, and entries whose counts it holds.
+KNOWN = 50_000
 
 CLASSES = {
     "threat": "kill hurt destroy beat burn shoot stab strangle töten umbringen schlagen vernichten verbrennen tuer frapper "
@@ -307,7 +307,7 @@ def _entries(training: DataFrame) -> DataFrame:
         counts: dict[str, list[int]] = {}
 
         def counted() -> pa.RecordBatch:
-            keys = list(counts)
+            keys = [*counts]
             table = np.array([counts[key] for key in keys], np.int64).reshape(-1, 2 * FOLDS)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(column) for column in table.T.copy())], ["entry", *sides])
 
@@ -318,9 +318,9 @@ def _entries(training: DataFrame) -> DataFrame:
                 held.update(word[:size] for word in words for size in STEMS if size < len(word))
                 for entry in held:
                     counts.setdefault(entry, [0] * (2 * FOLDS))[toxic * FOLDS + fold] += 1
-            if len(counts) > KNOWN:
-                yield counted()
-                counts.clear()
+                if len(counts) > KNOWN:
+                    yield counted()
+                    counts.clear()
         yield counted()
 
     found = training.mapInArrow(of, "entry string, " + ", ".join(f"{side} bigint" for side in sides)).groupBy("entry")
@@ -390,12 +390,16 @@ def _read(training: DataFrame, lexica: list[tuple[dict[str, float], dict[str, fl
     shared = training.sparkSession.sparkContext.broadcast(lexica)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers = [Reader(*lexicon) for lexicon in shared.value]
+        reader, part = None, -1
         for batch in batches:
-            found = [readers[fold].registers(text) for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
+            found = []
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist()):
+                if fold != part:
+                    reader, part = Reader(*shared.value[fold]), fold
+                found.append(reader.registers(text))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "registers"])
 
-    return training.mapInArrow(of, "toxic int, registers array<double>")
+    return training.sortWithinPartitions("fold").mapInArrow(of, "toxic int, registers array<double>")
 
 
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
