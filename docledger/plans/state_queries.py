@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.operators import claims, evaluate, review
@@ -12,12 +12,20 @@ from docledger.plans import fixtures as fx
 from docledger.plans.evaluation_queries import gated_cases
 from docledger.plans.fixtures import every, numbered, order_key
 from docledger.plans.registry import query
+from docledger.schemas import CLAIM_KEY
 from docledger.session import work_folder
-from docledger.sources import readers, sinks
+from docledger.sources import keyed, readers, sinks
 
 NOW = "2026-01-01T00:00:00+00:00"
 
 
+def keyed_table(spark: SparkSession, rows: DataFrame, key: list[str], buckets: int = 16) -> keyed.KeyedTable:
+    """The rows as a table that is stored by key."""
+    stored = keyed.KeyedTable(spark, work_folder(spark, "keyed"), rows.schema, key, buckets)
+    stored.append(rows)
+    return stored
+
+
 def variant_text(column: str, path: str) -> Column:
     return F.try_variant_get(column, f"$.{path}", "string")
 
@@ -93,11 +101,14 @@ def src_ledger(spark, folder):
 
 # ---- sinks --------------------------------------------------------------------------------------
 
-@query("snk_append_if_absent", """
+APPEND_SQL = """
     SELECT a.arrival AS seq, a.drive_file_id, a.file_hash,
            CASE WHEN a.k % 77 = 0 THEN 'missing_key' WHEN a.p = 1 OR l.id IS NOT NULL THEN 'skipped_duplicate' ELSE 'appended' END AS append_status
     FROM (SELECT * REPLACE (CASE WHEN k % 77 = 0 THEN NULL ELSE drive_file_id END AS drive_file_id) FROM fx_attempts) a
-    LEFT JOIN fx_ledger l ON l.drive_file_id = a.drive_file_id AND l.file_hash = a.file_hash""", ("fx_attempts", "fx_ledger"))
+    LEFT JOIN fx_ledger l ON l.drive_file_id = a.drive_file_id AND l.file_hash = a.file_hash"""
+
+
+@query("snk_append_if_absent", APPEND_SQL, ("fx_attempts", "fx_ledger"))
 def snk_append_if_absent(spark, folder):
     key = F.floor(F.col("arrival") / 2)
     rows = fx.claim_attempts(spark, folder).select(
@@ -108,6 +119,20 @@ def snk_append_if_absent(spark, folder):
     return sinks.append_if_absent(rows, fx.ledger(spark, folder))
 
 
+@query("snk_append_keyed", APPEND_SQL, ("fx_attempts", "fx_ledger"))
+def snk_append_keyed(spark, folder):
+    """The same against a stored ledger: first attempts as one batch, second ones as the next, which finds what the first has added."""
+    stored = keyed_table(spark, fx.ledger(spark, folder).select("drive_file_id", "file_hash", "id"), CLAIM_KEY)
+    key, found = F.floor(F.col("arrival") / 2), []
+    rows = fx.claim_attempts(spark, folder).select(
+        F.col("arrival").alias("seq"), F.when(key % 77 != 0, F.col("drive_file_id")).alias("drive_file_id"), "file_hash"
+    )
+    for place in range(2):
+        made = lambda new: new.select(*CLAIM_KEY, F.col("seq").alias("id"))
+        found.append(keyed.store_if_absent(rows.where(F.col("seq") % 2 == place), stored, made))
+    return found[0].unionByName(found[1])
+
+
 @query("snk_append_by_hash", """
     SELECT seq, dedupe_key,
            CASE WHEN dedupe_key IS NULL THEN 'appended'
@@ -155,15 +180,22 @@ def snk_event_log(spark, folder):
     return readers.read_event_log(spark, path, layout).drop("status")
 
 
-@query("snk_review_upsert", """
+UPSERT_SQL = """
     SELECT coalesce(q.document_id, n.document_id) AS document_id,
            CASE WHEN n.document_id IS NOT NULL THEN 'REVIEW_REQUIRED' ELSE q.status END AS status,
            CASE WHEN n.document_id IS NOT NULL THEN 'low_confidence' ELSE q.reasons END AS reasons,
            CASE WHEN n.document_id IS NOT NULL THEN '2026-01-01T00:00:00+00:00' ELSE q.created_at_utc END AS created_at_utc,
            q.resolved_at_utc, q.resolution_note
-    FROM fx_queue q FULL OUTER JOIN (SELECT * FROM fx_orders WHERE k % 5 = 0) n ON n.document_id = q.document_id""", ("fx_queue",))
+    FROM fx_queue q FULL OUTER JOIN (SELECT * FROM fx_orders WHERE k % 5 = 0) n ON n.document_id = q.document_id"""
+
+
+@query("snk_review_upsert", UPSERT_SQL, ("fx_queue",))
 def snk_review_upsert(spark, folder):
-    new = fx.order_keys(spark, folder).where(every(5)).select(
+    return review_columns(sinks.upsert_review(new_reviews(spark, folder), fx.review_queue(spark, folder)))
+
+
+def new_reviews(spark, folder):
+    return fx.order_keys(spark, folder).where(every(5)).select(
         "document_id",
         F.lit("REVIEW_REQUIRED").alias("status"),
         F.array(F.lit("low_confidence")).alias("reason_codes"),
@@ -171,13 +203,22 @@ def snk_review_upsert(spark, folder):
         F.lit(None).cast("string").alias("source_file_moved_to"),
         F.lit(NOW).alias("created_at_utc"),
     )
-    merged = sinks.upsert_review(new, fx.review_queue(spark, folder))
-    return merged.select(
+
+
+def review_columns(queue: DataFrame) -> DataFrame:
+    return queue.select(
         "document_id", "status", F.array_join("reason_codes", ",").alias("reasons"), "created_at_utc",
         "resolved_at_utc", "resolution_note",
     )
 
 
+@query("snk_upsert_keyed", UPSERT_SQL, ("fx_queue",))
+def snk_upsert_keyed(spark, folder):
+    queue = keyed_table(spark, fx.review_queue(spark, folder), ["document_id"])
+    keyed.upsert_review_in_place(new_reviews(spark, folder), queue)
+    return review_columns(queue.rows())
+
+
 @query("snk_archive_manifest", f"""
     SELECT id AS source, 'archive/' || regexp_extract(id, '[^/]*$') AS destination,
            count(*) OVER (PARTITION BY regexp_extract(id, '[^/]*$')) AS sources,
@@ -220,6 +261,15 @@ def clm_claim(spark, folder):
     return claims.claim(fx.claim_attempts(spark, folder), fx.claims(spark, folder))
 
 
+@query("clm_claim_keyed", "SELECT * FROM fx_claim_results", ("fx_claim_results",))
+def clm_claim_keyed(spark, folder):
+    """Claims taken in place: first attempts as one batch, second ones as the next."""
+    held, found = keyed_table(spark, fx.claims(spark, folder), CLAIM_KEY), []
+    for place in range(2):
+        found.append(keyed.claim_in_place(fx.claim_attempts(spark, folder).where(F.col("arrival") % 2 == place), held, NOW))
+    return found[0].unionByName(found[1])
+
+
 @query("clm_claims_after", """
     SELECT o.drive_file_id, o.file_hash, 'CLAIMED' AS status, 'poll-' || (o.k % 4) AS owner_id,
            CASE WHEN c.status IS NULL THEN '2026-01-01T00:00:00+00:00' ELSE strftime(o.ordered_at, '%Y-%m-%d %H:%M:%S') END AS claimed_at_utc,
@@ -230,19 +280,35 @@ def clm_claims_after(spark, folder):
     return claims.claims_after(fx.claim_attempts(spark, folder), fx.claims(spark, folder), NOW)
 
 
-@query("clm_merge_status", """
+MERGE_SQL = """
     SELECT c.drive_file_id, c.file_hash, coalesce(u.status, c.status) AS status, c.owner_id,
            u.seq IS NOT NULL AS updated
     FROM fx_claims c LEFT JOIN (
       SELECT drive_file_id, file_hash, max(seq) AS seq, arg_max(CASE WHEN seq % 2 = 0 THEN 'STORED' ELSE 'FAILED' END, seq) AS status
-      FROM fx_dead WHERE drive_file_id IS NOT NULL GROUP BY ALL) u USING (drive_file_id, file_hash)""", ("fx_claims", "fx_dead"))
+      FROM fx_dead WHERE drive_file_id IS NOT NULL GROUP BY ALL) u USING (drive_file_id, file_hash)"""
+
+
+@query("clm_merge_status", MERGE_SQL, ("fx_claims", "fx_dead"))
 def clm_merge_status(spark, folder):
-    updates = fx.dead_letters(spark, folder).where(F.col("drive_file_id").isNotNull()).select(
+    return merged_columns(claims.merge_status(status_updates(spark, folder), fx.claims(spark, folder)))
+
+
+@query("clm_merge_keyed", MERGE_SQL, ("fx_claims", "fx_dead"))
+def clm_merge_keyed(spark, folder):
+    held = keyed_table(spark, fx.claims(spark, folder), CLAIM_KEY)
+    keyed.mark_in_place(status_updates(spark, folder), held)
+    return merged_columns(held.rows())
+
+
+def status_updates(spark, folder):
+    return fx.dead_letters(spark, folder).where(F.col("drive_file_id").isNotNull()).select(
         "drive_file_id", "file_hash", "seq",
         F.when(F.col("seq") % 2 == 0, "STORED").otherwise("FAILED").alias("status"),
         F.lit(NOW).alias("updated_at_utc"),
     )
-    merged = claims.merge_status(updates, fx.claims(spark, folder))
+
+
+def merged_columns(merged: DataFrame) -> DataFrame:
     return merged.select(
         "drive_file_id", "file_hash", "status", "owner_id", (F.col("updated_at_utc") == NOW).alias("updated")
     )
