@@ -196,10 +196,11 @@ def _matched(found: DataFrame) -> DataFrame:
     # Two rows for each task at most, whatever the tasks hold.
     ends = matches.where("pos is null").groupBy("hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("doc_id", "partner"))))).alias("holders"))
     ends = written(ends.select("hash", F.get("holders", F.lit(0)).alias("least"), F.get("holders", F.lit(1)).alias("next")), "ends")
-    settled = matches.where("pos is not null and hash is null").select("doc_id", "pos", "partner")
-    across = matches.where("pos is not null and hash is not null").drop("partner").join(ends, "hash")
-    partner = F.when(F.col("doc_id") == F.col("least"), F.col("next")).otherwise(F.col("least"))
-    return settled.union(across.select("doc_id", "pos", partner.alias("partner")).where("partner is not null"))
+    # All rows pass through one join with this bounded table; rows without hash are settled and keep their partner.
+    named = F.when(F.col("doc_id") == F.col("least"), F.col("next")).otherwise(F.col("least"))
+    partner = F.when(F.col("hash").isNull(), F.col("partner")).otherwise(named)
+    joined = matches.where("pos is not null").join(F.broadcast(ends), "hash", "left")
+    return joined.select("doc_id", "pos", partner.alias("partner")).where("partner is not null")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
