@@ -11,7 +11,7 @@ from docledger.plans.registry import query
 from docledger.plans.state_queries import ACTIVE_COLUMNS, ACTIVE_SQL, queue_and_resolved
 from docledger.schemas import METRIC
 from docledger.session import work_folder
-from docledger.streaming import claim_state, jobs
+from docledger.streaming import claim_state, jobs, totals
 
 
 def flat(spark, folder) -> DataFrame:
@@ -56,33 +56,45 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn("processing_date", F.col("processing_date").cast("string"))
 
 
-@query("viw_daily_summary", f"""
+DAILY_SUMMARY_SQL = f"""
     SELECT {DAILY_SQL}, cast(sum(cast(model_confidence AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_model_confidence,
            cast(sum(cast(validation_score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_validation_score
-    FROM fx_ledger GROUP BY 1""", ("fx_ledger",))
+    FROM fx_ledger GROUP BY 1"""
+
+
+@query("viw_daily_summary", DAILY_SUMMARY_SQL, ("fx_ledger",))
 def viw_daily_summary(spark, folder):
     return as_doubles(_dated(views.daily_summary(flat(spark, folder))), "total_amount_sum")
 
 
 # ---- reports ------------------------------------------------------------------------------------
 
-@query("rpt_kpis", """
+KPIS_SQL = """
     SELECT count(*) AS records_total, count(*) FILTER (row_status = 'STORED') AS stored_total,
-           count(*) FILTER (needs_review) AS needs_review_total FROM fx_ledger""", ("fx_ledger",))
+           count(*) FILTER (needs_review) AS needs_review_total FROM fx_ledger"""
+
+
+@query("rpt_kpis", KPIS_SQL, ("fx_ledger",))
 def rpt_kpis(spark, folder):
     return reports.kpis(flat(spark, folder))
 
 
-@query("rpt_currency_totals", f"""
-    SELECT currency, {money_sum('total_amount')} AS total_amount_sum FROM fx_ledger GROUP BY currency""", ("fx_ledger",))
+CURRENCY_SQL = f"""
+    SELECT currency, {money_sum('total_amount')} AS total_amount_sum FROM fx_ledger GROUP BY currency"""
+
+
+@query("rpt_currency_totals", CURRENCY_SQL, ("fx_ledger",))
 def rpt_currency_totals(spark, folder):
     return reports.currency_totals(flat(spark, folder))
 
 
-@query("rpt_currency_display", f"""
+CURRENCY_DISPLAY_SQL = f"""
     SELECT 'all' AS part, count(DISTINCT currency) || ' currencies' AS total_amount_display FROM fx_ledger
     UNION ALL SELECT 'eur', 'EUR ' || format('{{:,.2f}}', {money_sum('total_amount')}) FROM fx_ledger WHERE currency = 'EUR'
-    UNION ALL SELECT 'none', '0'""", ("fx_ledger",))
+    UNION ALL SELECT 'none', '0'"""
+
+
+@query("rpt_currency_display", CURRENCY_DISPLAY_SQL, ("fx_ledger",))
 def rpt_currency_display(spark, folder):
     totals = reports.currency_totals(flat(spark, folder))
     parts = {"all": totals, "eur": totals.where("currency = 'EUR'"), "none": totals.where("currency = 'XXX'")}
@@ -99,16 +111,22 @@ def rpt_daily_tail(spark, folder):
     return _dated(reports.daily_tail(views.records_flat(reports.last_days(fx.stored_ledger(spark, folder)))))
 
 
-@query("rpt_top_vendors", f"""
+VENDORS_SQL = f"""
     SELECT vendor_name, count(*) AS invoices, {money_sum('total_amount')} AS total_spend FROM fx_ledger
-    GROUP BY vendor_name ORDER BY total_spend DESC, vendor_name LIMIT 10""", ("fx_ledger",))
+    GROUP BY vendor_name ORDER BY total_spend DESC, vendor_name LIMIT 10"""
+
+
+@query("rpt_top_vendors", VENDORS_SQL, ("fx_ledger",))
 def rpt_top_vendors(spark, folder):
     return reports.top_vendors(flat(spark, folder))
 
 
-@query("rpt_provider_mix", """
+PROVIDERS_SQL = """
     SELECT used_provider, n AS records_total, cast(floor(n / greatest(max(n) OVER (), 1) * 100 + 0.5) AS BIGINT) AS bar_percent
-    FROM (SELECT used_provider, count(*) AS n FROM fx_ledger GROUP BY used_provider)""", ("fx_ledger",))
+    FROM (SELECT used_provider, count(*) AS n FROM fx_ledger GROUP BY used_provider)"""
+
+
+@query("rpt_provider_mix", PROVIDERS_SQL, ("fx_ledger",))
 def rpt_provider_mix(spark, folder):
     return reports.provider_mix(flat(spark, folder))
 
@@ -437,3 +455,40 @@ def str_daily(spark, folder):
     stream = stream_of(fx.ledger(spark, folder), work)
     finish(jobs.changes_stream(jobs.daily_stream(stream), f"{work}/out", f"{work}/checkpoint"))
     return as_doubles(_dated(jobs.read_last_changes(spark, f"{work}/out", "processing_date")), "total_amount_sum")
+
+
+# ---- reports from stored totals -------------------------------------------------------------------
+
+def kept_totals(spark, folder):
+    """Totals kept up over two runs: every day gets records in the second that it lacked in the first."""
+    work = work_folder(spark, "totals")
+    ledger = fx.ledger(spark, folder)
+    table = totals.totals_table(ledger, f"{work}/table", 16)
+    for part in range(2):
+        finish(totals.totals_stream(stream_of(ledger.where(F.col("id") % 2 == part), work), table, f"{work}/checkpoint"))
+    return table.rows()
+
+
+@query("viw_daily_kept", DAILY_SUMMARY_SQL, ("fx_ledger",))
+def viw_daily_kept(spark, folder):
+    return as_doubles(_dated(totals.daily_summary(kept_totals(spark, folder))), "total_amount_sum")
+
+
+@query("rpt_kpis_kept", KPIS_SQL, ("fx_ledger",))
+def rpt_kpis_kept(spark, folder):
+    return totals.kpis(kept_totals(spark, folder))
+
+
+@query("rpt_currency_kept", CURRENCY_SQL, ("fx_ledger",))
+def rpt_currency_kept(spark, folder):
+    return totals.currency_totals(kept_totals(spark, folder))
+
+
+@query("rpt_vendors_kept", VENDORS_SQL, ("fx_ledger",))
+def rpt_vendors_kept(spark, folder):
+    return totals.top_vendors(kept_totals(spark, folder))
+
+
+@query("rpt_providers_kept", PROVIDERS_SQL, ("fx_ledger",))
+def rpt_providers_kept(spark, folder):
+    return totals.provider_mix(kept_totals(spark, folder))
