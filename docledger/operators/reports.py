@@ -314,7 +314,7 @@ def run_snapshot(counters: DataFrame, latencies: DataFrame, group: str = "run",
     )
 
 
-def _search(df: DataFrame, text: str, columns: list[Column]) -> DataFrame:
+def matching(df: DataFrame, text: str, columns: list[Column]) -> DataFrame:
     """Rows in which any column holds the text, whatever its case; empty text keeps all rows."""
     if not text:
         return df
@@ -325,17 +325,26 @@ def _search(df: DataFrame, text: str, columns: list[Column]) -> DataFrame:
     return df.where(found)
 
 
+def recent_texts() -> list[Column]:
+    return [F.col(name) for name in ("processed_at_utc", "vendor_name", "invoice_number", "used_provider", "currency")]
+
+
+def review_texts() -> list[Column]:
+    names = ("document_id", "source_file_id", "vendor_name", "invoice_number")
+    return [*[F.col(name) for name in names], F.array_join("reason_codes", ", ")]
+
+
+def history_texts() -> list[Column]:
+    return [F.col(name) for name in ("document_id", "status", "vendor_name", "resolution_note", "invoice_number")]
+
+
 def search_recent(records: DataFrame, text: str) -> DataFrame:
-    names = ["processed_at_utc", "vendor_name", "invoice_number", "used_provider", "currency"]
-    return _search(records, text, [F.col(name) for name in names])
+    return matching(records, text, recent_texts())
 
 
 def search_review(items: DataFrame, text: str) -> DataFrame:
-    names = ["document_id", "source_file_id", "vendor_name", "invoice_number"]
-    reasons = F.array_join("reason_codes", ", ")
-    return _search(items, text, [*[F.col(name) for name in names], reasons])
+    return matching(items, text, review_texts())
 
 
 def search_history(items: DataFrame, text: str) -> DataFrame:
-    names = ["document_id", "status", "vendor_name", "resolution_note", "invoice_number"]
-    return _search(items, text, [F.col(name) for name in names])
+    return matching(items, text, history_texts())

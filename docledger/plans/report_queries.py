@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.operators import reports, review, views
+from docledger.operators import reports, review, search, views
 from docledger.plans import fixtures as fx
 from docledger.plans.registry import query
 from docledger.plans.state_queries import ACTIVE_COLUMNS, ACTIVE_SQL, queue_and_resolved
@@ -229,29 +229,65 @@ def any_contains(names: list[str], text: str) -> str:
     return " OR ".join(f"contains(lower(coalesce({name}, '')), '{text}')" for name in names)
 
 
-@query("rpt_search_recent", f"""
+SEARCH_RECENT_SQL = f"""
     SELECT * FROM (SELECT {SHOWN_SQL} FROM fx_ledger)
-    WHERE {any_contains(['processed_at_utc', 'vendor_name', 'invoice_number', 'used_provider', 'currency'], '99')}""", ("fx_ledger",))
+    WHERE {any_contains(['processed_at_utc', 'vendor_name', 'invoice_number', 'used_provider', 'currency'], '99')}"""
+
+
+@query("rpt_search_recent", SEARCH_RECENT_SQL, ("fx_ledger",))
 def rpt_search_recent(spark, folder):
     return reports.search_recent(reports.shown_records(flat(spark, folder)), " 99")
 
 
-@query("rpt_search_review", f"""
+SEARCH_REVIEW_SQL = f"""
     SELECT {ACTIVE_SQL} FROM fx_active
     WHERE {any_contains(['document_id', 'source_file_id', 'n_vendor', 'n_number', "replace(reasons, ',', ', ')"], 'failed, low')}
-       OR {any_contains(['document_id', 'source_file_id', 'n_vendor', 'n_number'], 'failed, low')}""", ("fx_active",))
+       OR {any_contains(['document_id', 'source_file_id', 'n_vendor', 'n_number'], 'failed, low')}"""
+
+
+@query("rpt_search_review", SEARCH_REVIEW_SQL, ("fx_active",))
 def rpt_search_review(spark, folder):
     found = reports.search_review(review.active_items(*queue_and_resolved(spark, folder)), "FAILED, low")
     return found.select(*ACTIVE_COLUMNS, F.array_join("reason_codes", ",").alias("reasons"))
 
 
-@query("rpt_search_history", f"""
+SEARCH_HISTORY_SQL = f"""
     SELECT * EXCLUDE (decided_at) FROM fx_history
-    WHERE {any_contains(['document_id', 'status', 'vendor_name', 'resolution_note', 'invoice_number'], 'reject')}""", ("fx_history",))
+    WHERE {any_contains(['document_id', 'status', 'vendor_name', 'resolution_note', 'invoice_number'], 'reject')}"""
+
+
+@query("rpt_search_history", SEARCH_HISTORY_SQL, ("fx_history",))
 def rpt_search_history(spark, folder):
     return reports.search_history(review.history_items(fx.review_queue(spark, folder)), "Reject")
 
 
+def in_two_batches(index: search.TextIndex, rows: DataFrame) -> search.TextIndex:
+    half = F.pmod(F.xxhash64("document_id"), F.lit(2))
+    for part in range(2):
+        index.append(rows.where(half == part))
+    return index
+
+
+@query("rpt_search_recent_index", SEARCH_RECENT_SQL.replace("'99'", "'099'"), ("fx_ledger",))
+def rpt_search_recent_index(spark, folder):
+    rows = reports.shown_records(flat(spark, folder))
+    index = search.recent_index(spark, work_folder(spark, "index"), rows, ["document_id"], 16)
+    return in_two_batches(index, rows).search(" 099")
+
+
+@query("rpt_search_review_index", SEARCH_REVIEW_SQL, ("fx_active",))
+def rpt_search_review_index(spark, folder):
+    rows = review.active_items(*queue_and_resolved(spark, folder))
+    found = in_two_batches(search.review_index(spark, work_folder(spark, "index"), rows, 16), rows).search("FAILED, low")
+    return found.select(*ACTIVE_COLUMNS, F.array_join("reason_codes", ",").alias("reasons"))
+
+
+@query("rpt_search_history_index", SEARCH_HISTORY_SQL, ("fx_history",))
+def rpt_search_history_index(spark, folder):
+    rows = review.history_items(fx.review_queue(spark, folder))
+    return in_two_batches(search.history_index(spark, work_folder(spark, "index"), rows, 16), rows).search("Reject")
+
+
 # ---- streams ------------------------------------------------------------------------------------
 
 def finish(started) -> None:
