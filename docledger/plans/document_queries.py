@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions import checks, codes, dates, items, money
@@ -15,7 +15,7 @@ from docledger.operators.validate import check_schema, validate_and_score
 from docledger.plans import fixtures as fx
 from docledger.plans.fixtures import AS_OF, choose, every, numbered, order_key
 from docledger.plans.registry import query
-from docledger.rules import IGNORED_LINE_KEYWORDS, OCR_DIALECT, RULES
+from docledger.rules import CATEGORY_KEYWORDS, IGNORED_LINE_KEYWORDS, OCR_DIALECT, RULES, VENDOR_NAMES
 
 
 def text(*parts: Column | str) -> Column:
@@ -495,6 +495,40 @@ def enr_category(spark, folder):
     return suggested.select("doc_id", "category", "category_confidence", "category_source")
 
 
+def rule_rows(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    """Rules in their order, before all others."""
+    return spark.createDataFrame([(place - len(rules), part, result) for place, (part, result) in enumerate(rules)], "priority bigint, part string, result string")
+
+
+@query("enr_vendor_table", """
+    SELECT c_custkey AS vendor_key, CASE c_custkey % 8 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Walmart' WHEN 2 THEN 'Starbucks'
+             WHEN 3 THEN 'Walmart' ELSE CASE WHEN c_custkey % 5 = 0 THEN 'Known ' || c_custkey ELSE c_name END END AS canonical
+    FROM customer""")
+def enr_vendor_table(spark, folder):
+    """The usual rules, then one for every fifth customer."""
+    known = fx.table(spark, folder, "customer").where(F.col("c_custkey") % 5 == 0).select(
+        F.col("c_custkey").alias("priority"), F.regexp_replace(F.lower("c_name"), "#", "").alias("part"),
+        F.concat(F.lit("Known "), F.col("c_custkey").cast("string")).alias("result"),
+    )
+    rules = rule_rows(spark, list(VENDOR_NAMES.items())).unionByName(known)
+    return fx.vendor_names(spark, folder).select("vendor_key", enrich.canonical_vendor_by_table(F.col("vendor_name"), rules).alias("canonical"))
+
+
+@query("enr_category_table", f"""
+    SELECT doc_id, coalesce(c, 'uncategorized') AS category, cast(CASE WHEN c IS NULL THEN 0.2 ELSE 0.85 END AS DOUBLE) AS category_confidence,
+           CASE WHEN c IS NULL THEN 'fallback' ELSE 'rules' END AS category_source
+    FROM (SELECT doc_id, coalesce({CATEGORY_SQL}, CASE WHEN EXISTS (
+            SELECT 1 FROM benchmark b WHERE contains(lower(documents.text), lower(substr(b.text, 1, 24)))) THEN 'benchmark' END) AS c FROM documents)""")
+def enr_category_table(spark, folder):
+    """The usual keywords, then the beginnings of all benchmark texts as those of one more category."""
+    usual = [(word, category) for category, words in CATEGORY_KEYWORDS.items() for word in words]
+    more = fx.table(spark, folder, "benchmark").select(
+        F.lit(1).cast("bigint").alias("priority"), F.lower(F.substring("text", 1, 24)).alias("part"), F.lit("benchmark").alias("result")
+    )
+    suggested = enrich.suggest_category_by_table(fx.table(spark, folder, "documents"), "text", rule_rows(spark, usual).unionByName(more))
+    return suggested.select("doc_id", "category", "category_confidence", "category_source")
+
+
 @query("enr_category_model", f"""
     SELECT d.doc_id, coalesce(c, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN quality = 1 THEN 'goods' ELSE 'services' END END, 'uncategorized') AS category,
            cast(CASE WHEN c IS NOT NULL THEN 0.85 WHEN l.doc_id IS NOT NULL THEN 0.5 + 0.25 * toxic ELSE 0.2 END AS DOUBLE) AS category_confidence,

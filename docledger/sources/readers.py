@@ -73,7 +73,7 @@ def read_event_log(
 
 
 def read_review_queue(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """Review items from JSON files, malformed ones left out, in order of file name."""
+    """Review items from JSON files, malformed ones left out, in no order; see `in_file_order`."""
     def read() -> DataFrame:
         reader = spark.read.schema(REVIEW_ITEM).option("mode", "DROPMALFORMED")
         if one_per_file:
@@ -81,7 +81,12 @@ def read_review_queue(spark: SparkSession, path: str, one_per_file: bool = True)
         return reader.json(path).select("*", F.col("_metadata.file_path").alias("_record_path"))
 
     schema = T.StructType([*REVIEW_ITEM.fields, T.StructField("_record_path", T.StringType())])
-    return _read_or_empty(spark, read, schema).orderBy("_record_path", "document_id")
+    return _read_or_empty(spark, read, schema)
+
+
+def in_file_order(queue: DataFrame) -> DataFrame:
+    """Review items as `read_review_queue` gives them, by file name, for those who show them."""
+    return queue.orderBy("_record_path", "document_id")
 
 
 def read_review_table(queue: DataFrame) -> DataFrame:
