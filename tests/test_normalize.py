@@ -4,11 +4,13 @@ import datetime as dt
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from docledger.functions import codes, dates, items
+from docledger.functions import subset
 from docledger.functions.subset import _by_bits, _by_halves, closest_lines
 from docledger.operators.normalize import coerce, reconcile
 from docledger.operators.validate import validate_and_score
@@ -145,6 +147,37 @@ def test_forty_lines_of_large_amounts():
     assert sum(cents[p] for p in closest_lines(cents, limit)) == limit
 
 
+def test_sixty_lines_of_any_amounts():
+    """A limit of ten thousand million units takes seconds at most; the answer is exact."""
+    rng = random.Random(5)
+    for top in (10**9, 10**11):
+        cents = [rng.randint(1, top) for _ in range(60)]
+        limit = 10 * top
+        started = time.perf_counter()
+        found = closest_lines(cents, limit)
+        assert sum(cents[p] for p in found) == limit and time.perf_counter() - started < 20
+        assert max(found) < 44
+
+
+def test_first_lines_give_what_all_lines_give(monkeypatch):
+    """Few first lines and few bits, so that every way is taken; against the bits of all lines."""
+    rng = random.Random(6)
+    monkeypatch.setattr(subset, "TWO_HALVES", 6)
+    monkeypatch.setattr(subset, "FIRST_LINES", 8)
+    monkeypatch.setattr(subset, "MOST_BITS", 4000)
+    ways = set()
+    for case in range(400):
+        cents = [rng.randint(1, 40 if case % 2 else 900) for _ in range(rng.randint(7, 14))]
+        limit = rng.randint(250, sum(cents) - 1) if sum(cents) > 260 else 1
+        lines = [(p, a) for p, a in enumerate(cents) if 0 < a <= limit]
+        found = closest_lines(cents, limit)
+        if found or limit <= 4000:
+            assert found == _by_bits(lines, limit)
+        ways.add((max(found, default=-1) < 8, limit > 250))
+    assert len(ways) == 4
+    assert closest_lines([10_007 * n + n % 3 for n in range(2, 16)], 50_001) == []  # too large, and the first lines don't meet it
+
+
 def test_many_lines_are_reconciled_exactly(spark):
     lines = [(f"line {n}", 1.0, 1.0, 10.0 + n, None) for n in range(70)]
     item = "struct<description:string,quantity:double,unit_price:double,line_total:double,category:string>"
