@@ -5,6 +5,10 @@ Every rule is integer arithmetic on keys, so the same table can be stated in pla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -581,6 +585,26 @@ def inbox(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def inbox_tree(spark: SparkSession, folder: str) -> str:
+    """The inbox as files and empty folders in the work folder, written by the executors; each file repeats its id three times."""
+    root = work_folder(spark, "inbox")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for id_ in batch.column("id").to_pylist():
+                store.create_dir(f"{base}/{id_.rpartition('/')[0]}")
+                if not id_.endswith("/"):
+                    with store.open_output_stream(f"{base}/{id_}", compression=None) as out:
+                        out.write(id_.encode() * 3)
+            yield batch
+
+    kept = inbox(spark, folder).where("id <> ''").select("id").distinct()
+    archived = kept.limit(10).select(F.concat(F.lit("archive/"), "id").alias("id"))  # beside the inbox, so never listed
+    kept.unionByName(archived).mapInArrow(write, "id string").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def vendor_names(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
     name = (

@@ -47,6 +47,12 @@ def src_inbox(spark, folder):
     return readers.accept_files(fx.inbox(spark, folder)).drop("last_modified")
 
 
+@query("src_inbox_scan", f"""
+    SELECT DISTINCT id, regexp_extract(id, '[^/]*$') AS name, mime_type, 3 * length(id) AS size FROM ({INBOX_SQL}) WHERE mime_type IS NOT NULL""", ("fx_orders",))
+def src_inbox_scan(spark, folder):
+    return readers.scan_inbox(spark, fx.inbox_tree(spark, folder), prefix="inbox/").drop("last_modified")
+
+
 @query("src_event_log", "SELECT * FROM fx_dead WHERE status = 'FAILED'", ("fx_dead",))
 def src_event_log(spark, folder):
     path = work_folder(spark, "dead-letters")

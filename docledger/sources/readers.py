@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from docledger.rules import ALLOWED_MIME
 from docledger.schemas import DEAD_LETTER, GOLDEN_FILE, LEDGER, REVIEW_ITEM
+from docledger.sources.listing import list_files
 
 # File endings of the accepted types, and endings that only mark compression.
 MIME_BY_ENDING = {
@@ -40,17 +41,9 @@ def accept_files(listing: DataFrame, allowed: list[str] = ALLOWED_MIME) -> DataF
     )
 
 
-def scan_inbox(spark: SparkSession, path: str, allowed: list[str] = ALLOWED_MIME) -> DataFrame:
-    """Files under a folder; only names, sizes and times are read, not the contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return accept_files(
-        files.select(
-            F.col("path").alias("id"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("last_modified"),
-        ),
-        allowed,
-    )
+def scan_inbox(spark: SparkSession, path: str, allowed: list[str] = ALLOWED_MIME, prefix: str = "") -> DataFrame:
+    """Files below a folder, or below one of its folders, listed by the executors; ids are paths from the first."""
+    return accept_files(list_files(spark, path, prefix), allowed)
 
 
 def _read_or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
