@@ -7,8 +7,9 @@ their own blocks, and have ids that are hashes of the response's id and the kind
 Everything about a record is in its own row: one pass, no shuffle, a lost task is simply run again.
 
 Defined results: a null payload counts as empty and gives an empty text; a null URI or date leaves its header out; responses without an id get one from their
-key, URI and payload digest. Bytes that aren't UTF-8 are replaced. Unclosed comments, scripts and tags end with the page, as in browsers. Repeated rows give
-repeated records with equal ids. An empty table gives no rows. Other columns aren't read.
+key, URI and payload digest. Headers keep their order, and repeated names all their values; a null value is empty, a header without a name is left
+out. Bytes that aren't UTF-8 are replaced. Unclosed comments, scripts and tags end with the page, as in browsers. Repeated rows give repeated
+records with equal ids. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def read_page(page: str) -> dict:
         if open_ < 0:
             open_ = len(page)
         if open_ > at and silent is None:
-            parts.append(page[at:open_])
+            parts.append(html.unescape(page[at:open_]))  # by itself: tags end a reference
         if open_ == len(page):
             break
         if page.startswith("<!--", open_):
@@ -117,7 +118,7 @@ def read_page(page: str) -> dict:
             silent = tag
         elif tag in _BLOCK:
             parts.append("\n")
-    text = _BLANKS.sub(" ", html.unescape("".join(parts)))
+    text = _BLANKS.sub(" ", "".join(parts))
     found["text"] = _LINES.sub("\n", text).strip()
     return found
 
@@ -147,6 +148,10 @@ def _one_line(value: str) -> str:
     return " ".join(value.split())
 
 
+def _named(headers: list[tuple[str, str]]) -> list[dict]:
+    return [{"name": name, "value": value} for name, value in headers]
+
+
 def derive_one(source: dict) -> list[dict]:
     """The metadata and the conversion record of one response."""
     payload = source["payload"] or b""
@@ -154,7 +159,7 @@ def derive_one(source: dict) -> list[dict]:
     payload_digest = digest(payload)
     response = source["record_id"] or record_id("response", str(source["key"]), uri or "", payload_digest)
     page = read_page(payload.decode("utf-8", "replace"))
-    sent = [(name, value or "") for name, value in source["http_headers"] or []]
+    sent = [(header["name"], header["value"] or "") for header in source["http_headers"] or [] if header and header["name"]]
     conversion = record_id("conversion", response, payload_digest)
     fields = [("title", page["title"]), ("languages-html", page["lang"]), ("charset", page["charset"]), ("conversion", conversion)]
     base = urljoin(uri or "", page["base"]) if page["base"] else uri or ""
@@ -178,13 +183,15 @@ def derive_one(source: dict) -> list[dict]:
         headers += [("Content-Type", type_), ("Content-Length", str(len(block)))]
         records.append({
             "kind": kind, "record_id": id_, "refers_to": response, "target_uri": uri, "block": text, "block_digest": digest(block),
-            "source_digest": payload_digest, "source_headers": sent, "warc_headers": headers, "outlinks": outlinks if kind == "metadata" else None,
+            "source_digest": payload_digest, "source_headers": _named(sent), "warc_headers": _named(headers), "outlinks": outlinks if kind == "metadata" else None,
             "title": page["title"],
         })
     return records
 
 
-_PAIRS = pa.map_(pa.string(), pa.string())
+#: Headers in the order they were sent, names repeated as they come.
+_PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+HEADERS = "array<struct<name:string,value:string>>"
 _ARROW = pa.schema([
     ("key", pa.int64()), ("kind", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("title", pa.string()),
     ("outlinks", pa.list_(pa.string())), ("source_headers", _PAIRS), ("source_digest", pa.string()), ("block_digest", pa.string()),
@@ -192,12 +199,12 @@ _ARROW = pa.schema([
 ])
 RECORDS = (
     "key bigint, kind string, record_id string, refers_to string, target_uri string, title string, outlinks array<string>, "
-    "source_headers map<string,string>, source_digest string, block_digest string, warc_headers map<string,string>, block string"
+    f"source_headers {HEADERS}, source_digest string, block_digest string, warc_headers {HEADERS}, block string"
 )
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """Two records for every row of (key, record_id, target_uri, date, http_headers: map of strings, payload: binary)."""
+    """Two records for every row of (key, record_id, target_uri, date, http_headers: `HEADERS`, payload: binary)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +224,8 @@ def derive(responses: DataFrame) -> DataFrame:
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Response records of stored pages, as `derive` takes them."""
     payload = F.coalesce(F.col(page).cast("string"), F.lit("")).cast("binary")
-    headers = F.create_map(
-        F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length(payload).cast("string")
-    )
+    sent = {"Content-Type": F.lit("text/html; charset=utf-8"), "Content-Length": F.octet_length(payload).cast("string")}
+    headers = F.array(*[F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in sent.items()])
     none = F.lit(None).cast("string")
     return pages.select(
         F.col(page_id).cast("bigint").alias("key"), none.alias("record_id"), F.col(url).cast("string").alias("target_uri"), none.alias("date"),
@@ -232,8 +238,9 @@ def to_warc(records: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, blocks = batch.column("warc_headers").to_pylist(), batch.column("block").to_pylist()
-            made = [serialise(headers, block.encode()) for headers, block in zip(pairs, blocks, strict=True)]
+            named, blocks = batch.column("warc_headers").to_pylist(), batch.column("block").to_pylist()
+            pairs = [[(header["name"], header["value"]) for header in headers] for headers in named]
+            made = [serialise(headers, block.encode("utf-8", "replace")) for headers, block in zip(pairs, blocks, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("kind"), pa.array(made, pa.binary())], ["key", "kind", "record"])
 
     return records.mapInArrow(of, "key bigint, kind string, record binary")

@@ -3,7 +3,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -586,7 +588,7 @@ def test_warc(spark):
     assert first["metadata"].outlinks == ["http://h.example/rel", "http://o.example/"]
     assert first["metadata"].refers_to == first["conversion"].refers_to and f"conversion: {first['conversion'].record_id}" in first["metadata"].block
     sha = "sha1:" + base64.b32encode(hashlib.sha1(page.encode()).digest()).decode()
-    assert first["conversion"].source_digest == sha and first["conversion"].source_headers["Content-Length"] == str(len(page.encode()))
+    assert first["conversion"].source_digest == sha and dict(first["conversion"].source_headers)["Content-Length"] == str(len(page.encode()))
     assert {r.block for r in rows if r.key == 2 and r.kind == "conversion"} == {""}
     for r in warc.to_warc(records).collect():
         headers, block = warc.parse(bytes(r.record))
@@ -594,3 +596,78 @@ def test_warc(spark):
         assert named["WARC-Type"] == r.kind and named["WARC-Block-Digest"] == warc.digest(block)
         assert named["WARC-Refers-To"] in {x.refers_to for x in rows}
     assert warc.derive(warc.responses(pages.limit(0))).collect() == []
+
+
+class Plain(HTMLParser):
+    """A page's title, links, language and text by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.title, self.links, self.lang, self.parts, self.hidden, self.titles = None, [], None, [], None, False
+        self.feed(page)
+        self.close()
+        lines = (" ".join(re.split(r"[^\S\n]+", line)).strip() for line in "".join(self.parts).split("\n"))
+        self.text = "\n".join(line for line in lines if line)
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden == "head" and tag == "body":
+            self.hidden = None
+        if tag == "title":
+            self.titles = True
+        elif self.hidden is None:
+            if tag == "a" and dict(attrs).get("href"):
+                self.links.append(dict(attrs)["href"])
+            elif tag == "html":
+                self.lang = dict(attrs).get("lang")
+            if tag in ("head", "script", "style", "noscript", "svg"):
+                self.hidden = tag
+            elif tag in ("p", "div", "br", "li", "h1", "td"):
+                self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self.titles = False
+        elif self.hidden is not None:
+            self.hidden = None if tag == self.hidden else self.hidden
+        elif tag in ("p", "div", "li", "h1", "td"):
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.titles:
+            self.title = (self.title or "") + data
+        elif self.hidden is None:
+            self.parts.append(data)
+
+
+def made_page(rng):
+    pieces = ["word", " ", "  \t", "\n", "&amp;", "&lt", "&#233;", "&nbsp;", "é😀", "1 < 2", "<3", ";", "&copy", "a&b", "<b>", "</b>", "<i title='a > b'>", "</i>", "<p>",
+              "</p>", "<div class=x>", "</div>", "<br/>", "<BR>", "<li>", "<h1>T", "</h1>", "<!-- <p>no</p> -->", "<!---->", "<a href=\"/x?a=1&amp;b=2\">", "</a>", "<a name=q>",
+              "<A HREF='http://o.example/y'>", "<a href=/bare>", "<script>if (a < b) { t = '<p>'; }</script>", "<STYLE>p > b {}</STYLE>", "<noscript>n<p>o</noscript>", "<svg><a href=/no>s</a></svg>", "<td>"]
+    head = rng.choice(["", "<head><title>A &amp; B\n c</title><meta charset=utf-8><style>x</style></head>", "<head><script>1</script>lost<title>t</title>"])
+    return f"<!DOCTYPE html><html lang='{rng.choice(['de', 'en'])}'>{head}<body>" + "".join(rng.choice(pieces) for _ in range(rng.randrange(60))) + rng.choice(["", "</body></html>"])
+
+
+def test_warc_pages_against_another_parser(spark):
+    rng = random.Random(4)
+    pages = [made_page(rng) for _ in range(3000)]
+    pages += [row.html for row in spark.read.parquet(f"{TABLES}/pages.parquet").select("html").collect() if row.html]
+    for page in pages:
+        read, plain = warc.read_page(page), Plain(page)
+        assert (read["text"], read["links"], read["lang"]) == (plain.text, plain.links, plain.lang), page
+        assert read["title"] == " ".join((plain.title or "").split()), page
+
+
+def test_warc_repeated_headers(spark):
+    sent = [("Set-Cookie", "a=1"), ("Via", "x"), ("Set-Cookie", "b=2; c"), ("Empty", None), (None, "lost"), ("via", " y\r\nInjected: z")]
+    rows = [(1, "<urn:uuid:1>", "http://h.example/", "2026-01-01T00:00:00Z", sent, bytearray(b"<p>\xff</p>")), (2, None, None, None, None, None)]
+    records = warc.derive(spark.createDataFrame(rows, f"key bigint, record_id string, target_uri string, date string, http_headers {warc.HEADERS}, payload binary"))
+    found = {(r.key, r.kind): r for r in records.collect()}
+    kept = [("Set-Cookie", "a=1"), ("Via", "x"), ("Set-Cookie", "b=2; c"), ("Empty", ""), ("via", " y\r\nInjected: z")]
+    for kind in ("metadata", "conversion"):
+        assert [tuple(header) for header in found[1, kind].source_headers] == kept and found[2, kind].source_headers == []
+    fields = [line for line in found[1, "metadata"].block.split("\r\n") if line.startswith("http-")]
+    assert fields == ["http-set-cookie: a=1", "http-via: x", "http-set-cookie: b=2; c", "http-via: y Injected: z"]
+    for r in warc.to_warc(records).collect():
+        headers, block = warc.parse(bytes(r.record))
+        assert headers == [tuple(header) for header in found[r.key, r.kind].warc_headers] and block.decode() == found[r.key, r.kind].block
+    assert found[1, "conversion"].block == "\ufffd"
