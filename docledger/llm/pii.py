@@ -9,7 +9,7 @@ total score, so boundaries and kinds are chosen jointly. Segments of one text do
 
 The weights are trained by maximising the conditional likelihood of segmentations. There are no labels of
 spans, so training material is made from the base's own findings: `fit` takes spans from a bounded sample of texts (at most
-`SAMPLE` texts, those with the smallest hashes of doc_id) and rewrites them as people do (without plus, with other separators, with
+`SAMPLE` texts, those with the smallest hashes of doc_id, within the bounds stated there; the search itself reads all of every text) and rewrites them as people do (without plus, with other separators, with
 written-out signs), between words of those texts; numbers of other lengths and failing checksums are the counterexamples.
 
 Defined results: a null text counts as empty. Empty texts have no spans. Positions count code points, ends are exclusive.
@@ -33,8 +33,11 @@ from docledger.llm.common import bounded_sample, whole_text
 KINDS = ("email", "ip", "card", "phone")
 #: Units of a segment, at most.
 LONGEST = 24
-#: Texts that training material is taken from, at most.
+#: Training material is taken from so many texts at most, of each text from so many spans, and words from so many of its first characters and
+#: words; in all so many spans of a kind and words. Kinds with fewer than `FEW` spans get `SEED_SPANS` as well.
 SAMPLE = 20_000
+SPANS_OF_TEXT, HEAD, WORDS_OF_TEXT = 4, 400, 5
+SPANS_OF_KIND, WORDS, FEW = 150, 2000, 20
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,6 +109,8 @@ _HINTS = {
 }
 _AT = frozenset(("@", "at", "AT", "arroba"))
 _DOT = frozenset((".", "dot", "DOT", "punkt", "punto", "point"))
+#: Words that stand around an ordinary "at", not in an address.
+_PLAIN = frozenset("a an and are die das der el he i in is it la le les of on our she the their they this to was we were you".split())
 _OPEN = frozenset("[({<")
 _CLOSE = frozenset("])}>")
 
@@ -120,6 +125,21 @@ def _shape(units: list[str]) -> str:
     return "".join(out)
 
 
+def _joints(units: list[str]) -> list[str]:
+    """How an address' at and dots are written (each with the blanks and brackets around it), and ' ' for every other blank."""
+    found, place = [], 0
+    while place < len(units):
+        end = place
+        while end < len(units) and (units[end].isspace() or units[end] in _OPEN or units[end] in _CLOSE or units[end] in _AT or units[end] in _DOT):
+            end += 1
+        if end > place:
+            joined = units[place:end]
+            joins = any(unit in _AT or unit in _DOT for unit in joined)
+            found.append("".join("w" if unit[0].isalpha() else " " if unit.isspace() else unit for unit in joined).replace("@", ".") if joins else " ")
+        place = max(end, place + 1)
+    return found
+
+
 _ADDRESS = re.compile(r"w(?:[.-]?w)*@w(?:-?w)*(?:\.w(?:-?w)*)+\Z")
 
 
@@ -143,6 +163,14 @@ def features(units: list[str], start: int, end: int, kind: str) -> list[str]:
         names.append(f"email:blanks={min(8, sum(unit.isspace() for unit in part))}")
         names.append(f"email:dots={min(4, shape.split('@')[1].count('.'))}")
         names.append(f"email:named={bool(re.search(r'[0-9_.]', signs.split('@')[0] if plain else part[0]))}")
+        joints = _joints(part)
+        names.append(f"email:gap={min(2, joints.count(' '))}")  # blanks between words that no sign joins
+        names.append(f"email:plain={any(unit.lower() in _PLAIN for unit in part)}")
+        joints = [joint for joint in joints if joint != " "]
+        names.append(f"email:mixed={len(set(joints[1:])) > 1}")
+        names.append(f"email:sentence={any(re.match('[.] +$', joint) for joint in joints)},{last[0].isupper() and last[1:].islower()}")
+        ahead = units[start - 1] if start else " "
+        names.append(f"email:cut={not ahead.isspace() and ahead not in _OPEN and ahead not in ':,;='}")
         names.append(f"email:top={min(7, len(last))}")
         tail = units[end : end + 1]
         names.append(f"email:more={bool(tail and tail[0] in ('.', '@') and len(units) > end + 1 and units[end + 1].isalnum())}")
@@ -150,7 +178,7 @@ def features(units: list[str], start: int, end: int, kind: str) -> list[str]:
         if any(unit[0].isalpha() for unit in part) or not last[0].isdigit() or not (first[0].isdigit() or first in "+("):
             return []
         signs = "".join(unit for unit in part if not unit.isdigit())
-        if re.search(r"[^\x20()+./\\-]|\n", signs) or "  " in signs and kind != "phone":
+        if re.search(r"[^\x20()+./\\-]|\n", signs) or kind != "phone" and any(unit.isspace() and len(unit) > 1 for unit in part):
             return []
         groups = [unit for unit in part if unit.isdigit()]
         digits = "".join(groups)
@@ -159,13 +187,17 @@ def features(units: list[str], start: int, end: int, kind: str) -> list[str]:
         names.append(f"{kind}:groups={min(6, len(groups))}")
         names.append(f"{kind}:sign={','.join(sorted(set(signs.replace(' ', '_'))))}")
         names.append(f"{kind}:edge={before[-1].isalnum() or before[-1] in '.-+/' and len(before) == 1},{after[0].isalnum()}")
+        aside = ["".join(units[max(0, start - 2) : start]), "".join(units[end : end + 2])]
+        names.append(f"{kind}:beside={bool(re.search(r'[0-9][^0-9]?$', aside[0]))},{bool(re.match(r'[^0-9]?[0-9]', aside[1]))}")
         if kind == "card":
             names.append(f"card:luhn={luhn(digits)}")
             names.append(f"card:fours={all(len(group) == 4 for group in groups[:-1])}")
         elif kind == "ip":
             names.append(f"ip:octets={len(groups) == 4 and all(len(group) <= 3 and int(group) <= 255 for group in groups)}")
         else:
-            names.append(f"phone:sizes={','.join(map(str, map(len, groups)))}" if len(groups) < 6 else "phone:sizes=many")
+            sizes = [min(8, len(group)) for group in groups]
+            names += [f"phone:first={sizes[0]}", f"phone:last={sizes[-1]}", f"phone:least={min(sizes)}", f"phone:most={max(sizes)}"]
+            names.append(f"phone:prefix={re.match('[+]|00?|1', digits)[0] if re.match('00?|1', digits) and first != '+' else first in '+('}")
             names.append(f"phone:open={first in '+('}{signs.count('(') == signs.count(')')}")
     near = [unit.lower() for unit in units[max(0, start - 5) : start] if unit[0].isalpha()]
     names.append(f"{kind}:hint={any(word in _HINTS[kind] for word in near)}")
@@ -261,18 +293,45 @@ def _variants(kind: str, text: str, rng: random.Random) -> str:
         if rng.random() < 0.1:
             return text
         name, _, domain = text.partition("@")
-        at = rng.choice(["@", " @ ", " [at] ", "[at]", " (at) ", "(at)", " at ", " AT "])
-        dot = rng.choice([" dot ", " [dot] ", "[dot]", " (dot) ", "(dot)", " DOT "]) if at != " @ " or rng.random() < 0.3 else "."
-        return name.replace("%", "").replace("+", "") + at + domain.replace(".", dot)
+        name = name.replace("%", "").replace("+", "")
+        if rng.random() < 0.4:
+            name = re.split(r"[0-9._-]", name)[0] or name
+        labels = domain.split(".")
+        if len(labels) > 2 and rng.random() < 0.5:
+            labels.pop(rng.randrange(len(labels) - 1))
+        domain = ".".join(labels)
+        at, dot = rng.choice(sorted(_AT)), rng.choice(sorted(_DOT))
+        left, right = rng.choice([("", ""), ("", ""), ("[", "]"), ("(", ")"), ("{", "}"), ("<", ">")])
+        blank = rng.choice(["", " "])
+
+        def joint(sign: str) -> str:
+            if sign in "@.":
+                return blank + sign + blank
+            return f"{blank}{left}{sign}{right}{blank}" if left else f" {sign} "
+
+        form = rng.random()  # at and dots alike, or one of them plain
+        return name + ("@" if form < 0.2 else joint(at)) + domain.replace(".", "." if 0.2 <= form < 0.4 else joint(dot))
     digits = _DIGITS.sub("", text)
     if kind == "card":
-        sign = rng.choice(["", " ", "-", ".", "/"])
+        sign = rng.choice(["", " ", "-", ".", "/"]) if rng.random() < 0.7 else f" {rng.choice('-./')} "
         return sign.join(digits[place : place + 4] for place in range(0, len(digits), 4))
     if kind == "ip":
-        return text.replace(".", rng.choice([" . ", ". ", "-"])) if rng.random() < 0.3 else text
-    local = digits[-10:]
-    a, b, c = local[:3], local[3:6], local[6:]
-    return rng.choice([text, f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"00{digits[:-10]} {a} {b} {c}", f"{a} {b} {c}"])
+        return text.replace(".", rng.choice([" . ", ". ", " .", "-"])) if rng.random() < 0.5 else text
+    if rng.random() < 0.15:
+        return text
+    local, groups = digits[-10:], []
+    if rng.random() < 0.5:
+        groups = [local[:3], local[3:6], local[6:]]
+    else:
+        while local:
+            size = rng.choice([2, 3, 3, 4])
+            size = len(local) if len(local) - size < 2 or groups and rng.random() < 0.25 else size
+            groups.append(local[:size])
+            local = local[size:]
+    sign = rng.choice(" -./")
+    first, rest = groups[0], sign.join(groups[1:])
+    start = rng.choice([f"({first}) ", f"({first})", first + sign, f"{first} ", f"{first}/"])
+    return rng.choice(["", "", "1 ", "1-", f"00{digits[:-10] or 1} ", f"+{digits[:-10] or 1} "]) + start + rest
 
 
 def material(spans: list[tuple[str, str]], words: list[str], seed: int = 7) -> list[tuple[list[str], list[tuple[int, int, str]]]]:
@@ -284,7 +343,8 @@ def material(spans: list[tuple[str, str]], words: list[str], seed: int = 7) -> l
     def around(inner: str, kind: str | None) -> None:
         hint = [rng.choice(sorted(_HINTS[kind])) + rng.choice(["", ":"])] if kind and rng.random() < 0.3 else []
         ahead = " ".join([rng.choice(words) for _ in range(rng.randint(1, 5))] + hint) + " "
-        after = rng.choice([" ", ". ", ", ", " "]) + " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+        after = " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+        after = rng.choice([" ", ", ", " "]) + after if rng.random() < 0.7 else ". " + after.capitalize()
         units = _UNIT.findall(ahead + inner + after)
         if kind is None:
             examples.append((units, []))
@@ -297,12 +357,15 @@ def material(spans: list[tuple[str, str]], words: list[str], seed: int = 7) -> l
         around(_variants(kind, text, rng), kind)
     for _ in range(max(50, len(spans))):
         number = "".join(rng.choice("0123456789") for _ in range(rng.randint(7, 21)))
-        if luhn(number):
+        if len(number) > 12 and luhn(number):  # shorter ones are no cards, whatever their sum
             number = number[:-1] + str((int(number[-1]) + 1) % 10)
         around(rng.choice([number, f"{number[:4]}-{number[4:6]}-{number[6:8]}", ".".join(number[:9]), f"{number[:5]}.{number[5:7]}",
                            " ".join(number[p : p + 3] for p in range(0, len(number), 3)),
                            f"{rng.choice(words)} at {rng.choice(words)} dot", f"{rng.choice(words)} at {rng.choice(words)}",
-                           f"{rng.choice(words)} (at) {rng.choice(words)}"]), None)
+                           f"{rng.choice(words)} (at) {rng.choice(words)}", f"{rng.choice(words)} at {rng.choice(words)} {rng.choice(words)} dot {rng.choice(words)}",
+                           f"{rng.choice('ABDEFGNPS')}{rng.choice('EKLRT')}{number[:2]} " + " ".join(number[p : p + 4] for p in range(2, len(number), 4)),
+                           f"{rng.choice(sorted(_PLAIN))} at {rng.choice(words)} dot {rng.choice(words)}", f"{rng.choice(words)} at {rng.choice(sorted(_PLAIN))} dot com",
+                           f"{rng.choice(words)} at {rng.choice(words)}. {rng.choice(words).title()} {rng.choice(words)}"]), None)
     return examples
 
 
@@ -314,16 +377,16 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Fie
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            spans = [[{"kind": k, "text": x[s:e]} for k, s, e in base_spans(x)[:4]] for x in texts]
-            words = [re.findall(r"[^\W\d_]{2,12}", x[:400])[:5] for x in texts]
+            spans = [[{"kind": k, "text": x[s:e]} for k, s, e in base_spans(x)[:SPANS_OF_TEXT]] for x in texts]
+            words = [re.findall(r"[^\W\d_]{2,12}", x[:HEAD])[:WORDS_OF_TEXT] for x in texts]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([pa.array(spans, kind), pa.array(words, pa.list_(pa.string()))], ["spans", "words"])
 
     rows = chosen.mapInArrow(of, "spans array<struct<kind:string,text:string>>, words array<string>").collect()
     spans = [(span["kind"], span["text"]) for row in rows for span in row["spans"] if len(span["text"]) < 80]
-    by_kind = {kind: [span for span in spans if span[0] == kind][:150] for kind in KINDS}
-    taken = [span for kind in KINDS for span in by_kind[kind] + SEED_SPANS[kind] * (len(by_kind[kind]) < 20)]
-    return train(material(taken, [word for row in rows for word in row["words"]][:2000]))
+    by_kind = {kind: [span for span in spans if span[0] == kind][:SPANS_OF_KIND] for kind in KINDS}
+    taken = [span for kind in KINDS for span in by_kind[kind] + SEED_SPANS[kind] * (len(by_kind[kind]) < FEW)]
+    return train(material(taken, [word for row in rows for word in row["words"]][:WORDS]))
 
 
 #: Material for kinds that the texts hardly show.
