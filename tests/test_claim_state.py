@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import time
 
+import pandas as pd
+
 from docledger.operators.claims import claim, claims_after, merge_status
 from docledger.schemas import CLAIM_KEY
 from docledger.streaming import claim_state, jobs
@@ -69,3 +71,34 @@ def test_settings_come_back(spark):
     with claim_state.state_store(spark):
         assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
     assert {name: spark.conf.get(name, None) for name in claim_state.STATE_STORE} == before
+
+
+def test_state_is_called_per_slot_and_not_per_key():
+    """A thousand keys of one slot cost two calls to the state store, and outdated entries do not pile up."""
+    calls, state = [], []
+
+    class Listed:
+        def get(self):
+            calls.append("get")
+            return iter(list(state))
+
+        def appendList(self, rows):  # noqa: N802
+            calls.append("appendList")
+            state.extend(rows)
+
+        def put(self, rows):
+            calls.append("put")
+            state[:] = rows
+
+    processor = claim_state.ClaimState()
+    processor.claims = Listed()
+    for batch in range(6):
+        frame = pd.DataFrame({
+            "drive_file_id": [f"f{n}" for n in range(1000)], "file_hash": "h", "owner_id": f"w{batch}",
+            "arrival": range(batch * 1000, batch * 1000 + 1000), "status": None if batch % 2 == 0 else "FAILED",
+        })
+        rows = [row for part in processor.handleInputRows((1,), iter([frame]), None) for row in part.itertuples(index=False)]
+        assert {row.claim_status for row in rows} == ({"claimed"} if batch % 2 == 0 else set())
+        assert len(calls) == 2 and len(state) <= 2000
+        calls.clear()
+    assert {tuple(row[2:]) for row in state[-1000:]} == {("FAILED", "w4")}
