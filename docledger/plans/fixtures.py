@@ -69,19 +69,26 @@ def two_digits(cents: Column) -> Column:
     )
 
 
-def order_keys(spark: SparkSession, folder: str) -> DataFrame:
+def orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders as they lie, without the texts that follow from the key: those need not be moved by joins."""
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("k"),
         F.col("o_custkey").alias("custkey"),
         F.col("o_orderstatus").alias("orderstatus"),
         F.col("o_totalprice").alias("totalprice"),
         F.col("o_orderdate").alias("ordered_at"),
-        numbered("doc-", F.col("o_orderkey")).alias("document_id"),
-        file_id(F.col("o_orderkey")).alias("drive_file_id"),
-        file_hash(F.col("o_orderkey")).alias("file_hash"),
     )
 
 
+def names_of_key() -> list[Column]:
+    key = order_key()
+    return [numbered("doc-", key).alias("document_id"), file_id(key).alias("drive_file_id"), file_hash(key).alias("file_hash")]
+
+
+def order_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return orders(spark, folder).select("*", *names_of_key())
+
+
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: its lines in order."""
     # Lists do not shrink on the map side, so lines are divided by document before they are gathered.
@@ -130,12 +137,13 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
     extra = F.when(every(17), 999).otherwise(0)
     unnamed = every(19)
     nation = F.col("c_nationkey") % 5
+    # Customers meet the narrow orders, before lists of lines are in the rows.
     return (
-        order_keys(spark, folder)
-        .join(document_lines(spark, folder), "k")
+        orders(spark, folder).drop("totalprice")
         .join(customers, "custkey", "left")
+        .join(document_lines(spark, folder), "k")
         .select(
-            "k", "document_id", "drive_file_id", "file_hash", "ordered_at", "orderstatus",
+            "k", *names_of_key(), "ordered_at", "orderstatus",
             F.when(every(5), "receipt").otherwise("invoice").alias("document_type"),
             F.when(~every(31), F.col("c_name")).alias("vendor_name"),
             F.when(every(7) & ~unnamed, numbered("TIN-")).alias("vendor_tax_id"),
