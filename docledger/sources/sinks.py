@@ -12,20 +12,20 @@ from docledger.sources.readers import base_name
 
 
 def _first_per_key(rows: DataFrame, keys: list[str], stored: DataFrame) -> DataFrame:
-    """Key and ``seq`` of the first row of each key that is not stored yet."""
+    """``seq`` of the first row of each key that is not stored yet."""
     first = rows.groupBy(*keys).agg(F.min("seq").alias("seq"))
-    return first.join(stored.select(*keys), keys, "left_anti").withColumn("_first", F.lit(True))
+    return first.join(stored.select(*keys), keys, "left_anti").select("seq", F.lit(True).alias("_first"))
 
 
 def append_if_absent(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Add ``append_status``: appended, skipped_duplicate, or missing_key.
 
     ``rows`` have a unique ``seq``; of several with one key the first is appended. Rows meet their
-    key's winner by key and ``seq``, so a key with very many rows does not pile up in one task.
+    key's winner by ``seq`` alone, so a key with very many rows does not pile up in one task and winners' keys are not moved again.
     """
     no_key = (F.coalesce("drive_file_id", F.lit("")) == "") | (F.coalesce("file_hash", F.lit("")) == "")
     first = _first_per_key(rows, CLAIM_KEY, ledger)
-    return rows.join(first, [*CLAIM_KEY, "seq"], "left").select(
+    return rows.join(first, "seq", "left").select(
         *[F.col(name) for name in rows.columns],
         F.when(no_key, F.lit("missing_key"))
         .when(F.col("_first"), F.lit("appended"))
@@ -41,7 +41,7 @@ def append_by_hash(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """
     keyed = rows.withColumn("dedupe_key", F.coalesce(filled(F.col("file_hash")), F.col("idempotency_key")))
     first = _first_per_key(keyed.where(F.col("dedupe_key").isNotNull()), ["dedupe_key"], seen)
-    joined = keyed.join(first, ["dedupe_key", "seq"], "left")
+    joined = keyed.join(first, "seq", "left")
     appended = F.col("_first") | F.col("dedupe_key").isNull()
     return joined.select(
         *[F.col(name) for name in rows.columns],
