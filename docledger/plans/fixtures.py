@@ -192,14 +192,18 @@ def routed(spark: SparkSession, folder: str) -> DataFrame:
 _LEDGERS: dict[tuple[str, str], str] = {}
 
 
-def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """The ledger as it lies in its files, by month; written once per application and folder of tables."""
+def ledger_path(spark: SparkSession, folder: str) -> str:
+    """Where the ledger lies in its files, by month; written once per application and folder of tables."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _LEDGERS:
         path = work_folder(spark, "ledger")
         write_ledger(made_ledger(spark, folder), path)
         _LEDGERS[key] = path
-    return read_ledger(configure(spark), _LEDGERS[key])
+    return _LEDGERS[key]
+
+
+def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return read_ledger(configure(spark), ledger_path(spark, folder))
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:

@@ -488,7 +488,7 @@ def str_counters(spark, folder):
     FROM fx_ledger GROUP BY 1""", ("fx_ledger",))
 def str_daily(spark, folder):
     work = work_folder(spark, "daily")
-    stream = stream_of(fx.ledger(spark, folder), work)
+    stream = jobs.ledger_stream(spark, fx.ledger_path(spark, folder))
     finish(jobs.changes_stream(jobs.daily_stream(stream), f"{work}/out", f"{work}/checkpoint"))
     return as_doubles(_dated(jobs.read_last_changes(spark, f"{work}/out", "processing_date")), "total_amount_sum")
 
@@ -501,7 +501,8 @@ def kept_totals(spark, folder):
     ledger = fx.ledger(spark, folder)
     table = totals.totals_table(ledger, f"{work}/table", 16)
     for part in range(2):
-        finish(totals.totals_stream(stream_of(ledger.where(F.col("id") % 2 == part), work), table, f"{work}/checkpoint"))
+        ledger.where(F.col("id") % 2 == part).write.mode("append").option("compression", "zstd").parquet(f"{work}/in")
+        finish(totals.totals_stream(jobs.ledger_stream(spark, f"{work}/in"), table, f"{work}/checkpoint"))
     return table.rows()
 
 

@@ -20,7 +20,7 @@ from docledger.operators.reports import metric_counters
 from docledger.operators.route import dead_letter_rows, ledger_rows, review_rows, route, run_counters
 from docledger.operators.validate import validate_and_score
 from docledger.operators.views import mean, records_flat
-from docledger.schemas import CLAIM_KEY
+from docledger.schemas import CLAIM_KEY, LEDGER
 from docledger.sources.sinks import append_if_absent, archive_manifest
 
 CLAIMS = "drive_file_id string, file_hash string, status string, owner_id string, claimed_at_utc string, updated_at_utc string"
@@ -39,6 +39,11 @@ def ingest_stream(
     return reader.json(path)
 
 
+def ledger_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Unseen files of a ledger as `write_ledger` leaves them, or of a folder of ledger rows; nothing is copied for the stream."""
+    return spark.readStream.schema(LEDGER).option("recursiveFileLookup", "true").parquet(path)
+
+
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
