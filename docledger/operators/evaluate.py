@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,15 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _number(value: Column) -> Column:
-    kind = _kind(value)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: what a lambda names several times would be computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _number(value: Column, kind: Column, text: Column, numeric: Column) -> Column:
+    """The number of a value; texts are only read as numbers where the field is numeric."""
     return F.when(kind.isin(NUMBERS), F.try_variant_get(value, "$", "double")).when(
-        kind == "STRING", number_text(as_text(value))
+        numeric & (kind == "STRING"), number_text(text)
     )
 
 
@@ -63,17 +70,27 @@ def gate_cases(cases: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def _read(pair: Column) -> Column:
+    """A pair with kind and text of both values."""
+    return F.struct(
+        *[pair[name].alias(name) for name in ("field", "expected", "actual", "fixed_match", "fixed_reason")],
+        pair["name"].isin(NUMERIC_FIELDS).alias("numeric"),
+        *[_kind(pair[side]).alias(f"{side}_kind") for side in ("expected", "actual")],
+        *[as_text(pair[side]).alias(f"{side}_text") for side in ("expected", "actual")],
+    )
+
+
 def _judged(pair: Column, tolerance: float) -> Column:
-    """A pair's ``field``, both values as text, ``matched`` and ``reason``.
+    """A pair's ``field``, both values as text, ``matched`` and ``reason``, from what `_read` made of it.
 
     The five numeric fields compare within the tolerance, expected texts without regard to case and
     spacing, and everything else by value.
     """
-    name, expected, actual = pair["name"], pair["expected"], pair["actual"]
-    expected_kind, actual_kind = _kind(expected), _kind(actual)
-    expected_text, actual_text = as_text(expected), as_text(actual)
-    expected_number, actual_number = _number(expected), _number(actual)
-    numeric = name.isin(NUMERIC_FIELDS)
+    expected_kind, actual_kind = pair["expected_kind"], pair["actual_kind"]
+    expected_text, actual_text = pair["expected_text"], pair["actual_text"]
+    numeric = pair["numeric"]
+    expected_number = _number(pair["expected"], expected_kind, expected_text, numeric)
+    actual_number = _number(pair["actual"], actual_kind, actual_text, numeric)
     texts = expected_kind == "STRING"
     empty = (actual_kind.isin(NUMBERS) & (actual_number == 0)) | actual_text.isin("{}", "[]")
     shown = F.when(empty & (actual_kind != "STRING"), F.lit("")).otherwise(actual_text)
@@ -129,15 +146,15 @@ def line_item_pairs(expected: Column, actual: Column) -> Column:
         prefix = F.concat(F.lit("line_items["), place.cast("string"), F.lit("]"))
         members = F.map_entries(F.try_variant_get(item, "$", "map<string,variant>"))
         partner = F.try_variant_get(F.get(actual, place), "$", "map<string,variant>")
-        paired = F.transform(
+        paired = _once(partner, lambda found: F.transform(
             members,
             lambda member: _pair(
                 F.concat(prefix, F.lit("."), member["key"]),
                 F.concat(F.lit("line_items."), member["key"]),
                 member["value"],
-                F.try_element_at(partner, member["key"]),
+                F.try_element_at(found, member["key"]),
             ),
-        )
+        ))
         missing = F.array(_pair(prefix, prefix, item, none, F.lit(False), "missing line item"))
         return F.when(place >= n_actual, missing).otherwise(paired)
 
@@ -147,14 +164,15 @@ def line_item_pairs(expected: Column, actual: Column) -> Column:
 def _pairs_of(name: Column, expected: Column, record: Column) -> Column:
     """Comparisons of one expected field: one, or several for line items."""
     actual = F.try_element_at(record, name)
-    listed = F.try_variant_get(expected, "$", "array<variant>")
-    actual_items = F.coalesce(F.try_variant_get(actual, "$", "array<variant>"), F.array().cast("array<variant>"))
-    no_list = _pair(name, name, expected, actual, F.lit(False), "'line_items' must be a list")
-    return (
-        F.when(name != "line_items", F.array(_pair(name, name, expected, actual)))
-        .when(listed.isNull(), F.array(no_list))
-        .otherwise(line_item_pairs(listed, actual_items))
+    lists = F.struct(
+        F.try_variant_get(expected, "$", "array<variant>").alias("expected"),
+        F.coalesce(F.try_variant_get(actual, "$", "array<variant>"), F.array().cast("array<variant>")).alias("actual"),
     )
+    no_list = _pair(name, name, expected, actual, F.lit(False), "'line_items' must be a list")
+    items = _once(lists, lambda both: F.when(both["expected"].isNull(), F.array(no_list)).otherwise(
+        line_item_pairs(both["expected"], both["actual"])
+    ))
+    return F.when(name != "line_items", F.array(_pair(name, name, expected, actual))).otherwise(items)
 
 
 def with_field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
@@ -170,14 +188,16 @@ def with_field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) ->
     pairs = F.flatten(F.transform(
         "_members", lambda member: _pairs_of(member["key"], member["value"], F.col("_record"))
     ))
-    judged = F.transform(pairs, lambda pair: _judged(pair, tolerance))
+    judged = F.transform(F.transform(pairs, _read), lambda pair: _judged(pair, tolerance))
     told = F.transform(judged, lambda one: one.withField("reason", F.when(~one["matched"], one["reason"])))
     return staged.withColumn("field_results", told).select(*gated.columns, "field_results")
 
 
 def field_results(gated: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
     """One row per compared field of each usable case: field, values, matched and reason."""
-    return with_field_results(gated, tolerance).select("id", F.inline("field_results"))
+    # Spark would ask before `inline` whether the list has entries, and compute it for that again and again.
+    compared = compute_once(with_field_results(gated, tolerance), {"field_results": F.col("field_results")})
+    return compared.select("id", F.inline("field_results"))
 
 
 CASE_COLUMNS = ("id", "file_path", "status", "error", "details", "used_provider")
