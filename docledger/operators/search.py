@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docledger.operators.reports import history_texts, matching, recent_texts, review_texts
+from docledger.session import work_folder
 from docledger.sources.keyed import KeyedTable
 
 GRAM = 3
@@ -49,7 +50,10 @@ class TextIndex:
         self.sizes = KeyedTable(spark, f"{location}/sizes", T.StructType([gram, T.StructField("rows", T.LongType())]), ["gram"], buckets)
 
     def append(self, rows: DataFrame) -> None:
-        """Add rows, each key once, or put them in the place of those with their keys."""
+        """Add rows, each key once, or put them in the place of those with their keys. They are made once and written, as they are read many times."""
+        path = work_folder(self.spark, "index-rows")
+        rows.write.parquet(path)
+        rows = self.spark.read.schema(rows.schema).parquet(path)
         self.records.upsert(rows)
         each = rows.select(*self.key, F.explode(F.array_distinct(F.flatten(F.array(*map(grams, self.texts()))))).alias("gram"))
         self.postings.append(each)

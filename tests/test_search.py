@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from docledger.operators import search
 from docledger.operators.reports import history_texts, matching
 
@@ -41,3 +43,20 @@ def test_only_short_lists_are_read(spark, tmp_path):
     plan = index.candidates("rareword")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram, [" in plan and "PartitionFilters: [part" in plan
     assert index.search("RAREword").count() == 10
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """However often an append needs its rows, what makes them runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    schema = spark.createDataFrame([], "document_id string, text string").schema
+    rows = spark.range(20).selectExpr("concat('d', id) AS document_id", "concat('text ', id) AS text").mapInArrow(count, schema)
+    index = search.TextIndex(spark, str(tmp_path / "once"), schema, ["document_id"], lambda: [F.col("text")], 4)
+    index.append(rows)
+    assert made.value == 20
+    assert [row["document_id"] for row in index.search("text 17").collect()] == ["d17"]
