@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docledger.functions.money import MOST_CENTS, at_least_zero, cents, money, money_text
-from docledger.functions.payload import as_text, is_text, pick
+from docledger.functions.payload import Members, as_text, is_text
 from docledger.functions.subset import closest_lines_udf
 from docledger.functions.text import has_any, split_lines, strip
 from docledger.rules import RULES, Rules
@@ -33,15 +33,20 @@ def _item(description, quantity, unit_price, line_total, category, text_category
 ITEM_FIELDS = ["description", "quantity", "unit_price", "line_total", "category"]
 
 
+def members_of(rules: Rules = RULES) -> Members:
+    return Members([alias for name in ITEM_FIELDS for alias in rules.item(name)])
+
+
 def normalize_items(raw: str, rules: Rules = RULES) -> Column:
-    """Typed items of a column of lists of members by name; null members are dropped.
+    """Typed items of a column of lists of item members; null members are dropped.
 
     ``text_category`` is false where the category is present but no text, which the record
     schema rejects later.
     """
+    known = members_of(rules)
     picked = F.transform(
         F.filter(raw, lambda item: item.isNotNull()),
-        lambda item: F.struct(*[pick(item, rules.item(name)).alias(name) for name in ITEM_FIELDS]),
+        lambda item: F.struct(*[known.pick(item, rules.item(name)).alias(name) for name in ITEM_FIELDS]),
     )
 
     def numbers(item: Column) -> Column:
@@ -72,8 +77,7 @@ def have_amounts(items: Column) -> Column:
 
 
 def is_ignored(description: Column, words: list[str]) -> Column:
-    lowered = F.lower(strip(description))
-    return (lowered == "") | has_any(lowered, words)
+    return has_any(F.lower(strip(description)), words, blank=True)
 
 
 def drop_ignored(items: Column, words: list[str] = RULES.ignored_lines) -> Column:

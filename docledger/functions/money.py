@@ -13,8 +13,7 @@ PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def money_text(text: Column) -> Column:
     """A number from free text: only digits, commas, dots and minus signs count; else null."""
-    kept = F.translate(F.regexp_replace(text, r"[^0-9,.\-]", ""), ",", "")
-    return kept.try_cast("double")
+    return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
 
 
 def number_text(text: Column) -> Column:

@@ -21,40 +21,54 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT<")
 
 
-def members(value: Column) -> Column:
-    """The members of an object by their exact names; null for anything else."""
-    return F.try_variant_get(value, "$", "map<string,variant>")
-
-
-def _member(fields: Column, alias: str) -> Column:
-    first, *rest = alias.split(".")
-    found = F.try_element_at(fields, F.lit(first))
-    for step in rest:
-        found = F.try_element_at(members(found), F.lit(step))
-    return found
+class Members:
+    """The named members of an object as a struct of variants, read in one pass; null for anything else.
+
+    Names are exact and may hold any sign. Those that differ in case alone go by their places.
+    """
+
+    def __init__(self, aliases: list[str]):
+        self.names = list(dict.fromkeys(alias.split(".")[0] for alias in aliases))
+        unlike = len({name.lower() for name in self.names}) == len(self.names)
+        self.fields = self.names if unlike else [f"m{place}" for place in range(len(self.names))]
+
+    def read(self, value: Column, kind: str = "{}") -> Column:
+        """A value as such a struct, or with ``kind`` as a type around it, such as ``array<{}>``."""
+        read = F.try_variant_get(value, "$", kind.format(_struct(self.names)))
+        return read if self.fields is self.names else read.cast(kind.format(_struct(self.fields)))
+
+    def member(self, fields: Column, alias: str) -> Column:
+        first, *rest = alias.split(".")
+        found = fields[self.fields[self.names.index(first)]]
+        for step in rest:
+            found = F.try_element_at(F.try_variant_get(found, "$", "map<string,variant>"), F.lit(step))
+        return found
+
+    def pick(self, fields: Column, aliases: list[str]) -> Column:
+        """The first aliased member that is neither null nor the empty text, as a variant."""
+        found = [self.member(fields, alias) for alias in aliases]
+        return F.coalesce(*[F.when(_present(member), member) for member in found], F.lit(None).cast("variant"))
+
+    def pick_list(self, fields: Column, aliases: list[str], items: Members) -> Column:
+        """As ``pick`` for a list of objects, each as its members in ``items``; a present value that is no list gives
+        an empty list, and members that are no objects come out as null."""
+        none = F.array().cast(f"array<{_struct(items.fields)}>")
+        found = []
+        for alias in aliases:
+            member = self.member(fields, alias)
+            found += [items.read(member, "array<{}>"), F.when(_present(member), none)]
+        return F.coalesce(*found, none)
+
+
+def _struct(names: list[str]) -> str:
+    quoted = [name.replace("`", "``") for name in names]
+    return "struct<" + ", ".join(f"`{name}`: variant" for name in quoted) + ">"
 
 
 def _present(member: Column) -> Column:
     return as_text(member) != ""
 
 
-def pick(fields: Column, aliases: list[str]) -> Column:
-    """The first aliased member that is neither null nor the empty text, as a variant."""
-    found = [_member(fields, alias) for alias in aliases]
-    return F.coalesce(*[F.when(_present(member), member) for member in found], F.lit(None).cast("variant"))
-
-
-def pick_list(fields: Column, aliases: list[str]) -> Column:
-    """As ``pick`` for a list of objects, each as a map of its members; a present value that is no list gives an
-    empty list, and members that are no objects come out as null."""
-    kind = "array<map<string,variant>>"
-    found = []
-    for alias in aliases:
-        member = _member(fields, alias)
-        found += [F.try_variant_get(member, "$", kind), F.when(_present(member), F.array().cast(kind))]
-    return F.coalesce(*found, F.array().cast(kind))
-
-
 def vendor_name(value: Column, objects: bool = True) -> Column:
     """Vendor text of a picked value; an object gives its ``name`` when that is non-blank text."""
     unknown = F.lit("Unknown Vendor")

@@ -31,18 +31,18 @@ def split_lines(value: Column) -> Column:
     return F.split(value, LINE_END)
 
 
-def has_any(value: Column, words: list[str]) -> Column:
-    """True when any word occurs in the value as a substring.
+def has_any(value: Column, words: list[str], blank: bool = False) -> Column:
+    """True when any word occurs in the value as a substring, or, with ``blank``, when it is the empty text.
 
     A word that holds another of the words adds nothing and is left out. The one-element list makes
     the value be computed once, whatever expression it is.
     """
     needed = [word for word in words if not any(other != word and other in word for other in words)]
-    if not needed:
+    if not needed and not blank:
         return F.lit(False)
 
     def found(text: Column) -> Column:
-        return reduce(or_, [text.contains(word) for word in needed])
+        return reduce(or_, [text == ""] * blank + [text.contains(word) for word in needed])
 
     return F.exists(F.array(value), found)
 

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions import codes, dates, items, money
-from docledger.functions.payload import (
-    as_text, is_text, members, pick, pick_list, vendor_name,
-)
+from docledger.functions.payload import Members, as_text, is_text, vendor_name
 from docledger.rules import RULES, Rules
 from docledger.schemas import RECORD_FIELDS
 
@@ -22,13 +20,14 @@ PICKED = [
 def pick_fields(df: DataFrame, rules: Rules = RULES, payload: str = "payload") -> DataFrame:
     """Resolve each field's aliases once, as ``p_<field>`` variants and a list of item members.
 
-    The payload object is read in one pass into a map, so names keep their case and may hold any sign.
+    The payload object, and each item, is read in one pass into a struct of its aliased members.
     """
     fields = F.col("_fields")
-    return df.withColumn("_fields", members(F.col(payload))).select(
+    known = Members([alias for name in (*PICKED, "line_items") for alias in rules.aliases(name)])
+    return df.withColumn("_fields", known.read(F.col(payload))).select(
         *df.columns,
-        *[pick(fields, rules.aliases(name)).alias(f"p_{name}") for name in PICKED],
-        pick_list(fields, rules.aliases("line_items")).alias("p_line_items"),
+        *[known.pick(fields, rules.aliases(name)).alias(f"p_{name}") for name in PICKED],
+        known.pick_list(fields, rules.aliases("line_items"), items.members_of(rules)).alias("p_line_items"),
     )
 
 
