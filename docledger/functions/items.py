@@ -135,13 +135,18 @@ def line_sum(items: Column) -> Column:
 
 
 def kept_positions(items: Column, target: Column, tolerance: float) -> Column:
-    """Positions that best fill the target when the items add up to more; null elsewhere."""
+    """Positions that best fill the target when the items add up to more; none elsewhere.
+
+    Other documents send an empty list, not null: Spark's Arrow writer asks for a batch's size at each row, and goes over the
+    nulls since the last list each time.
+    """
     slack = round(tolerance * 100)
     amounts = F.transform(items, lambda item: cents(item["line_total"]))
     total = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda acc, amount: F.least(acc + amount, F.lit(MOST_CENTS * 100)))
     limit = cents(target) + slack
     overcounted = (target > 0) & (F.size(items) > 1) & (total > limit)
-    return closest_lines_udf(F.when(overcounted, amounts), F.when(overcounted, limit))
+    none = F.array().cast("array<bigint>")
+    return closest_lines_udf(F.when(overcounted, amounts).otherwise(none), F.when(overcounted, limit).otherwise(F.lit(0)))
 
 
 def keep_positions(items: Column, positions: Column) -> Column:
