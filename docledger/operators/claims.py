@@ -22,8 +22,8 @@ def _join_claims(per_key: DataFrame, claims: DataFrame) -> DataFrame:
     return per_key.join(held, CLAIM_KEY, "left")
 
 
-def claim(batch: DataFrame, claims: DataFrame) -> DataFrame:
-    """Result of each claim attempt: claimed, already_processed or already_claimed, with the owner.
+def claim(batch: DataFrame, claims: DataFrame, *keep: str) -> DataFrame:
+    """Result of each claim attempt: claimed, already_processed or already_claimed, with the owner, plus columns to keep.
 
     ``batch``: key, owner_id and ``arrival``, which orders attempts and is unique. The first
     attempt on a free key wins; later ones see it taken.
@@ -42,6 +42,7 @@ def claim(batch: DataFrame, claims: DataFrame) -> DataFrame:
         .otherwise(F.lit("already_claimed"))
         .alias("claim_status"),
         F.when(free, F.col("_winner.owner_id")).otherwise(F.col("held_owner")).alias("owner_id"),
+        *keep,
     )
 
 

@@ -21,13 +21,14 @@ def append_if_absent(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Add ``append_status``: appended, skipped_duplicate, or missing_key.
 
     ``rows`` have a unique ``seq``; of several with one key the first is appended. Rows meet their
-    key's winner by ``seq`` alone, so a key with very many rows does not pile up in one task and winners' keys are not moved again.
+    key's winner by ``seq`` alone, so a key with very many rows does not pile up in one task and winners' keys are not moved again. Whether
+    a row has a key is known before that, so that a caller who wants no keys moves none.
     """
     no_key = (F.coalesce("drive_file_id", F.lit("")) == "") | (F.coalesce("file_hash", F.lit("")) == "")
     first = _first_per_key(rows, CLAIM_KEY, ledger)
-    return rows.join(first, "seq", "left").select(
+    return rows.withColumn("_no_key", no_key).join(first, "seq", "left").select(
         *[F.col(name) for name in rows.columns],
-        F.when(no_key, F.lit("missing_key"))
+        F.when(F.col("_no_key"), F.lit("missing_key"))
         .when(F.col("_first"), F.lit("appended"))
         .otherwise(F.lit("skipped_duplicate"))
         .alias("append_status"),

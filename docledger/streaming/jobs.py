@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from docledger.functions.text import packed, unpacked
 from docledger.operators import claims as claim_operators
 from docledger.operators.extraction import resolve_payload, with_parse_errors
 from docledger.operators.normalize import coerce
@@ -49,7 +50,16 @@ def batch_folder(path: str, batch_id: int) -> str:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+    df.write.mode("overwrite").option("compression", "zstd").parquet(batch_folder(path, batch_id))
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """Hashes packed, for rows that are moved; `wide` undoes it."""
+    return df.withColumn("file_hash", packed(F.col("file_hash")))
+
+
+def wide(df: DataFrame) -> DataFrame:
+    return df.withColumn("file_hash", unpacked(F.col("file_hash")))
 
 
 def read_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
@@ -60,7 +70,7 @@ def read_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> D
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], typed)
+        return spark.createDataFrame([], typed).limit(0)  # known to be empty, so that joins with it move nothing
 
 
 def current_claims(spark: SparkSession, path: str, batch_id: int, wanted: DataFrame | None = None) -> DataFrame:
@@ -73,11 +83,12 @@ def current_claims(spark: SparkSession, path: str, batch_id: int, wanted: DataFr
     rows = read_before(spark, path, batch_id, CLAIMS)
     if upto is not None:
         rows = rows.where(F.col("batch") > upto).unionByName(snapshots.where(F.col("batch") == upto))
+    rows = narrow(rows)
     if wanted is not None:
-        rows = rows.join(wanted.select(*CLAIM_KEY).distinct(), CLAIM_KEY, "left_semi")
+        rows = rows.join(narrow(wanted.select(*CLAIM_KEY)).distinct(), CLAIM_KEY, "left_semi")
     fields = ["status", "owner_id", "claimed_at_utc", "updated_at_utc"]
     last = rows.groupBy(*CLAIM_KEY).agg(F.max(F.struct("batch", *fields)).alias("_last"))
-    return last.select(*CLAIM_KEY, *[F.col(f"_last.{name}").alias(name) for name in fields])
+    return wide(last.select(*CLAIM_KEY, *[F.col(f"_last.{name}").alias(name) for name in fields]))
 
 
 def write_claims(changed: DataFrame, path: str, batch_id: int) -> None:
@@ -133,13 +144,21 @@ def routed_sinks(
 
 def write_sinks(routed: DataFrame, folder: str, batch_id: int, processed_at: Column) -> None:
     """Ledger, review queue and dead letters of a micro-batch's routed documents, whose ``seq`` is unique over
-    all batches: it becomes the id of a ledger row and the place of a dead letter in the log."""
+    all batches: it becomes the id of a ledger row and the place of a dead letter in the log.
+
+    Keys alone decide what is appended; the records are moved only if some of them stay out.
+    """
     spark = routed.sparkSession
-    stored = ledger_rows(routed, processed_at, "seq")
-    earlier = read_before(spark, f"{folder}/ledger", batch_id, KEYS)
-    known = earlier.join(stored.select(*CLAIM_KEY).distinct(), CLAIM_KEY, "left_semi")
-    new = append_if_absent(stored, known).where(F.col("append_status") == "appended")
-    write_batch(new.drop("append_status").withColumnRenamed("seq", "id"), f"{folder}/ledger", batch_id)
+    stored = routed.where(F.col("route") == "STORED")
+    keys = stored.select(*CLAIM_KEY, "seq")
+    earlier = narrow(read_before(spark, f"{folder}/ledger", batch_id, KEYS))
+    known = wide(earlier.join(narrow(keys.select(*CLAIM_KEY)).distinct(), CLAIM_KEY, "left_semi"))
+    left_out = append_if_absent(keys, known).where(F.col("append_status") != "appended").select(F.col("seq").alias("_seq"), "append_status")
+    write_batch(left_out, f"{folder}/not_appended", batch_id)
+    left_out = spark.read.schema(left_out.schema).parquet(batch_folder(f"{folder}/not_appended", batch_id))
+    if not left_out.isEmpty():
+        stored = stored.join(left_out, F.col("seq").eqNullSafe(F.col("_seq")), "left_anti")
+    write_batch(ledger_rows(stored, processed_at, "seq").withColumnRenamed("seq", "id"), f"{folder}/ledger", batch_id)
     write_batch(review_rows(routed, processed_at), f"{folder}/review_queue", batch_id)
     write_batch(dead_letter_rows(routed, processed_at, "seq"), f"{folder}/dead_letters", batch_id)
 
@@ -161,20 +180,19 @@ def run_documents(
             write_batch(df, f"{folder}/{name}", batch_id)
             return spark.read.schema(df.schema).parquet(batch_folder(f"{folder}/{name}", batch_id))
 
-        attempts = kept(batch, "attempts")
-        arrivals = attempts.groupBy("document_id", *CLAIM_KEY).agg(F.min("seq").alias("arrival")).withColumn("owner_id", F.lit(owner))
-        held = kept(current_claims(spark, f"{folder}/claims", batch_id, arrivals), "held")
-        claimed = claim_operators.claim(arrivals, held).join(arrivals.select("document_id", "arrival"), "arrival")
-        results = kept(claimed, "claim_results")
-        won = results.where(F.col("claim_status") == "claimed").select("document_id", *CLAIM_KEY, F.col("arrival").alias("seq"))
-        resolved = resolve_payload(attempts.join(won.select("document_id"), "document_id", "left_semi"))
-        routed = kept(route(validate_and_score(coerce(resolved.join(won, "document_id"), as_of))), "routed")
+        arrivals = narrow(batch).groupBy("document_id", *CLAIM_KEY).agg(F.min("seq").alias("arrival")).withColumn("owner_id", F.lit(owner))
+        held = kept(current_claims(spark, f"{folder}/claims", batch_id, batch), "held")
+        results = kept(wide(claim_operators.claim(arrivals, narrow(held), "document_id")), "claim_results")
+        claimed = narrow(results.where(F.col("claim_status") == "claimed"))
+        won = claimed.select("document_id", *CLAIM_KEY, F.col("arrival").alias("seq"))
+        resolved = resolve_payload(batch.join(won.select("document_id"), "document_id", "left_semi"))
+        routed = kept(route(validate_and_score(coerce(wide(resolved.join(won, "document_id")), as_of))), "routed")
         write_sinks(routed, folder, batch_id, processed_at)
         stored = F.col("route") == "STORED"
         done = F.when(stored & F.lit(archive is not None), F.lit("ARCHIVED")).otherwise(F.col("route"))
-        marks = routed.select(*CLAIM_KEY, done.alias("status"), "seq", F.lit(now).alias("updated_at_utc"))
-        taken = claim_operators.claims_after(arrivals, held, now)
-        write_claims(claim_operators.merge_status(marks, taken), f"{folder}/claims", batch_id)
+        marks = narrow(routed).select(*CLAIM_KEY, done.alias("status"), "seq", F.lit(now).alias("updated_at_utc"))
+        taken = claim_operators.claims_after(claimed, narrow(held), now)
+        write_claims(wide(claim_operators.merge_status(marks, taken)), f"{folder}/claims", batch_id)
         if archive is not None:
             files = routed.where(stored).select(F.col("drive_file_id").alias("id")).distinct()
             write_batch(archive_manifest(files, archive), f"{folder}/manifest", batch_id)
