@@ -28,6 +28,8 @@ CLAIMS = "drive_file_id string, file_hash string, status string, owner_id string
 KEYS = "drive_file_id string, file_hash string"
 #: Micro-batches after which the claims are written as a whole, so that a later one reads few changes.
 SNAPSHOT_EVERY = 32
+#: Shuffle files go when the query that made them has ended, not when the driver's memory is next collected.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ingest_stream(
@@ -175,6 +177,7 @@ def run_documents(
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        spark.conf.set(DROP_SHUFFLES, "true")  # in the stream's own session; every table is written once and then read
 
         def kept(df: DataFrame, name: str) -> DataFrame:
             write_batch(df, f"{folder}/{name}", batch_id)
@@ -182,16 +185,16 @@ def run_documents(
 
         arrivals = narrow(batch).groupBy("document_id", *CLAIM_KEY).agg(F.min("seq").alias("arrival")).withColumn("owner_id", F.lit(owner))
         held = kept(current_claims(spark, f"{folder}/claims", batch_id, batch), "held")
-        results = kept(wide(claim_operators.claim(arrivals, narrow(held), "document_id")), "claim_results")
-        claimed = narrow(results.where(F.col("claim_status") == "claimed"))
-        won = claimed.select("document_id", *CLAIM_KEY, F.col("arrival").alias("seq"))
+        numbered = wide(claim_operators.claim(arrivals, narrow(held), "document_id")).where(F.col("arrival").isNotNull())
+        results = kept(numbered, "claim_results")
+        won = narrow(results).where(F.col("claim_status") == "claimed").select("document_id", *CLAIM_KEY, F.col("arrival").alias("seq"))
         resolved = resolve_payload(batch.join(won.select("document_id"), "document_id", "left_semi"))
         routed = kept(route(validate_and_score(coerce(wide(resolved.join(won, "document_id")), as_of))), "routed")
         write_sinks(routed, folder, batch_id, processed_at)
         stored = F.col("route") == "STORED"
         done = F.when(stored & F.lit(archive is not None), F.lit("ARCHIVED")).otherwise(F.col("route"))
         marks = narrow(routed).select(*CLAIM_KEY, done.alias("status"), "seq", F.lit(now).alias("updated_at_utc"))
-        taken = claim_operators.claims_after(claimed, narrow(held), now)
+        taken = claim_operators.claims_after(narrow(results), narrow(held), now)
         write_claims(wide(claim_operators.merge_status(marks, taken)), f"{folder}/claims", batch_id)
         if archive is not None:
             files = routed.where(stored).select(F.col("drive_file_id").alias("id")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -60,17 +61,27 @@ def test_only_free_keys_are_appended(spark, tmp_path):
     assert {(r.id, r.file_hash, json.loads(r.record_json)["vendor_name"]) for r in ledger} == {(n, hashes[n], f"V{n}") for n in (0, 1, 5)}
 
 
+def shuffles(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(place).getName() for place in range(files.size())]
+    return {name.split("_")[1] for name in names if name.startswith("shuffle_")}
+
+
 def test_a_run_keeps_no_copy_of_its_attempts(spark, tmp_path):
     """Two micro-batches; the second brings one stored document and one failed one again."""
     def attempts(ids, start):
         return spark.createDataFrame(
             [(f"{start}-{n}", f"f{n}", f"{n:064x}", start + n, "first", "mistral", "nothing" if n % 5 == 0 else record(n), None, None) for n in ids], ATTEMPT)
 
-    folder = str(tmp_path)
+    folder, before = str(tmp_path), shuffles(spark)
     for ids, start in ((range(20), 0), ([5, 6], 100)):
         as_files(attempts(ids, start), f"{folder}/in")
         stream = jobs.ingest_stream(spark, f"{folder}/in", ATTEMPT)
         jobs.run_documents(stream, folder, f"{folder}/cp", "2026-01-01", now(), "me", "2026-01-01", "archive").awaitTermination()
+    until = time.time() + 20
+    while len(shuffles(spark) - before) > 3 and time.time() < until:
+        time.sleep(0.5)
+    assert len(shuffles(spark) - before) <= 3 and spark.conf.get(jobs.DROP_SHUFFLES, "false") == "false"
     assert all(name.endswith(".json.gz") for name in os.listdir(f"{folder}/in") if name.startswith("part"))
     assert not os.path.exists(f"{folder}/attempts")
     for sink in ("claim_results", "routed", "ledger", "claims"):
